@@ -58,12 +58,16 @@ class PieceTable:
         self._cut = re.compile(self._borders())
 
     def _borders(self) -> str:
-        """A pattern of segments that no merge leaves: cut before a space run, at \\n if it is no piece, and before
-        those ASCII signs that follow no other character inside any piece."""
-        inner = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a != SPACE and not (a.isascii() and not a.isalpha())}
-        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalpha() and c not in inner) or "\\x00"
+        """A pattern of segments that no merge leaves: cut before a space run, at \\n if it is no piece, and after
+        a letter that only letters follow inside pieces, where another kind of character comes."""
+        inner = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        letters = {c for c in self._characters if c.isalpha()}
+        while left := {a for a, b in inner if a in letters and b not in letters}:
+            letters -= left
+        kept = "".join(map(re.escape, sorted(letters))) or "\\x00"
         line = "" if "\n" in self.ids else "\\n"
-        return rf"{SPACE}+[{signs}]*[^{signs}{SPACE}{line}]*|[{signs}]+[^{signs}{SPACE}{line}]*|[^{signs}{SPACE}{line}]+" + (f"|{line}" if line else "")
+        other = f"[^{kept}{SPACE}{line}]"
+        return f"{SPACE}+{other}*[{kept}]*|{other}+[{kept}]*|[{kept}]+" + (f"|{line}" if line else "")
 
     def _split(self, i: int) -> bool:
         """Find the last merge in the piece's own encoding; False where merges never make the piece."""
