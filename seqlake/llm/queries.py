@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op5_fingerprint
+from .licenses import op3_licenses
+from .mixing import op2_mixing
 from .pieces import op7_sentencepiece
+from .quality import op6_quality
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
+        "op3_licenses": op3_licenses,
+        "op5_fingerprint": op5_fingerprint,
+        "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
+        "op9_toxicity": op9_toxicity,
     }
 
 
