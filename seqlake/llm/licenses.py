@@ -162,7 +162,7 @@ def detections(w: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,size:int,priority:int,rule:int,label:string>>")
-    return F.when(F.rlike(w, GATE), F.flatten(F.transform(found, placed))).otherwise(none)
+    return F.when(F.rlike(w, F.lit(GATE.replace(" ", "  ")[1:-1])), F.flatten(F.transform(found, placed))).otherwise(none)
 
 
 def resolved(found: Column) -> Column:
