@@ -1,19 +1,43 @@
-"""A corpus pipeline of the library's text operators."""
+"""A corpus pipeline of the library's text operators: toxic and poor documents go, one document of each group of near
+copies stays, sources are mixed to target weights, and what is left is encoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqlake.llm import jaccard, mixing, pieces, quality, toxicity
 from seqlake.llm.common import table, written
-from seqlake.llm.pieces import encode_texts
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its SentencePiece ids and their digests."""
-    return encode_texts(docs)
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5. The classifier learns from the labels of docs."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, name="__toxic").where("__toxic < 0.5").drop("__toxic")
 
 
-STAGES = [("sentencepiece", encoded)]
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more. The classifier learns from the labels of docs."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, name="__quality").where("__quality >= 0.5").drop("__quality")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id."""
+    return jaccard.deduplicated(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources reads them."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its SentencePiece ids, their number, and the digests of ids and decoded text."""
+    return pieces.encode_texts(docs)
+
+
+STAGES = [("toxicity", without_toxic), ("quality", of_quality), ("jaccard", one_of_each), ("mixing", mix), ("sentencepiece", encode)]
+#: The stages' models and sketches can't be put into SQL.
 ORACLE_SQL = None
 
 

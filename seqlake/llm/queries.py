@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op5_fingerprint
+from .jaccard import op1_jaccard
+from .language import op8_language
 from .licenses import op3_licenses
+from .lm import op4_lm_score
 from .mixing import op2_mixing
+from .neighbours import op10_neighbours
 from .pieces import op7_sentencepiece
 from .quality import op6_quality
 from .toxicity import op9_toxicity
@@ -16,12 +20,16 @@ from .toxicity import op9_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard": op1_jaccard,
         "op2_mixing": op2_mixing,
         "op3_licenses": op3_licenses,
+        "op4_lm_score": op4_lm_score,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
+        "op10_neighbours": op10_neighbours,
     }
 
 
