@@ -1,15 +1,403 @@
-"""Driver bindings of the library's own operators."""
+"""Driver bindings of the library's own operators: each query, and the SQL that an independent engine runs for it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codons, quality
+from .functions import sequence as sq
+from .operators import sketches, stats
+from .plans.derived import qualities, sequences, table
+from .plans.derived import taxonomy as tree
+from .session import shared_path
+from .sources import fai, fastx, features
+
+SEQ = "(SELECT doc_id, source, lang, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS seq FROM documents)"
+QUAL = "(SELECT doc_id, lang, regexp_replace(text, '[^!-~]', '', 'g') AS qual FROM documents)"
+REVCOM = "reverse(translate({}, 'acgtACGT', 'tgcaTGCA'))"
+RANGES = [(1, 1), (2, 4), (-4, -2), (-1, -1), (2, -2), (12, 14), (-10, -3), (3, 100), (-4, 2), (0, 0)]
+
+
+# composition, ranges, windows
+
+
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.col("n_chars").alias("length"))
+    return stats.length_stats(docs, by=["source"])
+
+
+_SORTED = """s AS (SELECT source, n_chars AS len, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+ sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS run, sum(n_chars) OVER (PARTITION BY source) AS tot,
+ row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)"""
+LENGTH_STATS = f"""WITH {_SORTED}
+SELECT source, count(*)::BIGINT AS "count", max(tot)::BIGINT AS "sum", min(len) AS "min", max(len) AS "max", max(tot) / count(*) AS mean,
+ avg(CASE WHEN i = ((n + 1) // 2 - 1) // 2 THEN len END) / 2 + avg(CASE WHEN i = ((n + 1) // 2) // 2 THEN len END) / 2 AS q1,
+ avg(CASE WHEN i = (n - 1) // 2 THEN len END) / 2 + avg(CASE WHEN i = n // 2 THEN len END) / 2 AS median,
+ avg(CASE WHEN i = n - (n + 1) // 2 + ((n + 1) // 2 - 1) // 2 THEN len END) / 2 + avg(CASE WHEN i = n - (n + 1) // 2 + ((n + 1) // 2) // 2 THEN len END) / 2 AS q3,
+ max(CASE WHEN run * 2 >= tot THEN len END) AS n50, min(CASE WHEN run * 2 >= tot THEN place END)::BIGINT AS l50,
+ count(DISTINCT CASE WHEN (run - len) * 2 < tot THEN len END)::BIGINT AS l50_distinct FROM s GROUP BY source"""
+
+
+def nx_lx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.col("n_chars").alias("length"))
+    return stats.nx_lx(docs, 90, by=["source"])
+
+
+NX_LX = f"""WITH {_SORTED} SELECT source, max(CASE WHEN run * 100 >= tot * 90 THEN len END) AS nx, min(CASE WHEN run * 100 >= tot * 90 THEN place END)::BIGINT AS lx FROM s GROUP BY source"""
+
+
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("length"))
+    return stats.percentile(docs, 90, by=["lang"])
+
+
+PERCENTILES = """WITH s AS (SELECT lang, n_chars AS len, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, CASE WHEN max(n) * 90 % 100 = 0 THEN max(CASE WHEN i = n * 90 // 100 - 1 THEN len END)::DOUBLE
+ WHEN max(n) * 90 // 100 < 1 THEN min(len)::DOUBLE ELSE (max(CASE WHEN i = n * 90 // 100 - 1 THEN len END) + max(CASE WHEN i = n * 90 // 100 THEN len END)) / 2 END AS percentile FROM s GROUP BY lang"""
+
+
+def base_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    return sequences(spark, sf_dir).select("doc_id", F.length(s).alias("n"), sq.base_count(s, "gc").alias("n_gc"), sq.base_count(s, "A", case_sensitive=True).alias("n_upper_a"), F.round(sq.gc(s), 9).alias("gc"))
+
+
+BASE_COMPOSITION = f"""SELECT doc_id, length(seq)::INT AS n, (length(seq) - length(regexp_replace(seq, '[gcGC]', '', 'g')))::INT AS n_gc, (length(seq) - length(replace(seq, 'A', '')))::INT AS n_upper_a,
+ round(CASE WHEN length(seq) = 0 THEN 0 ELSE (length(seq) - length(regexp_replace(seq, '[gcsGCS]', '', 'g'))) / length(seq) END, 9) AS gc FROM {SEQ}"""
+
+
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(spark, sf_dir).select("doc_id", sq.revcom(F.col("seq")).alias("revcom"), sq.complement(F.col("seq")).alias("complement"))
+
+
+REVERSE_COMPLEMENT = f"SELECT doc_id, {REVCOM.format('seq')} AS revcom, translate(seq, 'acgtACGT', 'tgcaTGCA') AS complement FROM {SEQ}"
+
+
+def sub_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in RANGES])
+    rows = sequences(spark, sf_dir).select("doc_id", "seq", F.inline(ranges))
+    return rows.select("doc_id", "a", "b", sq.sub_seq(F.col("seq"), F.col("a"), F.col("b")).alias("sub"))
+
+
+def _range_sql(below: str) -> str:
+    values = ", ".join(f"({a}, {b})" for a, b in RANGES)
+    return f"""WITH r(a, b) AS (VALUES {values}), x AS (SELECT doc_id, seq, a, b, length(seq) AS n, CASE a WHEN 0 THEN 1 ELSE a END AS a0, CASE b WHEN 0 THEN -1 ELSE b END AS b0 FROM {SEQ}, r),
+ y AS (SELECT *, CASE WHEN a0 < -n THEN 1 WHEN a0 < 0 THEN n + a0 + 1 ELSE a0 END AS s, CASE WHEN b0 > n THEN n WHEN b0 < 0 THEN n + b0 + 1 ELSE b0 END AS e FROM x)
+SELECT doc_id, a, b, CASE WHEN n > 0 AND NOT (a0 < 0 AND b0 < 0 AND a0 > b0) AND a0 <= n AND s - 1 <= e{below} THEN substr(seq, s, (e - s + 1)::INT) ELSE '' END AS sub FROM y"""
+
+
+def gaps_and_alphabets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.substring("text", 1, 40)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "[^ACGTNacgtn .-]", "").alias("seq"))
+    return rows.select("doc_id", sq.remove_gaps(F.col("seq")).alias("clean"), sq.bases(F.col("seq")).alias("bases"), sq.guess_alphabet(F.col("seq")).alias("guess"), sq.is_valid(t, "Protein").alias("protein"), sq.first_invalid(t, "Protein").alias("bad"))
+
+
+GAPS_AND_ALPHABETS = """WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t, regexp_replace(text, '[^ACGTNacgtn .-]', '', 'g') AS seq FROM documents)
+SELECT doc_id, regexp_replace(seq, '[ .-]', '', 'g') AS clean, length(regexp_replace(seq, '[ .-]', '', 'g'))::INT AS bases,
+ CASE WHEN seq = '' THEN 'Unlimit' ELSE 'DNA' END AS guess, regexp_full_match(t, '[A-Za-z *_.-]*') AS protein, nullif(regexp_extract(t, '[^A-Za-z *_.-]'), '') AS bad FROM d"""
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(spark, sf_dir).select("doc_id", F.inline(sq.slider(F.col("seq"), 30, 25, greedy=True))).withColumnRenamed("seq", "part")
+
+
+WINDOWS = f"""SELECT doc_id, i::INT AS "start", substr(seq, i + 1, 30) AS part FROM (SELECT doc_id, seq, unnest(range(0, length(seq), 25)) AS i FROM {SEQ})"""
+
+
+def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.regexp_replace(F.upper("text"), "[^ACGTRYN]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", sq.degenerate_regexp(s).alias("pattern"), sq.ambiguous_base(F.substring(F.regexp_replace("text", "[^acgt]", ""), 1, 3)).alias("amb"))
+
+
+DEGENERATE = """SELECT doc_id, replace(replace(replace(replace(regexp_replace(upper(text), '[^ACGTRYN]', '', 'g'), 'T', '[TU]'), 'R', '[AG]'), 'Y', '[C<U]'), 'N', '[ACG<U]')
+ .replace('<', 'T') AS pattern, substr('-ACMGRSVTWYHKDBN', 1 + (CASE WHEN contains(b, 'a') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'c') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'g') THEN 4 ELSE 0 END + CASE WHEN contains(b, 't') THEN 8 ELSE 0 END), 1) AS amb
+ FROM (SELECT doc_id, text, substr(regexp_replace(text, '[^acgt]', '', 'g'), 1, 3) AS b FROM documents)"""
+
+
+# codons
+
+
+def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sequences(spark, sf_dir).where(F.length("seq") >= 3)
+    s = F.col("seq")
+    return rows.select("doc_id", codons.translate(s).alias("f1"), codons.translate(s, 2, 3, trim=True).alias("f3"), codons.translate(s, 11, -2, clean=True).alias("r2"), codons.translate(s, 11, 1, mark_start=True).alias("marked"))
+
+
+def _translated(name: str, seq: str, number: int, frame: int) -> str:
+    return f"""{name} AS (SELECT doc_id, string_agg(aa, '' ORDER BY i) AS aa FROM (SELECT doc_id, i, substr(upper({seq}), i::INT, 3) AS codon FROM (SELECT doc_id, seq, unnest(range({frame}, length(seq) - 1, 3)) AS i FROM d)) JOIN (SELECT * FROM codes WHERE id = {number}) USING (codon) GROUP BY doc_id)"""
+
+
+def _translations_sql() -> str:
+    values = ", ".join(f"({i}, '{c}', '{a}', {'true' if s else 'false'})" for i, c, a, s, _ in codons.codon_rows() if i in (1, 2, 11))
+    # A codon may start a frame that opens at the front or behind a stop that did not itself open one.
+    marked = f"""steps AS (SELECT doc_id, i, aa, start FROM (SELECT doc_id, i, substr(upper(seq), i::INT, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 1, 3)) AS i FROM d)) JOIN (SELECT * FROM codes WHERE id = 11) USING (codon)),
+ runs AS (SELECT *, lag(aa, 1, 'x') OVER w AS prev, row_number() OVER w AS k, sum(CASE WHEN aa = '*' THEN 0 ELSE 1 END) OVER w AS block FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ placed AS (SELECT *, CASE WHEN aa = '*' THEN row_number() OVER (PARTITION BY doc_id, block, aa = '*' ORDER BY i) + CASE WHEN block = 0 THEN 1 ELSE 0 END ELSE 0 END AS stops FROM runs),
+ opened AS (SELECT *, k = 1 OR lag(stops, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS open FROM placed),
+ m AS (SELECT doc_id, string_agg(CASE WHEN open AND start THEN 'M' ELSE aa END, '' ORDER BY i) AS aa FROM opened GROUP BY doc_id)"""
+    return f"""WITH codes(id, codon, aa, start) AS (VALUES {values}), d AS (SELECT doc_id, seq FROM {SEQ} WHERE length(seq) >= 3), {_translated("a", "seq", 1, 1)}, {_translated("b", "seq", 2, 3)}, {_translated("c", REVCOM.format("seq"), 11, 2)}, {marked}
+SELECT d.doc_id, a.aa AS f1, coalesce(regexp_extract(b.aa, '^[^X*]*'), '') AS f3, coalesce(replace(c.aa, '*', 'X'), '') AS r2, m.aa AS marked FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def codon_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(codons.codon_rows(), "table_id int, codon string, aa string, is_start boolean, is_stop boolean")
+
+
+# qualities
+
+
+def quality_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("qual")
+    return qualities(spark, sf_dir).select(
+        "doc_id", F.aggregate(quality.quality_values(q), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.round(quality.mean_quality(q), 6).alias("mean_quality"), quality.convert_quality(q, "Illumina-1.8+", "Sanger", force=True).alias("sanger"), F.array_join(quality.guess_encodings(q), ",").alias("encodings")
+    )
+
+
+QUALITY_STRINGS = f"""WITH q AS (SELECT doc_id, qual FROM {QUAL}), c AS (SELECT doc_id, ascii(u) AS b FROM (SELECT doc_id, unnest(string_split(qual, '')) AS u FROM q) WHERE u <> ''),
+ n AS (SELECT doc_id, b, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT doc_id, sum(n * (b - 33))::BIGINT AS total, min(b) AS lo, max(b) AS hi, sum(n) AS len, -10 * log10(sum(n * pow(10, -(b - 33) / 10)) / sum(n)) AS mq, bool_or(b IN (64, 65)) AS low_letters FROM n GROUP BY doc_id),
+ r AS (SELECT doc_id, bool_or(b = 66) AS b66 FROM (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, b) AS k FROM n) WHERE k <= 2 GROUP BY doc_id)
+SELECT q.doc_id, coalesce(total, 0)::BIGINT AS total, round(coalesce(mq, 0.0), 6) AS mean_quality, regexp_replace(qual, '[J-~]', 'I', 'g') AS sanger,
+ CASE WHEN len IS NULL THEN 'Sanger,Solexa,Illumina-1.3+,Illumina-1.5+,Illumina-1.8+' WHEN lo >= 66 AND NOT low_letters AND b66 THEN 'Illumina-1.5+' ELSE array_to_string(list_filter(['Sanger', CASE WHEN lo >= 59 THEN 'Solexa' END, CASE WHEN lo >= 64 THEN 'Illumina-1.3+' END, CASE WHEN lo >= 66 AND NOT low_letters THEN 'Illumina-1.5+' END, 'Illumina-1.8+'], lambda x: x IS NOT NULL), ',') END AS encodings
+ FROM q LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+def quality_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n")).select("l_quantity", "n", F.round(quality.phred_to_solexa(q), 6).alias("solexa"), F.round(quality.solexa_to_phred(q), 6).alias("phred"))
+
+
+QUALITY_SCALES = """SELECT l_quantity, count(*) AS n, round(CASE WHEN l_quantity = 0 THEN -5 ELSE greatest(-5, 10 * log10(pow(10, l_quantity / 10) - 1)) END, 6) AS solexa, round(10 * log10(pow(10, l_quantity / 10) + 1), 6) AS phred FROM lineitem GROUP BY l_quantity"""
+
+
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.byte_histogram(qualities(spark, sf_dir), "qual", ["lang"])
+
+
+BYTE_HISTOGRAM = f"SELECT lang, u AS letter, count(*) AS n FROM (SELECT lang, unnest(string_split(qual, '')) AS u FROM {QUAL}) WHERE u <> '' GROUP BY ALL"
+
+
+# sketches
+
+_SIGNED = "CASE WHEN {0} >= 9223372036854775808 THEN {0}::HUGEINT - 18446744073709551616 ELSE {0}::HUGEINT END::BIGINT"
+
+
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.kmer_codes_native(sequences(spark, sf_dir).select("doc_id", "seq"), 5).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def _kmer_sql(seq: str, k: int) -> str:
+    return " + ".join(f"(strpos('ACGT', substr({seq}, (i + {j + 1})::INT, 1)) - 1) * {4 ** (k - 1 - j)}" for j in range(k))
+
+
+KMER_COUNTS = f"""WITH d AS (SELECT doc_id, upper(seq) AS f, {REVCOM.format('upper(seq)')} AS r, length(seq) AS n FROM {SEQ}), x AS (SELECT *, unnest(range(0, n - 4)) AS k FROM d WHERE n >= 5),
+ y AS (SELECT doc_id, (SELECT {_kmer_sql('x.f', 5)} FROM (SELECT k AS i)) AS a, (SELECT {_kmer_sql('x.r', 5)} FROM (SELECT n - 5 - k AS i)) AS b FROM x)
+SELECT least(a, b)::BIGINT AS code, count(*) AS n, count(DISTINCT doc_id) AS docs FROM y GROUP BY 1"""
+
+
+def kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "kmers", k=5).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def _hash_sql(name: str, k: int) -> str:
+    """A common table of canonical ntHashes: doc_id, i, h (UBIGINT), n."""
+    rol = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & ((1 << 64) - 1)
+    pair = dict(zip("ACGT", "TGCA", strict=True))
+    values = ", ".join(f"('{b}', {j}, {rol(sketches.SEEDS[b], k - 1 - j)}::UBIGINT, {rol(sketches.SEEDS[pair[b]], j)}::UBIGINT)" for b in "ACGT" for j in range(k))
+    return f"""{name} AS (SELECT doc_id, p - j AS i, least(bit_xor(f), bit_xor(r)) AS h FROM (SELECT doc_id, length(seq) AS n, unnest(range(0, length(seq))) AS p, unnest(string_split(upper(seq), '')) AS b FROM {SEQ} WHERE length(seq) >= {k})
+ JOIN (VALUES {values}) v(b, j, f, r) USING (b) WHERE p - j >= 0 AND p - j <= n - {k} GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY doc_id, p - j")
+
+
+def nthash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "nthash", k=5).drop("seq")
+
+
+def nthash_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.nthash_native(sequences(spark, sf_dir), "doc_id", 5)
+
+
+NTHASH = f"WITH {_hash_sql('x', 5)} SELECT doc_id, i::INT AS idx, {_SIGNED.format('h')} AS code FROM x"
+
+
+def scaled_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.scaled_minhash(sequences(spark, sf_dir).select("doc_id", "seq"), 7, 10).drop("seq")
+
+
+SCALED_MINHASH = f"WITH {_hash_sql('x', 7)} SELECT doc_id, i::INT AS idx, {_SIGNED.format('h')} AS code FROM x WHERE h <= 1844674407370955161::UBIGINT"
+
+
+def minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "minimizers", k=7, w=5).drop("seq")
+
+
+MINIMIZERS = f"""WITH {_hash_sql('x', 7)}, w AS (SELECT doc_id, i, min({{'h': h, 'i': i}}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM x)
+SELECT DISTINCT doc_id, m.i::INT AS idx, {_SIGNED.format('m.h')} AS code FROM w WHERE n = 5"""
+
+
+def syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "syncmers", k=6, s=3).drop("seq")
+
+
+SYNCMERS = f"""WITH {_hash_sql('x', 6)}, {_hash_sql('y', 3)}, w AS (SELECT doc_id, i, min({{'h': h, 'i': i}}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS m, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n FROM y),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN m.i < i + 3 THEN m.i ELSE m.i - 3 END AS i FROM w WHERE n = 6)
+SELECT doc_id, i::INT AS idx, {_SIGNED.format('h')} AS code FROM s JOIN x USING (doc_id, i) JOIN (SELECT doc_id FROM {SEQ} WHERE length(seq) >= 8) USING (doc_id)"""
+
+
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "simhash", k=21, m=5, scale=5).drop("seq")
+
+
+def protein_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "protein_kmers", k=10).drop("seq")
+
+
+def protein_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "protein_minimizers", k=10, w=5).drop("seq")
+
+
+# taxonomy
+
+_TREE = """nodes AS (SELECT 1::BIGINT AS taxid, 1::BIGINT AS parent, 'no rank' AS rank, '' AS name UNION ALL SELECT r_regionkey + 10, 1, 'region', r_name FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10, 'nation', n_name FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100, 'supplier', s_name FROM supplier),
+ merged AS (SELECT s_suppkey + 900000 AS old, s_suppkey + 1000 AS new FROM supplier WHERE s_suppkey % 7 = 0),
+ path AS (SELECT taxid, parent, [taxid] AS p FROM nodes UNION ALL SELECT path.taxid, nodes.parent, list_concat([nodes.taxid], path.p) FROM path JOIN nodes ON path.parent = nodes.taxid WHERE nodes.taxid <> 1 AND path.taxid <> 1),
+ lineage AS (SELECT taxid, arg_max(p, len(p)) AS p FROM path GROUP BY taxid), ids AS (SELECT taxid FROM nodes UNION ALL SELECT old FROM merged UNION ALL SELECT 777777)"""
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    return t.nodes.select("taxid").unionByName(t.merged.select(F.col("old").alias("taxid"))).unionByName(spark.range(1).select(F.lit(777777).cast("long").alias("taxid")))
+
+
+def tax_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    return t.at_or_below(t.with_rank(t.with_name(t.resolved(_ids(spark, sf_dir)))), "Nation")
+
+
+TAX_RESOLVE = f"""WITH RECURSIVE {_TREE}, r AS (SELECT ids.taxid, coalesce(n.taxid, new, ids.taxid) AS resolved, n.taxid IS NOT NULL OR new IS NOT NULL AS known FROM ids LEFT JOIN nodes n ON n.taxid = ids.taxid LEFT JOIN merged ON old = ids.taxid)
+SELECT r.taxid, r.resolved, r.known, coalesce(n.name, '') AS name, coalesce(n.rank, '') AS rank, coalesce(n.rank IN ('nation', 'supplier'), false) AS at_or_below FROM r LEFT JOIN nodes n ON n.taxid = r.resolved"""
+
+
+def tax_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    rows = t.with_lineage(_ids(spark, sf_dir), names=True)
+    return rows.select("taxid", F.array_join(F.transform("lineage", lambda x: x.cast("string")), ";").alias("lineage"), F.array_join("lineage_names", ";").alias("names"))
+
+
+TAX_LINEAGE = f"""WITH RECURSIVE {_TREE}, r AS (SELECT ids.taxid, coalesce(n.taxid, new) AS t FROM ids LEFT JOIN nodes n ON n.taxid = ids.taxid LEFT JOIN merged ON old = ids.taxid), u AS (SELECT taxid, unnest(p) AS x, unnest(range(len(p))) AS i FROM lineage),
+ v AS (SELECT u.taxid, string_agg(u.x::VARCHAR, ';' ORDER BY i) AS lineage, string_agg(n.name, ';' ORDER BY i) AS names FROM u JOIN nodes n ON n.taxid = u.x GROUP BY 1) SELECT r.taxid, v.lineage, v.names FROM r LEFT JOIN v ON v.taxid = r.t"""
+
+
+def tax_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree(spark, sf_dir)
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(n)).select((F.col("s_suppkey") + F.when(F.col("s_suppkey") % 7 == 0, 900_000).otherwise(1000)).alias("a"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_nationkey") + 100).when(F.col("s_suppkey") % 11 == 0, 777777).otherwise((F.col("s_suppkey") * 3) % F.col("n") + 1000).cast("long").alias("b"))
+    return t.lca(s)
+
+
+TAX_LCA = f"""WITH RECURSIVE {_TREE}, s AS (SELECT s_suppkey + CASE WHEN s_suppkey % 7 = 0 THEN 900000 ELSE 1000 END AS a, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 100 WHEN s_suppkey % 11 = 0 THEN 777777 ELSE s_suppkey * 3 % (SELECT count(*) FROM supplier) + 1000 END AS b FROM supplier),
+ r AS (SELECT a, b, coalesce(na.taxid, ma.new) AS ra, coalesce(nb.taxid, mb.new) AS rb FROM s LEFT JOIN nodes na ON na.taxid = a LEFT JOIN merged ma ON ma.old = a LEFT JOIN nodes nb ON nb.taxid = b LEFT JOIN merged mb ON mb.old = b)
+SELECT r.a, r.b, CASE WHEN r.a = r.b THEN r.a WHEN ra IS NULL OR rb IS NULL THEN 0 ELSE coalesce(list_last(list_filter(la.p, lambda x: list_contains(lb.p, x))), 1) END::BIGINT AS lca FROM r LEFT JOIN lineage la ON la.taxid = ra LEFT JOIN lineage lb ON lb.taxid = rb"""
+
+
+# features
+
+
+def gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    a, n = F.col("l_partkey"), F.col("l_linenumber")
+    strand = F.when(n % 2 == 0, "-").otherwise("+")
+    first, last = F.when(n % 2 == 0, a + 50).otherwise(a), F.when(n % 2 == 0, a).otherwise(a + 50)
+    attrs = F.concat(F.lit('gene_id "g'), a, F.lit('"; db_xref "x"; db_xref "'), n, F.lit('"; '))
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("l_suppkey") % 5), F.lit("sim"), F.when(n % 3 == 0, "CDS").otherwise("exon"), first, last, F.when(n % 3 == 1, ".").otherwise(n.cast("string")), strand, F.when(n % 4 == 3, ".").otherwise((n % 3).cast("string")), attrs)
+    rows = features.parse_gtf(li.select(line.alias("value")), chromosomes=["CHR1", "chr2"], features=["EXON"], attributes=["db_xref"])
+    return rows.groupBy("seqname", "strand", "frame").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum("score").alias("scores"), F.sum(F.size("attributes")).alias("attrs"), F.max(F.element_at("attributes", -1)["value"]).alias("last"))
+
+
+GTF = """WITH x AS (SELECT 'chr' || (l_suppkey % 5) AS seqname, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE l_linenumber % 3 END AS frame, l_partkey AS s, l_linenumber AS n FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_suppkey % 5 IN (1, 2))
+SELECT seqname, strand, frame::INT AS frame, count(*) AS n, sum(s)::BIGINT AS starts, sum(s + 50)::BIGINT AS ends, sum(CASE WHEN n % 3 = 1 THEN NULL ELSE n::DOUBLE END) AS scores, (2 * count(*))::BIGINT AS attrs, max(n::VARCHAR) AS last FROM x GROUP BY ALL"""
+
+
+def _bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    start = F.col("o_orderkey") % 100000
+    return o.select(F.concat_ws("\t", F.concat(F.lit("chr"), F.col("o_custkey") % 7), start, start + 10 + F.col("o_custkey") % 90, F.col("o_orderpriority"), F.col("o_custkey") % 1000, F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("."), start, start + 5, F.lit("0,0,0"), F.lit(2), F.lit("4,5,"), F.lit("0,5,")).alias("value"))
+
+
+def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.parse_bed(_bed_lines(spark, sf_dir), 12)
+    again = features.parse_bed(features.format_bed(rows, 12), 12)
+    return again.groupBy("chrom", "strand").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("thick_end").alias("thick"), F.sum(F.element_at("block_sizes", 2)).alias("blocks"), F.max("name").alias("name"))
+
+
+BED = """SELECT 'chr' || (o_custkey % 7) AS chrom, CASE WHEN o_orderkey % 2 = 0 THEN '+' END AS strand, count(*) AS n, sum(10 + o_custkey % 90)::BIGINT AS length, sum(o_orderkey % 100000 + 5)::BIGINT AS thick, (5 * count(*))::BIGINT AS blocks, max(o_orderpriority) AS name FROM orders GROUP BY ALL"""
+
+
+def bed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.parse_bed(_bed_lines(spark, sf_dir), 4)
+    urgent, low = rows.where("name = '1-URGENT'"), rows.where("name = '5-LOW'")
+    return features.overlaps(urgent, low, width=256).groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.least("chrom_end", "chrom_end_b") - F.greatest("chrom_start", "chrom_start_b")).cast("long").alias("shared"))
+
+
+BED_OVERLAPS = """WITH x AS (SELECT o_custkey % 7 AS c, o_orderkey % 100000 AS s, o_orderkey % 100000 + 10 + o_custkey % 90 AS e, o_orderpriority AS p FROM orders)
+SELECT 'chr' || a.c AS chrom, count(*) AS n, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS shared FROM x a JOIN x b ON a.c = b.c AND a.s < b.e AND b.s < a.e WHERE a.p = '1-URGENT' AND b.p = '5-LOW' GROUP BY a.c"""
+
+
+# files
+
+
+def _fasta(spark: SparkSession, sf_dir: str, width: int = 60) -> tuple[str, DataFrame]:
+    path = shared_path(spark, "fasta")
+    rows = sequences(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(" ["), F.col("lang"), F.lit("] a > b")).alias("name"), "seq")
+    fastx.write_fastx(rows, path, width)
+    return path, rows
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastx.read_fasta(spark, _fasta(spark, sf_dir)[0]).select("id", "desc", "seq", "alphabet")
+
+
+FASTA_ROUND_TRIP = f"SELECT 'doc' || doc_id AS id, '[' || lang || '] a > b' AS \"desc\", seq, CASE WHEN seq = '' THEN 'Unlimit' ELSE 'DNA' END AS alphabet FROM {SEQ}"
+
+
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "fastq")
+    rows = qualities(spark, sf_dir).select(F.concat(F.lit("read"), F.col("doc_id")).alias("name"), F.translate("qual", "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACG").alias("seq"), "qual")
+    fastx.write_fastx(rows.where("qual <> ''"), path, compression="gzip")
+    return fastx.read_fastx(spark, path).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
+
+
+def fasta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = _fasta(spark, sf_dir)
+    return fai.build_index(spark, path).select("name", "length", "bases_per_line", (F.col("bytes_per_line") - F.col("bases_per_line")).alias("line_end")).where("length > 0")
+
+
+FASTA_INDEX = f"SELECT 'doc' || doc_id AS name, length(seq) AS length, least(60, length(seq))::INT AS bases_per_line, 1::INT AS line_end FROM {SEQ} WHERE seq <> ''"
+
+
+def fasta_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = _fasta(spark, sf_dir)
+    ranges = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in RANGES])
+    regions = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.inline(ranges))
+    got = fai.fetch(regions, fai.build_index(spark, path))
+    return got.select(F.substring("name", 4, 20).cast("long").alias("doc_id"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("seq").alias("sub"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Every query by name; each takes (spark, sf_dir)."""
+    return {
+        "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
+        "degenerate": degenerate, "translations": translations, "codon_tables": codon_tables, "quality_strings": quality_strings, "quality_scales": quality_scales, "byte_histogram": byte_histogram, "kmer_counts": kmer_counts, "kmer_codes": kmer_codes, "nthash": nthash,
+        "nthash_native": nthash_native, "scaled_minhash": scaled_minhash, "minimizers": minimizers, "syncmers": syncmers, "simhash": simhash, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers, "tax_resolve": tax_resolve, "tax_lineage": tax_lineage,
+        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return {
+        "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
+        "degenerate": DEGENERATE, "translations": _translations_sql(), "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "fasta_ranges": _range_sql(" AND a0 >= -n"),
+    }
