@@ -35,6 +35,13 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About so many of df's total rows (all, if there are fewer), by hash of a column: no sort, the same rows each time."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(42), key), F.lit(1_000_000_000)) < int(1_000_000_000 * rows / total))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, label) of at most per_class labelled rows of each class, picked by hash of the id.
 

@@ -154,12 +154,17 @@ def detections(w: Column) -> Column:
         sizes = F.transform(x["m"], _count)
         gaps = F.transform(F.split(w, x["r"]["pattern"], -1), _count)
         total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-        return F.transform(
-            sizes,
-            lambda size, k: F.struct(
-                (total(F.slice(gaps, 1, k + 1)) + total(F.slice(sizes, 1, k))).alias("start"), size.alias("size"), x["r"]["priority"].alias("priority"), x["r"]["rule"].alias("rule"), x["r"]["label"].alias("label")
-            ),
-        )
+
+        def at(both: Column) -> Column:
+            return F.transform(
+                both["sizes"],
+                lambda size, k: F.struct(
+                    (total(F.slice(both["gaps"], 1, k + 1)) + total(F.slice(both["sizes"], 1, k))).alias("start"), size.alias("size"), x["r"]["priority"].alias("priority"), x["r"]["rule"].alias("rule"), x["r"]["label"].alias("label")
+                ),
+            )
+
+        # One element: inside it sizes and gaps are values, not expressions that each match would compute again.
+        return F.flatten(F.transform(F.array(F.struct(sizes.alias("sizes"), gaps.alias("gaps"))), at))
 
     none = F.array().cast("array<struct<start:int,size:int,priority:int,rule:int,label:string>>")
     return F.when(F.rlike(w, F.lit(GATE.replace(" ", "  ")[1:-1])), F.flatten(F.transform(found, placed))).otherwise(none)

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sampled, table, written
 
-#: Vectors that the centroids are fitted on at most, and the most lists. All vectors are put into lists.
+#: Vectors that the centroids are fitted on (about; twice as many at most), and the most lists. All vectors are put into lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Share of the lists that a query visits, and how many at least.
 PROBED, LEAST_PROBED = 0.8, 8
@@ -98,9 +98,9 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
 def best(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", probed: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest by cosine, largest first, ties to the smaller id.
 
-    queries and vectors have the columns vec_id and embedding, all of one length; others do not count. A query is no
-    candidate of its own. Vectors that are null, zero or hold null or non-finite components take no part. Rows that
-    repeat an id: the one with the smallest vector counts. With fewer than k candidates all are returned.
+    queries and vectors have the columns vec_id and embedding; others do not count. A query is no candidate of its own.
+    Vectors that are null, zero, hold null or non-finite components, or are shorter than the longest take no part. Rows
+    that repeat an id: the one with the smallest vector counts. With fewer than k candidates all are returned.
     """
     spark = vectors.sparkSession
     one = lambda df: df.groupBy("id").agg(F.min("v").alias("v"))
@@ -110,9 +110,10 @@ def best(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_
     if not shape.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, turn = shape.dims, rotation(shape.dims)
+    base, asked = (df.where(F.size("v") == dims) for df in (base, asked))
     lists = int(np.clip(round(shape.n**0.5 / 4), 1, MOST_LISTS))
     # The sample is bounded, and so are the centroids.
-    sample = np.array([r.v for r in base.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toLocalIterator()])
+    sample = np.array([r.v for r in sampled(base, "id", SAMPLE, shape.n).select("v").limit(2 * SAMPLE).toLocalIterator()])
     centre = centroids(_unit(sample) @ turn, lists)
     visits = lists if lists <= LEAST_PROBED else max(LEAST_PROBED, int(np.ceil(probed * lists)))
     sent = spark.sparkContext.broadcast((turn, centre))
