@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import IUPAC, complement
+from .sequence import IUPAC, complement, let
 
 # The public genetic codes. The standard code in the order T, C, A, G of each base; every other code by
 # its differences from it, its start codons, and its stop codons where they are not those translated to '*'.
@@ -134,7 +134,7 @@ def translate(seq: Column, table: int | CodonTable = 1, frame: int = 1, trim: bo
     places = F.when(n - 2 >= at, F.sequence(F.lit(at), n - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
     cells = F.lit(t.cells())
     unknown = F.lit("X") if allow_unknown else F.raise_error(F.concat(F.lit("unknown codon in "), seq)).cast("string")
-    codons = F.transform(places, lambda i: F.substr(coded, i, F.lit(3)))
+    codons = let(coded, lambda x: F.transform(places, lambda i: F.substr(x, i, F.lit(3))))
     aminos = F.transform(codons, lambda c: F.when(F.contains(c, F.lit("g")), unknown).otherwise(F.substr(cells, F.conv(c, 16, 10).cast("int") + 1, F.lit(1))))
     if mark_start:
         start = F.array(*[F.lit("".join(f"{LETTERS.index(b):x}" for b in c)) for c in sorted(t.starts)])

@@ -5,6 +5,8 @@ All are compositions of built-in expressions. Sequences are strings; a null sequ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ GAPS = " -."
 IUPAC = "-ACMGRSVTWYHKDBN"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; inside a higher-order function an expression is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _class(chars: str) -> str:
     return "[" + "".join(f"\\{c}" if c in r"\-[]^*." else c for c in dict.fromkeys(chars)) + "]"
 
@@ -154,7 +161,7 @@ def slider(seq: Column, window: int, step: int, circular: bool = False, greedy:
     source = F.concat(seq, F.substring(seq, 1, window - 1)) if circular and window > 1 else seq
     last = n - 1 if circular or greedy else n - window
     places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("start"), F.substr(source, i + 1, F.lit(window)).alias("seq")))
+    return let(source, lambda s: F.transform(places, lambda i: F.struct(i.alias("start"), F.substr(s, i + 1, F.lit(window)).alias("seq"))))
 
 
 # degenerate letters
