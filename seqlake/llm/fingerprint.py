@@ -73,26 +73,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row's doc_id, text and print, with next_text and next_print of the next row by descending doc_id.
+    """Each row's doc_id and text, with next_text of the next row by descending doc_id.
 
     After the last row comes the first again. Rows of equal id follow each other by text; null ids come last. Rows are
-    dealt by ranges of ids. The last row of a range takes the head of the next range that has rows, so that of each
-    range only the head's row moves; no task sorts all rows.
+    dealt by ranges of ids, once. The last row of a range takes the head of the next range that has rows: of each range
+    one head moves, and no task sorts all rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", fingerprint(F.col("text"))).withColumn("range", F.shiftright("doc_id", RANGE_BITS))
+    range_ = F.coalesce(F.shiftright("doc_id", RANGE_BITS), F.lit(-(1 << 62)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_.alias("range"))
     inner = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    linked = rows.withColumn("next", F.lead(F.struct("text", "print")).over(inner))
-    ids = docs.groupBy(F.shiftright("doc_id", RANGE_BITS).alias("range")).agg(F.max("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    heads = texts.join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).groupBy("i.range").agg(F.min("d.text").alias("text"))
-    order = Window.orderBy(F.col("range").desc_nulls_last())
-    ranges = ids.select("range", F.row_number().over(order).alias("place"))
-    last = ranges.agg(F.max("place").alias("n"))
-    follows = ranges.crossJoin(F.broadcast(last)).select("range", (F.col("place") % F.col("n") + 1).alias("place"))
-    heads = ranges.join(heads, ranges["range"].eqNullSafe(heads["range"])).select("place", F.struct("text", fingerprint(F.col("text")).alias("print")).alias("head"))
-    follows = follows.join(heads, "place").select(F.col("range").alias("of"), "head")
-    out = linked.join(follows, linked["range"].eqNullSafe(follows["of"]), "left").withColumn("next", F.coalesce("next", "head"))
-    return out.select("doc_id", "text", "print", F.col("next.text").alias("next_text"), F.col("next.print").alias("next_print"))
+    linked = rows.withColumns({"next": F.lead("text").over(inner), "place": F.row_number().over(inner)})
+    ranges = docs.select(range_.alias("range")).distinct()
+    order = Window.orderBy(F.col("range").desc())
+    numbered = ranges.select("range", F.row_number().over(order).alias("i"))
+    n = numbered.agg(F.max("i").alias("n"))
+    follows = numbered.crossJoin(F.broadcast(n)).select(F.col("range").alias("of"), (F.col("i") % F.col("n") + 1).alias("i"))
+    follows = follows.join(numbered, "i").select("of", "range")
+    # The heads come from the same deal of rows; only they move to the range before.
+    heads = linked.where("place = 1").select("range", F.col("text").alias("head")).join(follows, "range").select(F.col("of").alias("range"), "head")
+    return linked.join(heads, "range", "left").select("doc_id", "text", F.coalesce("next", "head").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -104,7 +103,7 @@ def edited(text: Column, following: Column) -> Column:
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts count as empty; a single row is its own next; equal texts have equal fingerprints."""
     rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_print", fingerprint(F.col("edited")))
+    rows = rows.withColumns({"print": fingerprint(F.col("text")), "next_print": fingerprint(F.col("next_text")), "edited_print": fingerprint(F.col("edited"))})
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
