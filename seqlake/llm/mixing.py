@@ -114,14 +114,15 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("end_of").orderBy("doc_key")))
     cut = inside.groupBy("end_of", "end_block").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("doc_key"))), F.lit("")).alias("end_doc"))
     plan = written(plan.join(cut, F.col("of").eqNullSafe(F.col("end_of")), "left").drop("end_of"))
+    plan = plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})
     # One row for each source meets the documents here; their texts are not shuffled.
-    rows = docs.withColumn("mix_tokens", tokens(F.col(text))).join(plan, F.col(source).eqNullSafe(F.col("of")))
-    rows = rows.withColumn("mix_block", _block(_key(F.lit(seed), source, doc_id), "blocks"))
-    in_last = F.struct(_key(F.lit(seed), F.col(source), F.col("full") + 1, F.col("mix_block")), _key(F.lit(seed), F.col(source), F.col("full") + 1, F.col(doc_id))) <= F.struct("end_block", "end_doc")
-    passes = F.col("full") + F.when(F.col("rest") > 0, F.coalesce(in_last, F.lit(False)).cast("int")).otherwise(0)
-    rows = rows.withColumn("passes", passes).where("passes > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    rows = docs.withColumn("mix_tokens", tokens(F.col(text))).join(plan, F.col(source).eqNullSafe(F.col("__of")))
+    rows = rows.withColumn("mix_block", _block(_key(F.lit(seed), source, doc_id), "__blocks"))
+    in_last = F.struct(_key(F.lit(seed), F.col(source), F.col("__full") + 1, F.col("mix_block")), _key(F.lit(seed), F.col(source), F.col("__full") + 1, F.col(doc_id))) <= F.struct("__end_block", "__end_doc")
+    passes = F.col("__full") + F.when(F.col("__rest") > 0, F.coalesce(in_last, F.lit(False)).cast("int")).otherwise(0)
+    rows = rows.withColumn("__passes", passes).where("__passes > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
     rows = rows.withColumn("mix_key", F.concat(F.substring(_key(F.lit(seed), F.col(source), F.col("mix_pass"), F.col("mix_block")), 1, 12), F.substring(_key(F.lit(seed), F.col(source), F.col("mix_pass"), F.col(doc_id)), 1, 20)))
-    return rows.withColumn("mix_weight", F.col("weight")).select(*docs.columns, *own)
+    return rows.withColumn("mix_weight", F.col("__weight")).select(*docs.columns, *own)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
