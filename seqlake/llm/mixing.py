@@ -127,4 +127,4 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(docs).drop("text")
+    return mixed(docs).drop("text").withColumn("mix_weight", F.round("mix_weight", 9))
