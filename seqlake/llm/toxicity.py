@@ -1,6 +1,7 @@
 """Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Words enter as the sum of a word vector and the mean vector of their character n-grams, both hashed. The network
+Words enter as a word vector, the mean vector of their character n-grams (both learned and hashed), and what the sample
+says of the word and its n-grams: how much more often, surely, they stand in toxic documents. The network
 reads every window of WINDOW words (they overlap by OVERLAP), pools its states by attention and scores the window; a
 document's score is that of its highest window. Labels are known for documents only: a window of a toxic document is
 a positive example if it holds one of the words or n-grams that the labelled sample ties to toxicity.
@@ -21,9 +22,13 @@ from .words import _LOWER, Words, chunks, mix, words
 WINDOW, OVERLAP = 32, 8
 #: Rows of the two hashed tables of vectors, and the vectors' width.
 BUCKETS, DIM, HIDDEN, POOL = 1 << 15, 8, 8, 8
-GRAMS = (3, 5)
+#: Inputs of a word that are not learned: evidence of the word, greatest and mean evidence of its n-grams.
+FIXED = 3
+#: Evidence (log odds) from which on a word makes a toxic document's window a positive example.
+TELLING = 1.7
+GRAMS = (3, 5, 6, 8)
 #: Labelled rows of each class that the model is fitted on at most.
-PER_CLASS = 1200
+PER_CLASS = 1800
 
 
 class Vocabulary:
@@ -56,14 +61,29 @@ class Vocabulary:
         self.gram, self.owner = gram[order], owner[order]
         self.counts = np.bincount(self.owner, minlength=self.n)
 
+    def only(self, chosen: np.ndarray) -> Vocabulary:
+        """The chosen words alone, in their order."""
+        out = object.__new__(Vocabulary)
+        counts = self.counts[chosen]
+        out.owner = np.repeat(np.arange(len(chosen)), counts)
+        before = np.cumsum(self.counts) - self.counts
+        out.gram = self.gram[before[chosen][out.owner] + np.arange(len(out.owner)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        out.n, out.word, out.counts = len(chosen), self.word[chosen], counts
+        return out
+
     def vectors(self, m: dict) -> np.ndarray:
         """Word and character inputs side by side, one row for each distinct word."""
-        out = np.zeros((self.n, 2 * DIM), np.float32)
+        out = np.zeros((self.n, 2 * DIM + FIXED), np.float32)
         out[:, :DIM] = m["words"][self.word]
+        out[:, 2 * DIM] = m["word_evidence"][self.word]
         if len(self.gram):
             full = np.flatnonzero(self.counts)
-            sums = np.add.reduceat(m["grams"][self.gram], np.concatenate([[0], np.cumsum(self.counts[full])[:-1]]), axis=0)
-            out[full, DIM:] = sums / self.counts[full, None]
+            starts = np.concatenate([[0], np.cumsum(self.counts[full])[:-1]])
+            sums = np.add.reduceat(m["grams"][self.gram], starts, axis=0)
+            out[full, DIM : 2 * DIM] = sums / self.counts[full, None]
+            evidence = m["gram_evidence"][self.gram]
+            out[full, 2 * DIM + 1] = np.maximum.reduceat(evidence, starts)
+            out[full, 2 * DIM + 2] = np.add.reduceat(evidence, starts) / self.counts[full]
         return out
 
 
@@ -147,45 +167,43 @@ def score(m: dict, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
     return out
 
 
-def _evidence(size: int, item: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log odds of each bucket's documents, and which buckets tell toxic documents on their own."""
+def _evidence(size: int, item: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each bucket the log odds of its toxic and clean documents, less 1.5 standard errors; 0 at least."""
     pair = np.unique(item * np.int64(len(toxic)) + doc)
     bucket, doc = pair // len(toxic), pair % len(toxic)
-    pos = np.bincount(bucket[toxic[doc]], minlength=size)
-    neg = np.bincount(bucket[~toxic[doc]], minlength=size)
-    a, b = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    odds = np.log((pos + 1) / (a + 2)) - np.log((neg + 1) / (b + 2))
-    return odds * (pos + neg) / (pos + neg + 20), (pos >= 6) & (pos / a > 12 * (neg + 0.5) / b)
+    pos = np.bincount(bucket[toxic[doc]], minlength=size) + 0.5
+    neg = np.bincount(bucket[~toxic[doc]], minlength=size) + 0.5
+    odds = np.log(pos / max(1, int(toxic.sum()))) - np.log(neg / max(1, int((~toxic).sum())))
+    return np.maximum(0, odds - 1.5 * np.sqrt(1 / pos + 1 / neg)).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3) -> dict:
-    """Weights by back-propagation through time and Adam over windows."""
+def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, updates: int = 400) -> dict:
+    """Weights by back-propagation through time and Adam over windows: so many epochs, and more until so many updates."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, s=0.3: rng.normal(0, s, shape).astype(np.float32)
     m = {"words": normal(BUCKETS, DIM, s=0.02), "grams": normal(BUCKETS, DIM, s=0.02), "A": normal(2 * HIDDEN, POOL), "a": normal(POOL), "o": normal(2 * HIDDEN), "q": np.float32(-1.0), "empty": 0.01}
+    m |= {"word_evidence": np.zeros(BUCKETS, np.float32), "gram_evidence": np.zeros(BUCKETS, np.float32)}
     for d in (0, 1):
-        m |= {f"X{d}": normal(2 * DIM, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32), f"R{d}": normal(HIDDEN, 2 * HIDDEN), f"C{d}": normal(HIDDEN, HIDDEN)}
+        m |= {f"X{d}": normal(2 * DIM + FIXED, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32), f"R{d}": normal(HIDDEN, 2 * HIDDEN), f"C{d}": normal(HIDDEN, HIDDEN)}
     toxic = np.asarray(labels, int) == 1
-    if len(set(toxic[0::5])) < 2 or len(set(np.delete(toxic, np.s_[0::5]))) < 2:
+    if len(set(toxic[0::3])) < 2 or len(set(np.delete(toxic, np.s_[0::3]))) < 2:
         return m  # too few examples
-    # Every fifth document is kept aside to place the threshold with.
-    aside, aside_toxic = texts[0::5], toxic[0::5]
-    texts, toxic = [t for i, t in enumerate(texts) if i % 5], np.delete(toxic, np.s_[0::5])
+    # Every third document is kept aside to place the threshold with.
+    aside, aside_toxic = texts[0::3], toxic[0::3]
+    texts, toxic = [t for i, t in enumerate(texts) if i % 3], np.delete(toxic, np.s_[0::3])
     w = words(texts)
     begin, size, doc = windows(w)
     v = Vocabulary(w)
-    odds_w, tells_w = _evidence(BUCKETS, v.word[v.index], w.doc, toxic)
+    m["word_evidence"] = _evidence(BUCKETS, v.word[v.index], w.doc, toxic)
     seen = np.unique(v.index * np.int64(len(texts)) + w.doc)
     starts = np.concatenate([[0], np.cumsum(v.counts)])
     word_of, doc_of = seen // len(texts), seen % len(texts)
     spread = np.repeat(np.arange(len(seen)), v.counts[word_of])
     gram = v.gram[starts[word_of][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(v.counts[word_of]) - v.counts[word_of], v.counts[word_of])]
-    odds_g, tells_g = _evidence(BUCKETS, gram, doc_of[spread], toxic)
-    m["words"][:, 0] += 0.5 * odds_w.astype(np.float32)
-    m["grams"][:, 0] += 0.5 * odds_g.astype(np.float32)
-    m["grams"][:, 1] += 3.0 * tells_g
-    m["words"][:, 1] += 1.0 * tells_w
-    telling = tells_w[v.word] | (np.bincount(v.owner, tells_g[v.gram], v.n) > 0)
+    m["gram_evidence"] = _evidence(BUCKETS, gram, doc_of[spread], toxic)
+    of_grams = np.zeros(v.n, np.float32)
+    np.maximum.at(of_grams, v.owner, m["gram_evidence"][v.gram])
+    telling = np.maximum(of_grams, m["word_evidence"][v.word]) > TELLING
     found = np.concatenate([[0], np.cumsum(telling[v.index])])
     hit = found[begin + size] > found[begin]
     positive, negative = np.flatnonzero(toxic[doc] & hit), np.flatnonzero(~toxic[doc])
@@ -197,9 +215,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3) ->
     place = np.arange(WINDOW)
     moments: dict = {}
     step = 0
-    for _ in range(epochs):
-        order = rng.permutation(used)
-        for part in np.array_split(order, max(1, len(order) // 192)):
+    batches = max(1, len(used) // 192)
+    for _ in range(max(epochs, -(-updates // batches))):
+        for part in np.array_split(rng.permutation(used), batches):
             mask = place < size[part, None]
             index = v.index[np.minimum(begin[part, None] + place, len(v.index) - 1)]
             distinct, index = np.unique(index, return_inverse=True)
@@ -225,13 +243,10 @@ def _calibrated(m: dict, texts: list[str], toxic: np.ndarray, share: float = 0.1
 
 def _gradients(m: dict, v: Vocabulary, distinct: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, dict]:
     """Gradients of the dense weights, and of the vectors: (rows, values) for each hashed table."""
-    starts = np.concatenate([[0], np.cumsum(v.counts)])
-    spread = np.repeat(np.arange(len(distinct)), v.counts[distinct])
-    gram = v.gram[starts[distinct][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(v.counts[distinct]) - v.counts[distinct], v.counts[distinct])]
-    share = (1 / np.maximum(1, v.counts[distinct])).astype(np.float32)
-    vectors = np.zeros((len(distinct), 2 * DIM), np.float32)
-    vectors[:, :DIM] = m["words"][v.word[distinct]]
-    np.add.at(vectors[:, DIM:], spread, m["grams"][gram] * share[spread, None])
+    v = v.only(distinct)
+    spread, gram = v.owner, v.gram
+    share = (1 / np.maximum(1, v.counts)).astype(np.float32)
+    vectors = v.vectors(m)
     kept: list[list] = [[], []]
     both = [_direction(vectors @ m[f"X{d}"] + m[f"B{d}"], index, mask, m[f"R{d}"], m[f"C{d}"], d == 1, kept[d]) for d in (0, 1)]
     states = np.concatenate(both, 2)
@@ -266,7 +281,7 @@ def _gradients(m: dict, v: Vocabulary, distinct: np.ndarray, index: np.ndarray,
             dh = np.where(live, dnew * (1 - z) + drh * reset + dzr @ r.T, dh)
         g |= {f"R{d}": dr, f"C{d}": drc, f"X{d}": vectors.T @ dgates, f"B{d}": dgates.sum(0)}
         dvectors += dgates @ m[f"X{d}"].T
-    return g, {"words": (v.word[distinct], dvectors[:, :DIM]), "grams": (gram, dvectors[spread, DIM:] * share[spread, None])}
+    return g, {"words": (v.word, dvectors[:, :DIM]), "grams": (gram, dvectors[spread, DIM : 2 * DIM] * share[spread, None])}
 
 
 def _update(m: dict, moments: dict, step: int, dense: dict, sparse: dict, rate: float = 0.01) -> None:
@@ -287,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars:
 
 def scored(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
     """Add the score (0 to 1) to every row; all windows of whole texts are read. Null counts as an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two hashed tables of fixed size: 2 MB
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # hashed tables of fixed size: 2 MB
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
