@@ -22,13 +22,13 @@ from .words import _LOWER, Words, chunks, mix, words
 WINDOW, OVERLAP = 32, 8
 #: Rows of the two hashed tables of vectors, and the vectors' width.
 BUCKETS, DIM, HIDDEN, POOL = 1 << 15, 8, 8, 8
-#: Inputs of a word that are not learned: evidence of the word, greatest and mean evidence of its n-grams.
-FIXED = 3
+#: Inputs of a word that are not learned: sure evidence and log odds of the word, and greatest and mean of its n-grams'.
+FIXED = 4
 #: Evidence (log odds) from which on a word makes a toxic document's window a positive example.
-TELLING = 1.7
-GRAMS = (3, 5, 6, 8)
+TELLING = 1.8
+GRAMS = (3, 5, 8)
 #: Labelled rows of each class that the model is fitted on at most.
-PER_CLASS = 1800
+PER_CLASS = 1500
 
 
 class Vocabulary:
@@ -76,14 +76,14 @@ class Vocabulary:
         out = np.zeros((self.n, 2 * DIM + FIXED), np.float32)
         out[:, :DIM] = m["words"][self.word]
         out[:, 2 * DIM] = m["word_evidence"][self.word]
+        out[:, 2 * DIM + 3] = m["word_odds"][self.word]
         if len(self.gram):
             full = np.flatnonzero(self.counts)
             starts = np.concatenate([[0], np.cumsum(self.counts[full])[:-1]])
             sums = np.add.reduceat(m["grams"][self.gram], starts, axis=0)
             out[full, DIM : 2 * DIM] = sums / self.counts[full, None]
-            evidence = m["gram_evidence"][self.gram]
-            out[full, 2 * DIM + 1] = np.maximum.reduceat(evidence, starts)
-            out[full, 2 * DIM + 2] = np.add.reduceat(evidence, starts) / self.counts[full]
+            out[full, 2 * DIM + 1] = np.maximum.reduceat(m["gram_evidence"][self.gram], starts)
+            out[full, 2 * DIM + 2] = np.add.reduceat(m["gram_odds"][self.gram], starts) / self.counts[full]
         return out
 
 
@@ -167,14 +167,14 @@ def score(m: dict, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
     return out
 
 
-def _evidence(size: int, item: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each bucket the log odds of its toxic and clean documents, less 1.5 standard errors; 0 at least."""
+def _evidence(size: int, item: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the log odds of its toxic and clean documents less 1.5 standard errors (0 at least), and shrunk."""
     pair = np.unique(item * np.int64(len(toxic)) + doc)
     bucket, doc = pair // len(toxic), pair % len(toxic)
     pos = np.bincount(bucket[toxic[doc]], minlength=size) + 0.5
     neg = np.bincount(bucket[~toxic[doc]], minlength=size) + 0.5
     odds = np.log(pos / max(1, int(toxic.sum()))) - np.log(neg / max(1, int((~toxic).sum())))
-    return np.maximum(0, odds - 1.5 * np.sqrt(1 / pos + 1 / neg)).astype(np.float32)
+    return np.maximum(0, odds - 1.5 * np.sqrt(1 / pos + 1 / neg)).astype(np.float32), (odds * (pos + neg - 1) / (pos + neg + 19)).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, updates: int = 400) -> dict:
@@ -182,7 +182,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, up
     rng = np.random.default_rng(seed)
     normal = lambda *shape, s=0.3: rng.normal(0, s, shape).astype(np.float32)
     m = {"words": normal(BUCKETS, DIM, s=0.02), "grams": normal(BUCKETS, DIM, s=0.02), "A": normal(2 * HIDDEN, POOL), "a": normal(POOL), "o": normal(2 * HIDDEN), "q": np.float32(-1.0), "empty": 0.01}
-    m |= {"word_evidence": np.zeros(BUCKETS, np.float32), "gram_evidence": np.zeros(BUCKETS, np.float32)}
+    m |= {name: np.zeros(BUCKETS, np.float32) for name in ("word_evidence", "word_odds", "gram_evidence", "gram_odds")}
     for d in (0, 1):
         m |= {f"X{d}": normal(2 * DIM + FIXED, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32), f"R{d}": normal(HIDDEN, 2 * HIDDEN), f"C{d}": normal(HIDDEN, HIDDEN)}
     toxic = np.asarray(labels, int) == 1
@@ -194,13 +194,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, up
     w = words(texts)
     begin, size, doc = windows(w)
     v = Vocabulary(w)
-    m["word_evidence"] = _evidence(BUCKETS, v.word[v.index], w.doc, toxic)
+    m["word_evidence"], m["word_odds"] = _evidence(BUCKETS, v.word[v.index], w.doc, toxic)
     seen = np.unique(v.index * np.int64(len(texts)) + w.doc)
     starts = np.concatenate([[0], np.cumsum(v.counts)])
     word_of, doc_of = seen // len(texts), seen % len(texts)
     spread = np.repeat(np.arange(len(seen)), v.counts[word_of])
     gram = v.gram[starts[word_of][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(v.counts[word_of]) - v.counts[word_of], v.counts[word_of])]
-    m["gram_evidence"] = _evidence(BUCKETS, gram, doc_of[spread], toxic)
+    m["gram_evidence"], m["gram_odds"] = _evidence(BUCKETS, gram, doc_of[spread], toxic)
     of_grams = np.zeros(v.n, np.float32)
     np.maximum.at(of_grams, v.owner, m["gram_evidence"][v.gram])
     telling = np.maximum(of_grams, m["word_evidence"][v.word]) > TELLING
@@ -291,7 +291,7 @@ def _update(m: dict, moments: dict, step: int, dense: dict, sparse: dict, rate:
         moments[k] = a, b
         m[k] = (m[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     for k, (rows, g) in sparse.items():
-        np.add.at(m[k], rows, (-0.5 * g).astype(np.float32))
+        np.add.at(m[k], rows, (-0.05 * g).astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = 30_000) -> dict:

@@ -10,6 +10,8 @@ import numpy as np
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_B, _B_INVERSE)]
     return _POWERS[0], _POWERS[1]
@@ -48,13 +50,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word with A-Z lower-cased."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(len(self.data) + 1)
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((_LOWER[self.data].astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-            return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+            while a < len(out):  # some bytes at a time: the arrays below are eight times as large
+                b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + BLOCK)))
+                low, high = self.start[a], self.end[b - 1]
+                start, end = self.start[a:b] - low, self.end[a:b] - low
+                up, down = _powers(int(high - low) + 1)
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum((_LOWER[self.data[low:high]].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+                out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+                a = b
+        return out
 
 
 def words(texts: list[str], inside: np.ndarray = ALNUM) -> Words:
