@@ -167,14 +167,29 @@ def score(m: dict, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
     return out
 
 
-def _evidence(size: int, item: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(pos: np.ndarray, neg: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the log odds of its toxic and clean documents less 1.5 standard errors (0 at least), and shrunk."""
-    pair = np.unique(item * np.int64(len(toxic)) + doc)
-    bucket, doc = pair // len(toxic), pair % len(toxic)
-    pos = np.bincount(bucket[toxic[doc]], minlength=size) + 0.5
-    neg = np.bincount(bucket[~toxic[doc]], minlength=size) + 0.5
-    odds = np.log(pos / max(1, int(toxic.sum()))) - np.log(neg / max(1, int((~toxic).sum())))
-    return np.maximum(0, odds - 1.5 * np.sqrt(1 / pos + 1 / neg)).astype(np.float32), (odds * (pos + neg - 1) / (pos + neg + 19)).astype(np.float32)
+    odds = np.log((pos + 0.5) / max(1, int(toxic.sum()))) - np.log((neg + 0.5) / max(1, int((~toxic).sum())))
+    sure = odds - 1.5 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    return np.maximum(0, sure).astype(np.float32), (odds * (pos + neg) / (pos + neg + 20)).astype(np.float32)
+
+
+def _all_evidence(v: Vocabulary, doc: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """The fixed tables: evidence and log odds of the words' buckets and of the n-grams', from the documents they stand in."""
+    seen = np.unique(doc * np.int64(v.n) + v.index)
+    counts = np.zeros((2, 2, BUCKETS))  # words or n-grams, clean or toxic
+    bounds = np.searchsorted(seen, np.arange(0, len(toxic) + 50, 50) * np.int64(v.n))
+    for a, b in zip(bounds, bounds[1:], strict=False):  # some documents at a time
+        of, word = seen[a:b] // v.n, seen[a:b] % v.n
+        part = v.only(word)
+        for kind, item, at in ((0, part.word, of), (1, part.gram, of[part.owner])):
+            pair = np.unique(at * np.int64(BUCKETS) + item)
+            for label in (0, 1):
+                counts[kind, label] += np.bincount((pair % BUCKETS)[toxic[pair // BUCKETS] == label], minlength=BUCKETS)
+    out = {}
+    for kind, name in enumerate(("word", "gram")):
+        out[f"{name}_evidence"], out[f"{name}_odds"] = _evidence(counts[kind, 1], counts[kind, 0], toxic)
+    return out
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, updates: int = 400) -> dict:
@@ -194,13 +209,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, up
     w = words(texts)
     begin, size, doc = windows(w)
     v = Vocabulary(w)
-    m["word_evidence"], m["word_odds"] = _evidence(BUCKETS, v.word[v.index], w.doc, toxic)
-    seen = np.unique(v.index * np.int64(len(texts)) + w.doc)
-    starts = np.concatenate([[0], np.cumsum(v.counts)])
-    word_of, doc_of = seen // len(texts), seen % len(texts)
-    spread = np.repeat(np.arange(len(seen)), v.counts[word_of])
-    gram = v.gram[starts[word_of][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(v.counts[word_of]) - v.counts[word_of], v.counts[word_of])]
-    m["gram_evidence"], m["gram_odds"] = _evidence(BUCKETS, gram, doc_of[spread], toxic)
+    m |= _all_evidence(v, w.doc, toxic)
     of_grams = np.zeros(v.n, np.float32)
     np.maximum.at(of_grams, v.owner, m["gram_evidence"][v.gram])
     telling = np.maximum(of_grams, m["word_evidence"][v.word]) > TELLING
@@ -294,7 +303,7 @@ def _update(m: dict, moments: dict, step: int, dense: dict, sparse: dict, rate:
         np.add.at(m[k], rows, (-0.05 * g).astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = 30_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = 20_000) -> dict:
     """Fit on at most per_class labelled documents of each class, of which at most so many characters are learned from."""
     rows = labelled(docs, labels.where(remainder("doc_id", 5) != 0), "toxic", per_class).select("doc_id", F.left("text", F.lit(chars)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
     return fit(list(rows.text), list(rows.label))
