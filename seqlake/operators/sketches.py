@@ -208,10 +208,10 @@ def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True,
     """
     make = SKETCHES[kind]
 
-    @F.pandas_udf("array<struct<idx: int, code: bigint>>")
-    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("idx array<int>, code array<bigint>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            places, values = [], []
             for s in batch:
                 try:
                     at, h = make(s, **parameters) if s is not None else EMPTY
@@ -219,10 +219,11 @@ def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True,
                     if not skip_short:
                         raise
                     at, h = EMPTY
-                out.append([{"idx": int(i), "code": int(c)} for i, c in zip(at, h.view(np.int64), strict=True)])
-            yield pd.Series(out)
+                places.append(at.astype(np.int32))
+                values.append(h.view(np.int64))
+            yield pd.DataFrame({"idx": places, "code": values})
 
-    return df.withColumn("__codes", codes(F.col(seq))).select(*df.columns, F.inline("__codes"))
+    return df.withColumn("__codes", codes(F.col(seq))).select(*df.columns, F.inline(F.arrays_zip("__codes.idx", "__codes.code")))
 
 
 def scaled_minhash(df: DataFrame, k: int, scale: int, seq: str = "seq") -> DataFrame:
