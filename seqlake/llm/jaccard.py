@@ -236,10 +236,9 @@ def leaves(classes: DataFrame) -> DataFrame:
         large = now.where(F.col("count") > LEAF)
         if large.isEmpty():
             break
-        place = F.col("at") % NODES
         child = lambda side: F.col("at") - F.col("at") % NODES + 2 * (F.col("at") % NODES) + side
         below = F.array(*[F.struct(child(s).alias("at"), F.element_at("paths", (child(s) + 1).cast("int")).alias("leaf")) for s in (1, 2)])
-        now = large.drop("leaf", "count").join(classes.select("key", "paths"), "key").where(place >= 0).select("key", F.inline(below))
+        now = large.drop("leaf", "count").join(classes.select("key", "paths"), "key").select("key", F.inline(below))
     return done.distinct()
 
 

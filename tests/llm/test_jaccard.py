@@ -73,6 +73,25 @@ def test_a_large_group_of_near_copies_and_a_common_passage(spark, monkeypatch):
     assert missed <= 0.002 * sum(x[2] for x in want.values())
 
 
+def test_large_buckets_are_split_and_cut(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 60)
+    monkeypatch.setattr(jaccard, "PART", 20)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(80)], []
+    for group in range(12):
+        base = passage + [word() for _ in range(60)]
+        for i in range(20):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((group * 100 + i, " ".join(w)))
+    found, want = result(spark.createDataFrame(rows, "doc_id long, text string")), brute(rows)
+    assert {i: x[3] for i, x in found.items()} == {i: x[3] for i, x in want.items()}
+    assert all(found[i][2] <= want[i][2] for i in want)
+    assert sum(x[2] for x in found.values()) >= 0.995 * sum(x[2] for x in want.values())
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, class_id string, key string"
     text = "one two three four five six seven eight nine ten"
