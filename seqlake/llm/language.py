@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled, table, written
+from .common import table, written
 
-#: Rows of the trigram table; labelled documents of each language that it is fitted on (about; twice as
-#: many at most), and languages at most (those with the most documents).
-BUCKETS, PER_LANGUAGE, LANGUAGES = 1 << 16, 400, 64
+#: Rows of the trigram table, and labelled documents of each language that it is fitted on (about; twice as many at
+#: most). All languages with labelled documents take part.
+BUCKETS, PER_LANGUAGE = 1 << 16, 400
 #: A text speaks for as many trigrams as it has, but for no more than this.
 MOST_TRIGRAMS = 60
 #: Pages that the level above counts for in a host's, domain's or suffix's prior, and in the tables of declarations.
@@ -52,14 +52,22 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return value[live].astype(np.int64), begins - 2 * np.arange(len(begins))
 
 
-def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log probabilities of the buckets in each."""
-    known = sorted(set(languages))
-    counts = np.zeros((len(known), BUCKETS))
-    for i, lang in enumerate(known):
-        counts[i] = np.bincount(trigrams([t for t, x in zip(texts, languages, strict=True) if x == lang])[0], minlength=BUCKETS)
-    counts += 0.1
-    return known, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Log probabilities of the buckets in the language of all rows of pdf."""
+    counts = np.bincount(trigrams(list(pdf.text[: 2 * PER_LANGUAGE]))[0], minlength=BUCKETS) + 0.1
+    return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "logs": [np.log(counts / counts.sum()).astype(np.float32).tobytes()]})
+
+
+def fit(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log probabilities of the buckets in each, from a sample of each language's documents.
+
+    One scan takes all samples, and each language is counted in a task: only its row of the table reaches the driver.
+    """
+    share = labelled.sparkSession.createDataFrame([(lang, min(1_000_000_000, 1_000_000_000 * PER_LANGUAGE // n)) for lang, n in sizes.items()], "lang string, below long")
+    picked = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(42), "doc_id", "text"), F.lit(1_000_000_000)) < F.col("below"))
+    rows = {r.lang: np.frombuffer(r.logs, np.float32) for r in picked.select("lang", F.left("text", F.lit(4000)).alias("text")).groupBy("lang").applyInPandas(_fitted, "lang string, logs binary").toLocalIterator()}
+    names = sorted(rows)
+    return names, np.stack([rows[n] for n in names]) if names else np.zeros((0, BUCKETS), np.float32)
 
 
 def log_likelihoods(table_: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -79,11 +87,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def _distribution(columns: list[Column]) -> Column:
-    """Log weights to probabilities, as an array."""
-    top = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    powers = F.array(*[F.exp(c - top) for c in columns])
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
+def _distribution(logs: Column) -> Column:
+    """An array of log weights to probabilities. Arrays of one element: inside them values are not computed again."""
+    powers = F.flatten(F.transform(F.array(F.struct(logs.alias("x"), F.array_max(logs).alias("top"))), lambda s: F.transform(s["x"], lambda x: F.exp(x - s["top"]))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    summed = F.transform(F.array(powers), lambda p: F.struct(p.alias("p"), total(p).alias("total")))
+    return F.flatten(F.transform(summed, lambda s: F.transform(s["p"], lambda p: p / s["total"])))
 
 
 def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -94,15 +103,12 @@ def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id",
     """
     spark = pages.sparkSession
     labelled = documents.where(F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    names = sorted(sizes)
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     host = host_of(F.col("url"))
+    names, logs = fit(labelled, sizes)
     if not names:
         return rows.select("page_id", "url", host.alias("host"), *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "text_lang", "lang")], F.lit(None).cast("double").alias("probability"))
-    samples = [sampled(labelled.where(F.col("lang") == n), "doc_id", PER_LANGUAGE, sizes[n]).select(F.left("text", F.lit(4000)).alias("text"), "lang").limit(2 * PER_LANGUAGE) for n in names]
-    learned = [r for s in samples for r in s.collect()]
-    names, logs = fit([r.text for r in learned], [r.lang for r in learned])
     sent = spark.sparkContext.broadcast(logs)
 
     @F.pandas_udf("array<double>")
@@ -118,7 +124,7 @@ def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id",
         F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), likelihood("html").alias("text_log"),
     )
     n = range(len(names))
-    seen = seen.withColumn("p", _distribution([F.col("text_log")[i] for i in n]))
+    seen = seen.withColumn("p", _distribution(F.col("text_log")))
     seen = written(seen)
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in n]
     total = seen.agg(F.count("*").alias("n"), *sums).first()
@@ -133,21 +139,23 @@ def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id",
     hosts = written(seen.groupBy("host", "domain", "suffix").agg(*sums, F.count("*").alias("n")))
     domains = hosts.groupBy("domain", "suffix").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in n], F.sum("n").alias("dn"))
     suffixes = domains.groupBy("suffix").agg(*[F.sum(f"d{i}").alias(f"t{i}") for i in n], F.sum("dn").alias("tn"))
-    levels = hosts.join(domains.drop("suffix"), "domain").join(suffixes, "suffix")
+    levels = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix")
     levels = levels.select(F.col("host").alias("of_host"), "n", "dn", "tn", *[F.array(*[F.col(f"{a}{i}") for i in n]).alias(a) for a in "sdt"])
     out = seen.join(levels, seen["host"] == levels["of_host"])
     for column in ("declared", "path"):
         known = conditional(column)
         out = out.join(known, out[column] == known[f"of_{column}"], "left")
 
-    def prior(i: int) -> Column:
-        own = F.col("p")[i]
-        at_suffix = (F.col("t")[i] - own + SMOOTH * F.lit(float(overall[i]))) / (F.col("tn") - 1 + SMOOTH)
-        at_domain = (F.col("d")[i] - own + SMOOTH * at_suffix) / (F.col("dn") - 1 + SMOOTH)
-        return (F.col("s")[i] - own + SMOOTH * at_domain) / (F.col("n") - 1 + SMOOTH)
+    base = F.array(*[F.lit(float(x)) for x in overall])
+
+    def prior(i: Column) -> Column:
+        own = F.get("p", i)
+        at_suffix = (F.get("t", i) - own + SMOOTH * F.get(base, i)) / (F.col("tn") - 1 + SMOOTH)
+        at_domain = (F.get("d", i) - own + SMOOTH * at_suffix) / (F.col("dn") - 1 + SMOOTH)
+        return (F.get("s", i) - own + SMOOTH * at_domain) / (F.col("n") - 1 + SMOOTH)
 
-    evidence = [F.col("text_log")[i] + F.log(F.greatest(prior(i), F.lit(1e-9))) + F.coalesce(F.col("log_declared")[i], F.lit(0.0)) + F.coalesce(F.col("log_path")[i], F.lit(0.0)) for i in n]
-    out = out.withColumn("posterior", _distribution(evidence))
+    evidence = F.transform("text_log", lambda x, i: x + F.log(F.greatest(prior(i), F.lit(1e-9))) + F.coalesce(F.get("log_declared", i), F.lit(0.0)) + F.coalesce(F.get("log_path", i), F.lit(0.0)))
+    out = out.withColumn("evidence", evidence).withColumn("posterior", _distribution(F.col("evidence")))
     best = lambda c: F.array(*map(F.lit, names))[F.array_position(F.col(c), F.array_max(c)).cast("int") - 1]
     return out.select("page_id", "url", "host", F.nullif("declared", F.lit("")).alias("declared"), F.nullif("suffix", F.lit("")).alias("suffix"), best("p").alias("text_lang"), best("posterior").alias("lang"), F.array_max("posterior").alias("probability"))
 

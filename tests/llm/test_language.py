@@ -43,6 +43,24 @@ def test_edges(spark):
     assert len(unknown) == 3 and all(r.lang is None for r in unknown)
 
 
+def test_hosts_without_a_dot_give_one_row_a_page(spark):
+    texts, docs = corpus(spark)
+    urls = ["http://localhost/a", "http://intranet/b", "http://wiki/c", "http://a.com./d", None, "nonsense", "http://www.site.de/e"]
+    pages = spark.createDataFrame([(i, u, texts["en"]) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = language.identified(pages, docs).collect()
+    assert sorted(r.page_id for r in out) == list(range(len(urls)))
+    assert all(r.lang == "en" for r in out)
+
+
+def test_all_languages_take_part(spark):
+    names = [f"x{i:02}" for i in range(80)]
+    texts = {x: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}q" for k in range(26)) for i, x in enumerate(names)}
+    docs = spark.createDataFrame([(i * 10 + k, texts[x], x) for i, x in enumerate(names) for k in range(1 + (i < 70))], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.site/", texts[x]) for i, x in enumerate(names)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.identified(pages, docs).collect()}
+    assert [got[i].text_lang for i in range(80)] == names and [got[i].lang for i in range(80)] == names
+
+
 def test_visible_text():
     html = '<html><head><title>t</title></head><body><nav>no</nav><!-- no --><script>var t="</p>";</script><article>A &amp; B<br>c</article></body></html>'
     assert language.visible(html).split() == ["A", "&", "B", "c"]
