@@ -63,13 +63,14 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
 
     Both sides are rotated and of length 1. A query's bound is the distance of its k-th nearest among a first few
     vectors, scanned whole. With d of D columns read, a candidate is given up if its partial squared distance times
-    D / d is more than (1 + width / sqrt(d))**2 times the bound; a bound is tightened whenever a block ends.
+    D / d is more than (1 + width / sqrt(d))**2 times the bound. Every test allows for rounding: among exact copies the
+    distances and the bound are noise around 0.
     """
     n, dims = vectors.shape
     first = min(n, max(4 * k, 256))
     exact = 2 - 2 * (queries @ vectors[:first].T)
     exact[query_ids[:, None] == ids[None, :first]] = np.inf
-    bound = np.partition(exact, k - 1, axis=1)[:, k - 1] if first > k else np.full(len(queries), np.inf)
+    bound = np.partition(exact, k - 1, axis=1)[:, k - 1].clip(0) if first > k else np.full(len(queries), np.inf)
     q_at, v_at = np.nonzero((exact <= bound[:, None] + 1e-9) & np.isfinite(exact))
     out = [(q_at, v_at)]
     if first == n:
@@ -80,7 +81,7 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
         a, b = queries[:, d : d + BLOCK], rest[:, d : d + BLOCK]
         partial += (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
     read = min(BLOCK, dims)
-    keep = partial * (dims / read) <= (1 + width / np.sqrt(read)) ** 2 * bound[:, None] if read < dims else partial <= bound[:, None] + 1e-6
+    keep = partial * (dims / read) <= ((1 + width / np.sqrt(read)) ** 2 if read < dims else 1) * bound[:, None] + 1e-6
     q_at, v_at = np.nonzero(keep)
     far = partial[q_at, v_at].astype(np.float64)
     while read < dims and len(q_at):
@@ -88,7 +89,7 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
         for part in np.array_split(np.arange(len(q_at)), max(1, len(q_at) // 200_000)):
             far[part] += ((queries[q_at[part], read:upto] - rest[v_at[part], read:upto]) ** 2).sum(1)
         read = upto
-        limit = bound[q_at] * (1 + width / np.sqrt(read)) ** 2 if read < dims else bound[q_at] + 1e-6
+        limit = bound[q_at] * ((1 + width / np.sqrt(read)) ** 2 if read < dims else 1) + 1e-6
         stay = far * (dims / read) <= limit
         q_at, v_at, far = q_at[stay], v_at[stay], far[stay]
     other = query_ids[q_at] != ids[first:][v_at]
@@ -154,7 +155,7 @@ def best(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_
         for part in np.array_split(np.arange(len(q)), max(1, len(q) // 512)):
             q_at, v_at = scanned(q[part], q_ids[part], v, v_ids, k)
             q_at = part[q_at]
-            score = cosine(own_q[q_at], own_v[v_at])
+            score = np.concatenate([cosine(own_q[q_at[some]], own_v[v_at[some]]) for some in np.array_split(np.arange(len(q_at)), max(1, len(q_at) // 100_000))])
             order = np.lexsort((v_ids[v_at], -score, q_at))
             q_at, v_at, score = q_at[order], v_at[order], score[order]
             new = np.flatnonzero(np.concatenate([[True], q_at[1:] != q_at[:-1]])) if len(q_at) else np.zeros(0, int)

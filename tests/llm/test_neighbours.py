@@ -46,6 +46,32 @@ def test_recall_with_many_lists_and_parts(spark, monkeypatch):
     assert np.mean([r.vec_id in want[r.query_id] for r in out]) >= 0.9
 
 
+def test_no_exact_copy_is_given_up():
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        v = rng.normal(size=(1300, 64))
+        v[rng.permutation(1300)[:300]] = v[0]
+        v = neighbours._unit(v) @ neighbours.rotation(64)
+        copies = np.flatnonzero(np.abs(v - v[0]).max(1) < 1e-12)
+        ids = np.arange(1300)
+        q_at, v_at = neighbours.scanned(v[copies], ids[copies], v, ids, 5)
+        lasting = np.isin(v_at, copies)
+        assert lasting.sum() == len(copies) * (len(copies) - 1)
+
+
+def test_copies_come_by_the_smallest_ids(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(1400, 64)).astype(np.float32)
+    copies = np.sort(rng.permutation(1400)[:400])
+    v[copies] = v[copies[0]]
+    rows = [(int(i), [float(c) for c in v[i]]) for i in rng.permutation(1400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.best(df.where(F.col("vec_id").isin([int(i) for i in copies])), df).collect()
+    got = {(r.query_id, r["rank"]): r.vec_id for r in out}
+    for q in copies:
+        assert [got[q, k] for k in range(1, 6)] == [i for i in copies[:6] if i != q][:5]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (100, [1e300, 1e300]), (None, [1.0, 2.0])]
