@@ -18,7 +18,8 @@ from .common import table
 #: Phrases that are always reported, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, name (a pattern of words), versions that may follow. Names are written as words: signs are blanks.
+#: label, name (a pattern of words), versions that may follow. Names are written as words: signs are blanks. A blank that
+#: may be missing is (?: )?, as rules() doubles blanks.
 FAMILIES = [
     ("gpl", "(?:gnu )?(?:general public license|gpl)", "1 0|2 0|3 0|1|2|3"),
     ("lgpl", "(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "2 0|2 1|3 0|2|3"),
@@ -65,21 +66,20 @@ FAMILIES = [
     ("elastic", "elastic license", "1 0|2 0"),
     ("commons-clause", "commons clause(?: license condition)?", "1 0"),
     ("polyform", "polyform (?:noncommercial|shield|strict|small business|perimeter) license", "1 0 0"),
-    ("openrail", "(?:creativeml )?open ?rail(?: m)?(?: license)?", ""),
+    ("openrail", "(?:creativeml )?open(?: )?rail(?: m)?(?: license)?", ""),
     ("llama", "llama (?:2 |3 )?community license", ""),
     ("cc-by", "(?:creative commons attribution(?: international)?|cc by)", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "(?:creative commons attribution share ?alike|cc by sa)", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-sa", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-nd", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-sa", "(?:creative commons attribution share(?: )?alike|cc by sa)", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc", "(?:creative commons attribution non(?: )?commercial|cc by nc)", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nd", "(?:creative commons attribution no(?: )?deriv(?:ative)?s|cc by nd)", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-sa", "(?:creative commons attribution non(?: )?commercial share(?: )?alike|cc by nc sa)", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-nd", "(?:creative commons attribution non(?: )?commercial no(?: )?deriv(?:ative)?s|cc by nc nd)", "1 0|2 0|2 5|3 0|4 0"),
     ("cc0", "(?:creative commons zero|cc0|cc zero)", "1 0"),
 ]
 #: form, its words around the family's name ({n}), priority.
 FORMS = [
     ("tag", "spdx license identifier {n}", 5),
     ("grant", "(?:licensed|released|distributed|available|published|provided|redistributed|covered) (?:by|under)(?: the)?(?: terms)?(?: of)?(?: the)? {n}", 4),
-    ("grant by", "(?:licensed|released|distributed|available|published|provided|redistributed|covered) by(?: the)? {n}", 4),
     ("subject", "(?:subject to|governed by|in accordance with|compliance with)(?: the)?(?: terms)?(?: of)?(?: the)? {n}", 3),
     ("header", "(?:license|licence) {n}", 2),
 ]

@@ -194,3 +194,26 @@ def test_fingerprint_edges(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     # In order: (1, abcd), (1, abcd), (null, ''), (null, 'xy'), and the first again.
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str) == sorted([(1, 4, sha("abcd"[:2] + "ab")), (1, 4, sha("ab")), (None, 0, sha("")), (None, 2, sha("xa"))], key=str)
+
+
+# names in one word; the labels are written by hand
+
+
+def test_license_names_in_one_word(spark):
+    cases = [
+        ("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+        ("licensed under Creative Commons Attribution Share Alike 3.0", "cc-by-sa"),
+        ("Licensed under the Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+        ("Licensed under the Creative Commons Attribution Non-Commercial 2.5", "cc-by-nc"),
+        ("Licensed under the Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"),
+        ("Licensed under the Creative Commons Attribution-NoDerivs 3.0", "cc-by-nd"),
+        ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+        ("Licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+        ("Licensed under the Creative Commons Attribution 4.0", "cc-by"),
+        ("Released under the CreativeML OpenRAIL-M license", "openrail"),
+        ("Released under the Open RAIL license", "openrail"),
+        ("Licensed by the Boost Software License 1.0", "boost"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
