@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -261,17 +261,26 @@ def components(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
         labels = new.select("key", "group")
 
 
+def class_key(text: str) -> Column:
+    """64 bits of the text's MD5, by which its class is known. Null counts as an empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long")
+
+
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, class_id, n_copies, n_links, group_id.
 
     class_id: the smallest doc_id of the rows with an equal text. n_copies: rows of the class. n_links: other classes
     that the class is linked to. group_id: the smallest class_id of all classes that links connect. Null texts count as
     empty; texts without words form classes by their text and have no links. Null ids take part as any other id and sort
-    last.
+    last. Where ids are null or repeated, different groups may have one group_id; grouped() tells them apart.
     """
+    return grouped(docs, doc_id, text).drop("class_key", "group_key")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As joined, with class_key and group_key: they are made of the texts, so no two classes or groups share one."""
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    # A class is known by 64 bits of its text's MD5.
-    rows = rows.withColumn("key", F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long"))
+    rows = rows.withColumn("key", class_key("text"))
     # Ids pass through Python as text: pandas would turn whole numbers beside nulls into floats.
     rows_sketched = written(rows.mapInPandas(_sketched, "doc_id string, key long, size long, sketch binary, paths array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
     classes = rows_sketched.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
@@ -299,17 +308,19 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     groups = components(found.select("key", "root"))
     numbered = classes.join(links, "key", "left").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
     smallest = numbered.groupBy("group").agg(F.min("class_id").alias("group_id"))
-    numbered = numbered.join(smallest, "group").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id")
-    return rows_sketched.select("doc_id", "key").join(numbered, "key").drop("key")
+    numbered = numbered.join(smallest, "group").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", F.col("group").alias("group_key"))
+    return rows_sketched.select("doc_id", "key").join(numbered, "key").withColumnRenamed("key", "class_key").select("doc_id", "class_id", "n_copies", "n_links", "group_id", "class_key", "group_key")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: the one of the smallest id (of rows that share it, one)."""
-    groups = joined(docs, doc_id, text)
-    first = groups.groupBy("group_id").agg(F.min("doc_id").alias("keep")).select("keep").distinct()
-    kept = docs.join(first, docs[doc_id].eqNullSafe(first["keep"])).drop("keep")
-    return kept.dropDuplicates([doc_id])
+    """docs with one row of each group: the one of the smallest id, nulls last (of rows that share it, the one of the smallest class key)."""
+    groups = grouped(docs, doc_id, text)
+    first = groups.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_key")).alias("__keep")).select("__keep")
+    keyed = docs.withColumn("__key", class_key(text))
+    kept = keyed.join(first, keyed[doc_id].eqNullSafe(first["__keep.doc_id"]) & (keyed["__key"] == first["__keep.class_key"]))
+    # One class of each group is left: its rows here are equal in id and text.
+    return kept.dropDuplicates(["__key"]).drop("__key", "__keep")
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents")).drop("class_key")

@@ -103,6 +103,17 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 7, 9, 11] and kept.columns == ["doc_id", "text", "class_id", "key"]
 
 
+def test_different_texts_under_null_and_repeated_ids_all_stay(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(12))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c").upper()), (None, text("c")), (3, text("d")), (3, text("e")), (3, text("e")), (4, text("e").upper()), (None, text("d")), (5, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in jaccard.deduplicated(df).collect()]
+    assert sorted((str(i), t.lower()) for i, t in kept) == [("3", text("d")), ("3", text("e")), ("5", text("f")), ("None", text("a")), ("None", text("b")), ("None", text("c"))]
+    assert (3, text("e")) in kept
+    got = jaccard.grouped(df).collect()
+    assert len(got) == len(rows) and len({r.group_key for r in got}) == 6 and len({r.class_key for r in got}) == 8
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("key"), (F.col("id") + 1).alias("root"))
     assert {r.group for r in jaccard.components(edges).collect()} == {0}
