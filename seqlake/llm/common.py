@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of texts that a Python task works on at a time (one text at least), whatever the size of Spark's batches.
+SLICE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is named (tests), one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where none is named one is made and set, on a local master only."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -42,12 +52,47 @@ def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(42), key), F.lit(1_000_000_000)) < int(1_000_000_000 * rows / total))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(text, label) of at most per_class labelled rows of each class, picked by hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample: labelled documents in the order of a hash of the id, at most per_class of
+    each class, and no more of a class once the texts before have chars characters together. Texts are whole.
 
-    The sample is bounded, so its ids may be broadcast to the scan of the texts.
+    Labels other than 0 and 1 and labels of null ids do not count; where labels of an id disagree, 1 counts. Documents
+    that share a labelled id are all in the sample.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     parts = [known.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     picked = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    return rows.withColumn("__upto", F.sum(F.length("text").cast("long")).over(before)).where(F.col("__upto") - F.length("text") < chars).drop("__upto")
+
+
+def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE bytes of a text column, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(size):
+        done = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, done + SLICE, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+    """df with further columns computed in Python from a text column, slice by slice, so that a task's memory does not grow.
+
+    make is called once in each task and gives the function from texts (null: empty) to the fields' arrays. Columns of df
+    that have a field's name are replaced.
+    """
+    new = {f.name for f in fields}
+    kept = [f for f in df.schema.fields if f.name not in new]
+    source = df.select(F.col(text).alias("__text"), *[f"`{f.name}`" for f in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, work = [f.name for f in kept] + [f.name for f in fields], make()
+        for batch in batches:
+            for part in sliced(batch, 0):
+                arrays = work([t or "" for t in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *arrays], names=names)
+
+    return source.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept], *fields]))

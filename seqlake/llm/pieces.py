@@ -13,18 +13,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import table
+from .common import table, with_columns
 
 SPACE = "▁"
-#: Segments that a task remembers before it starts again.
-REMEMBERED = 500_000
+#: Segments and pairs of tokens that a process remembers before it starts again, and the longest segment that it remembers:
+#: about 25 MB together.
+REMEMBERED, PAIRS, LONGEST = 50_000, 150_000, 64
 
 
 class PieceTable:
@@ -102,11 +104,16 @@ class PieceTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """True if the two tokens stay apart when their texts are encoded as one."""
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         known = self._pairs[left << 20 | right] = self._holds(left, right, float("inf"))
         return known
 
+    def forget(self) -> None:
+        """Drop what earlier texts have left."""
+        self._segments.clear()
+        self._pairs.clear()
+
     def _known(self, run: str) -> list[int]:
         """Ids of a run of characters that are all in the vocabulary."""
         last = [-1] * len(run)
@@ -158,13 +165,15 @@ class PieceTable:
         if not text:
             return "", 0, ""
         known = self._segments
-        if len(known) > REMEMBERED:
-            known.clear()
         parts = []
         for segment in self._cut.findall(SPACE + text.replace(" ", SPACE)):
             part = known.get(segment)
             if part is None:
-                part = known[segment] = self._segment(segment)
+                part = self._segment(segment)
+                if len(segment) <= LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[segment] = part
             parts.append(part)
         return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
 
@@ -192,30 +201,30 @@ def default_model() -> str:
 def encode_texts(docs: DataFrame, text: str = "text", model_file: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Add n_tokens, ids_sha256, decoded_sha256 and, if keep_ids, ids (array) to every row.
 
-    Null texts count as empty: no ids, the hash of the empty text. Texts of any length are encoded whole. Columns of
-    docs stay; those of the names above are replaced.
+    Null texts count as empty: no ids, the hash of the empty text. Texts of any length are encoded whole; repeated rows are
+    encoded each, and an empty table stays empty. Columns of docs stay; those of the names above are replaced.
     """
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string" if keep_ids else "")
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if keep_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
-    @F.pandas_udf(fields)
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coder() -> Callable[[list[str]], list[pa.Array]]:
         tokens = piece_table(model_file or default_model())
-        for batch in batches:
-            rows = []
-            for t in batch:
-                ids, n, decoded = tokens.coded(t or "")
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), *([ids] if keep_ids else [])))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
-
-    out = docs.withColumn("__coded", coded(F.col(text)))
-    out = out.withColumns({"n_tokens": F.col("__coded.n_tokens"), "ids_sha256": F.col("__coded.ids_sha256"), "decoded_sha256": F.col("__coded.decoded_sha256")})
-    if keep_ids:
-        out = out.withColumn("ids", _integers(F.col("__coded.ids")))
-    return out.drop("__coded")
+        tokens.forget()
+
+        def coded(texts: list[str]) -> list[pa.Array]:
+            done = [tokens.coded(t) for t in texts]
+            sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+            out = [pa.array([n for _, n, _ in done], pa.int64()), pa.array([sha(ids) for ids, _, _ in done], pa.string()), pa.array([sha(t) for _, _, t in done], pa.string())]
+            if keep_ids:
+                flat = np.fromstring(",".join([ids for ids, _, _ in done if ids]), np.int32, sep=",") if any(n for _, n, _ in done) else np.zeros(0, np.int32)
+                ends = np.concatenate([[0], np.cumsum([n for _, n, _ in done])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            return out
 
+        return coded
 
-def _integers(joined: Column) -> Column:
-    return F.when(joined == "", F.array().cast("array<int>")).otherwise(F.split(joined, ",").cast("array<int>"))
+    return with_columns(docs, text, fields, coder)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
