@@ -7,20 +7,21 @@ the passages are learned from them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import labelled, remainder, table
+from .common import labelled, remainder, table, with_columns
 from .words import NOT_SPACE, chunks, words
 
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled rows of each class that the model is fitted on at most.
-PER_CLASS = 1000
+#: Labelled rows of each class that the model is fitted on at most, and their characters (but for the last text).
+PER_CLASS, CHARS = 1000, 4_000_000
 HIDDEN, GATE = 16, 8
 
 # Kinds of bytes: lower case, upper case, digit, space, line end, sentence signs, other signs, non-ASCII.
@@ -138,28 +139,28 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 12) ->
 
 def score(m: dict, texts: list[str]) -> np.ndarray:
     out = np.zeros(len(texts))
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, 250_000):
         x, first = passages(texts[a:b])
         out[a:b] = _forward(m, x, first)[-1]
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = 200_000) -> dict:
-    """Fit on at most per_class labelled documents of each class, of which at most so many characters are learned from."""
-    rows = labelled(docs, labels.where(remainder("doc_id", 3) != 1), "quality", per_class).select("doc_id", F.left("text", F.lit(chars)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS) -> dict:
+    """Fit on a bounded sample of labelled documents (see common.labelled), read whole."""
+    rows = labelled(docs, labels.where(remainder("doc_id", 3) != 1), "quality", per_class, chars).toPandas().sort_values(["doc_id", "text"])
     return fit(list(rows.text), list(rows.label))
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score (0 to 1) to every row. Null and empty texts get the score of an empty bag."""
+    """Add the score (0 to 1) to every row; whole texts are read, slice by slice. Null and empty texts get the score of an
+    empty bag, equal texts equal scores, and an empty table stays empty. A column of the score's name is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes, whatever the input
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(score(sent.value, [t or "" for t in batch]), dtype="float64")
+    def scorer() -> Callable[[list[str]], list[pa.Array]]:
+        return lambda texts: [pa.array(score(sent.value, texts), pa.float64())]
 
-    return docs.withColumn(name, probability(F.col(text)))
+    return with_columns(docs, text, [T.StructField(name, T.DoubleType())], scorer)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,35 +9,41 @@ a positive example if it holds one of the words or n-grams that the labelled sam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import labelled, remainder, table
-from .words import _LOWER, Words, chunks, mix, words
+from .common import labelled, remainder, table, with_columns
+from .words import _LOWER, Words, chunks, distinct, mix, words
 
 WINDOW, OVERLAP = 32, 8
 #: Rows of the two hashed tables of vectors, and the vectors' width.
 BUCKETS, DIM, HIDDEN, POOL = 1 << 15, 8, 8, 8
+#: Rows of the hashed tables of what the sample says.
+EVIDENCE = 1 << 18
 #: Inputs of a word that are not learned: sure evidence and log odds of the word, and greatest and mean of its n-grams'.
 FIXED = 4
 #: Evidence (log odds) from which on a word makes a toxic document's window a positive example.
 TELLING = 1.8
 GRAMS = (3, 5, 8)
-#: Labelled rows of each class that the model is fitted on at most.
-PER_CLASS = 1500
+#: Labelled rows of each class that the model is fitted on at most, and their characters (but for the last text).
+PER_CLASS, CHARS = 1500, 4_000_000
 
 
 class Vocabulary:
-    """The distinct words of some texts: a word bucket, and the buckets of its n-grams (as one flat list)."""
+    """The distinct words of some texts: a word bucket, and the buckets of its n-grams (as one flat list).
+
+    Buckets are of the tables of evidence; their last bits are those of the tables of vectors.
+    """
 
     def __init__(self, w: Words):
         hashes, at, self.index = np.unique(w.hashes(), return_index=True, return_inverse=True)
         self.n = len(hashes)
-        self.word = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        self.word = (hashes & np.uint64(EVIDENCE - 1)).astype(np.int64)
         start, end = w.start[at], w.end[at]
         length = end - start
         # The words' bytes with a border sign on each side, one after the other.
@@ -54,7 +60,7 @@ class Vocabulary:
                 value = np.full(len(here), n, np.uint64)
                 for k in range(n):
                     value = value * np.uint64(0x100000001B3) + flat[here + k]
-                grams.append((mix(value) & np.uint64(BUCKETS - 1)).astype(np.int64))
+                grams.append((mix(value) & np.uint64(EVIDENCE - 1)).astype(np.int64))
                 owners.append(np.repeat(np.arange(self.n), length + 2)[here])
         gram, owner = np.concatenate(grams), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
@@ -74,13 +80,13 @@ class Vocabulary:
     def vectors(self, m: dict) -> np.ndarray:
         """Word and character inputs side by side, one row for each distinct word."""
         out = np.zeros((self.n, 2 * DIM + FIXED), np.float32)
-        out[:, :DIM] = m["words"][self.word]
+        out[:, :DIM] = m["words"][self.word % BUCKETS]
         out[:, 2 * DIM] = m["word_evidence"][self.word]
         out[:, 2 * DIM + 3] = m["word_odds"][self.word]
         if len(self.gram):
             full = np.flatnonzero(self.counts)
             starts = np.concatenate([[0], np.cumsum(self.counts[full])[:-1]])
-            sums = np.add.reduceat(m["grams"][self.gram], starts, axis=0)
+            sums = np.add.reduceat(m["grams"][self.gram % BUCKETS], starts, axis=0)
             out[full, DIM : 2 * DIM] = sums / self.counts[full, None]
             out[full, 2 * DIM + 1] = np.maximum.reduceat(m["gram_evidence"][self.gram], starts)
             out[full, 2 * DIM + 2] = np.add.reduceat(m["gram_odds"][self.gram], starts) / self.counts[full]
@@ -138,7 +144,7 @@ def _scores(m: dict, vectors: np.ndarray, index: np.ndarray, mask: np.ndarray |
     return pooled @ m["o"] + m["q"]
 
 
-def score(m: dict, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
+def score(m: dict, texts: list[str], chars: int = 250_000) -> np.ndarray:
     """The highest window's probability of each text; a text without words gets the probability m["empty"]."""
     out = np.full(len(texts), float(m["empty"]))
     for a, b in chunks(texts, chars):
@@ -174,66 +180,77 @@ def _evidence(pos: np.ndarray, neg: np.ndarray, toxic: np.ndarray) -> tuple[np.n
     return np.maximum(0, sure).astype(np.float32), (odds * (pos + neg) / (pos + neg + 20)).astype(np.float32)
 
 
-def _all_evidence(v: Vocabulary, doc: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+def _all_evidence(texts: list[str], toxic: np.ndarray) -> dict[str, np.ndarray]:
     """The fixed tables: evidence and log odds of the words' buckets and of the n-grams', from the documents they stand in."""
-    seen = np.unique(doc * np.int64(v.n) + v.index)
-    counts = np.zeros((2, 2, BUCKETS))  # words or n-grams, clean or toxic
-    bounds = np.searchsorted(seen, np.arange(0, len(toxic) + 50, 50) * np.int64(v.n))
-    for a, b in zip(bounds, bounds[1:], strict=False):  # some documents at a time
-        of, word = seen[a:b] // v.n, seen[a:b] % v.n
-        part = v.only(word)
+    counts = np.zeros((2, 2, EVIDENCE))  # words or n-grams, clean or toxic
+    for a, b in chunks(texts, 200_000):
+        w = words(texts[a:b])
+        v = Vocabulary(w)
+        seen = distinct(w.doc * np.int64(max(1, v.n)) + v.index)
+        of, part = seen // max(1, v.n), v.only(seen % max(1, v.n))
         for kind, item, at in ((0, part.word, of), (1, part.gram, of[part.owner])):
-            pair = np.unique(at * np.int64(BUCKETS) + item)
+            pair = distinct(at * np.int64(EVIDENCE) + item)
             for label in (0, 1):
-                counts[kind, label] += np.bincount((pair % BUCKETS)[toxic[pair // BUCKETS] == label], minlength=BUCKETS)
+                counts[kind, label] += np.bincount((pair % EVIDENCE)[toxic[a:b][pair // EVIDENCE] == label], minlength=EVIDENCE)
     out = {}
     for kind, name in enumerate(("word", "gram")):
         out[f"{name}_evidence"], out[f"{name}_odds"] = _evidence(counts[kind, 1], counts[kind, 0], toxic)
     return out
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, updates: int = 400) -> dict:
-    """Weights by back-propagation through time and Adam over windows: so many epochs, and more until so many updates."""
+def _examples(v: Vocabulary, m: dict, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows to learn from: positive ones, clean ones that hold a sign, and all other clean ones.
+
+    Of a toxic document the windows that hold a sign are positive; if none does, the one of the surest word is.
+    """
+    strength = m["word_evidence"][v.word].copy()
+    np.maximum.at(strength, v.owner, m["gram_evidence"][v.gram])
+    of_place = strength[v.index]
+    best = np.maximum.reduceat(np.append(of_place, 0), np.stack([begin, begin + size], 1).ravel())[::2] if len(begin) else np.zeros(0)
+    top = np.full(len(toxic), -1.0)
+    np.maximum.at(top, doc, best)
+    hit = best > TELLING
+    positive = toxic[doc] & (hit | ((top[doc] <= TELLING) & (best == top[doc])))
+    return np.flatnonzero(positive), np.flatnonzero(~toxic[doc] & hit), np.flatnonzero(~toxic[doc] & ~hit)
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 3, updates: int = 300) -> dict:
+    """Weights by back-propagation through time and Adam over windows: so many epochs, and more until so many updates.
+
+    Every third document is kept aside to place the threshold with; after that the tables of evidence are counted anew
+    over all documents. Of the clean windows without a sign every epoch draws other ones, twice as many as are positive.
+    """
     rng = np.random.default_rng(seed)
     normal = lambda *shape, s=0.3: rng.normal(0, s, shape).astype(np.float32)
     m = {"words": normal(BUCKETS, DIM, s=0.02), "grams": normal(BUCKETS, DIM, s=0.02), "A": normal(2 * HIDDEN, POOL), "a": normal(POOL), "o": normal(2 * HIDDEN), "q": np.float32(-1.0), "empty": 0.01}
-    m |= {name: np.zeros(BUCKETS, np.float32) for name in ("word_evidence", "word_odds", "gram_evidence", "gram_odds")}
+    m |= {name: np.zeros(EVIDENCE, np.float32) for name in ("word_evidence", "word_odds", "gram_evidence", "gram_odds")}
     for d in (0, 1):
         m |= {f"X{d}": normal(2 * DIM + FIXED, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32), f"R{d}": normal(HIDDEN, 2 * HIDDEN), f"C{d}": normal(HIDDEN, HIDDEN)}
     toxic = np.asarray(labels, int) == 1
     if len(set(toxic[0::3])) < 2 or len(set(np.delete(toxic, np.s_[0::3]))) < 2:
         return m  # too few examples
-    # Every third document is kept aside to place the threshold with.
-    aside, aside_toxic = texts[0::3], toxic[0::3]
-    texts, toxic = [t for i, t in enumerate(texts) if i % 3], np.delete(toxic, np.s_[0::3])
-    w = words(texts)
+    learned, of_learned = [t for i, t in enumerate(texts) if i % 3], np.delete(toxic, np.s_[0::3])
+    m |= _all_evidence(learned, of_learned)
+    w = words(learned)
     begin, size, doc = windows(w)
     v = Vocabulary(w)
-    m |= _all_evidence(v, w.doc, toxic)
-    of_grams = np.zeros(v.n, np.float32)
-    np.maximum.at(of_grams, v.owner, m["gram_evidence"][v.gram])
-    telling = np.maximum(of_grams, m["word_evidence"][v.word]) > TELLING
-    found = np.concatenate([[0], np.cumsum(telling[v.index])])
-    hit = found[begin + size] > found[begin]
-    positive, negative = np.flatnonzero(toxic[doc] & hit), np.flatnonzero(~toxic[doc])
-    hard = negative[hit[negative]]
-    # Of the windows without a sign every doc's one and some more: all negative windows would be far more than needed.
-    negative = rng.permutation(negative)[: max(2 * len(positive), 2000)]
-    used = np.concatenate([positive, negative, hard])
-    target = toxic[doc].astype(np.float32)
+    positive, hard, easy = _examples(v, m, begin, size, doc, of_learned)
+    target = of_learned[doc].astype(np.float32)
     place = np.arange(WINDOW)
     moments: dict = {}
     step = 0
-    batches = max(1, len(used) // 192)
+    drawn = min(len(easy), max(2 * len(positive), 2000))
+    batches = max(1, (len(positive) + len(hard) + drawn) // 256)
     for _ in range(max(epochs, -(-updates // batches))):
+        used = np.concatenate([positive, hard, rng.choice(easy, drawn, replace=False)])
         for part in np.array_split(rng.permutation(used), batches):
             mask = place < size[part, None]
             index = v.index[np.minimum(begin[part, None] + place, len(v.index) - 1)]
-            distinct, index = np.unique(index, return_inverse=True)
+            used_words, index = np.unique(index, return_inverse=True)
             index = index.reshape(mask.shape)
             step += 1
-            _update(m, moments, step, *_gradients(m, v, distinct, index, mask, target[part]))
-    return _calibrated(m, aside, aside_toxic)
+            _update(m, moments, step, *_gradients(m, v, used_words, index, mask, target[part]))
+    return _calibrated(m, texts[0::3], toxic[0::3]) | _all_evidence(texts, toxic)
 
 
 def _calibrated(m: dict, texts: list[str], toxic: np.ndarray, share: float = 0.1) -> dict:
@@ -250,9 +267,9 @@ def _calibrated(m: dict, texts: list[str], toxic: np.ndarray, share: float = 0.1
     return m | {"q": np.float32(m["q"] - (logit[order[k - 1]] + logit[order[k]]) / 2)}
 
 
-def _gradients(m: dict, v: Vocabulary, distinct: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, dict]:
+def _gradients(m: dict, v: Vocabulary, chosen: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, dict]:
     """Gradients of the dense weights, and of the vectors: (rows, values) for each hashed table."""
-    v = v.only(distinct)
+    v = v.only(chosen)
     spread, gram = v.owner, v.gram
     share = (1 / np.maximum(1, v.counts)).astype(np.float32)
     vectors = v.vectors(m)
@@ -271,9 +288,12 @@ def _gradients(m: dict, v: Vocabulary, distinct: np.ndarray, index: np.ndarray,
     g["A"] = np.einsum("tbh,tbp->hp", states, du)
     dstates += du @ m["A"].T
     dvectors = np.zeros_like(vectors)
+    # Every chosen word stands at one place at least; the gradients of its places are added up in one go.
+    order = np.argsort(index.T, axis=None, kind="stable")
+    starts = np.searchsorted(index.T.ravel()[order], np.arange(len(chosen)))
     for d in (0, 1):
         r, rc = m[f"R{d}"], m[f"C{d}"]
-        dgates = np.zeros((len(distinct), 3 * HIDDEN), np.float32)
+        dplaces = np.empty((*index.T.shape, 3 * HIDDEN), np.float32)
         dr, drc, dh = np.zeros_like(r), np.zeros_like(rc), np.zeros((len(y), HIDDEN), np.float32)
         for t, h, z, reset, c in reversed(kept[d]):
             dh = dh + dstates[t, :, d * HIDDEN : (d + 1) * HIDDEN]
@@ -286,11 +306,12 @@ def _gradients(m: dict, v: Vocabulary, distinct: np.ndarray, index: np.ndarray,
             drc += (reset * h).T @ dc
             dzr = np.concatenate([dz, dreset], 1)
             dr += h.T @ dzr
-            np.add.at(dgates, index[:, t], np.concatenate([dzr, dc], 1))
+            dplaces[t] = np.concatenate([dzr, dc], 1)
             dh = np.where(live, dnew * (1 - z) + drh * reset + dzr @ r.T, dh)
+        dgates = np.add.reduceat(dplaces.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
         g |= {f"R{d}": dr, f"C{d}": drc, f"X{d}": vectors.T @ dgates, f"B{d}": dgates.sum(0)}
         dvectors += dgates @ m[f"X{d}"].T
-    return g, {"words": (v.word, dvectors[:, :DIM]), "grams": (gram, dvectors[spread, DIM : 2 * DIM] * share[spread, None])}
+    return g, {"words": (v.word % BUCKETS, dvectors[:, :DIM]), "grams": (gram % BUCKETS, dvectors[spread, DIM : 2 * DIM] * share[spread, None])}
 
 
 def _update(m: dict, moments: dict, step: int, dense: dict, sparse: dict, rate: float = 0.01) -> None:
@@ -300,25 +321,26 @@ def _update(m: dict, moments: dict, step: int, dense: dict, sparse: dict, rate:
         moments[k] = a, b
         m[k] = (m[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     for k, (rows, g) in sparse.items():
-        np.add.at(m[k], rows, (-0.05 * g).astype(np.float32))
+        for d in range(DIM):
+            m[k][:, d] -= np.float32(0.05) * np.bincount(rows, g[:, d], BUCKETS).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = 20_000) -> dict:
-    """Fit on at most per_class labelled documents of each class, of which at most so many characters are learned from."""
-    rows = labelled(docs, labels.where(remainder("doc_id", 5) != 0), "toxic", per_class).select("doc_id", F.left("text", F.lit(chars)).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS) -> dict:
+    """Fit on a bounded sample of labelled documents (see common.labelled), read whole."""
+    rows = labelled(docs, labels.where(remainder("doc_id", 5) != 0), "toxic", per_class, chars).toPandas().sort_values(["doc_id", "text"])
     return fit(list(rows.text), list(rows.label))
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score (0 to 1) to every row; all windows of whole texts are read. Null counts as an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # hashed tables of fixed size: 2 MB
+    """Add the score (0 to 1) to every row; all windows of whole texts are read, slice by slice. Null counts as an empty
+    text, equal texts get equal scores, and an empty table stays empty. A column of the score's name is replaced.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # hashed tables of fixed size: 6 MB
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(score(sent.value, [t or "" for t in batch]), dtype="float64")
+    def scorer() -> Callable[[list[str]], list[pa.Array]]:
+        return lambda texts: [pa.array(score(sent.value, texts), pa.float64())]
 
-    return docs.withColumn(name, probability(F.col(text)))
+    return with_columns(docs, text, [T.StructField(name, T.DoubleType())], scorer)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

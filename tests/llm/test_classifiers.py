@@ -11,8 +11,8 @@ from seqlake.llm.words import words
 SF = "/root/testdata/sf0.1"
 
 
-# Few of this table's toxic documents are in the sample's smaller languages, and some hold no sign of it: see the README.
-@pytest.mark.parametrize(("module", "label", "modulus", "held", "least"), [(quality, "quality", 3, 1, (0.97, 0.97)), (toxicity, "toxic", 5, 0, (0.97, 0.6))])
+# About 3 % of this table's toxic documents, 6 % of the held-out ones, hold none of the words that mark the others.
+@pytest.mark.parametrize(("module", "label", "modulus", "held", "least"), [(quality, "quality", 3, 1, (0.97, 0.97)), (toxicity, "toxic", 5, 0, (0.97, 0.85))])
 def test_held_out_accuracy(spark, module, label, modulus, held, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = module.train(docs, labels)
@@ -35,6 +35,52 @@ def test_edges(spark, module):
     assert module.scored(df, untrained).count() == 6
 
 
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_labels_that_disagree_and_texts_read_whole(spark, module):
+    """Of an id's labels 1 counts; the sign stands behind 300,000 characters, and equal rows get equal scores."""
+    far = "fine words here " * 20000
+    rows = [(i, far + ("AAAA!!!! idiot idiot " * 40 if i % 2 else "")) for i in range(1, 13)]
+    labels = [(i, i % 2, i % 2) for i, _ in rows] + [(i, 0, 0) for i, _ in rows if i % 2] + [(None, 1, 1), (2, None, None)]
+    model = module.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = module.scored(spark.createDataFrame([rows[0], rows[0], rows[1]], "doc_id long, text string"), model).collect()
+    assert out[0].score == out[1].score != out[2].score
+
+
+def test_scores_against_one_text_at_a_time(spark, small):
+    """The windows of a text one by one: its score is that of the highest, and no slice or batch changes it."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    some = sorted(texts)
+    model = toxicity.fit([texts[i] + (" idiot" if i % 2 else "") for i in some], [i % 2 for i in some], updates=20)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for i in some:
+        w = words([texts[i]])
+        v, step = toxicity.Vocabulary(w), toxicity.WINDOW - toxicity.OVERLAP
+        n, at, best = len(w.start), 0, -np.inf
+        while n:
+            index = v.index[at : at + toxicity.WINDOW][None]
+            best = max(best, float(toxicity._scores(model, v.vectors(model), index, None)[0]))
+            if at + toxicity.WINDOW >= n:
+                break
+            at += step
+        assert abs(got[i] - (1 / (1 + np.exp(-best)) if n else model["empty"])) < 1e-4, i
+
+
+def test_quality_against_one_bag_at_a_time(spark, small):
+    """Gated attention written out for one document after the other."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    m = quality.fit([texts[i] for i in sorted(texts)], [i % 2 for i in sorted(texts)], epochs=2)
+    got = {r.doc_id: r.score for r in quality.scored(docs, m).collect()}
+    for i, t in texts.items():
+        x, first = quality.passages([t])
+        h = [np.tanh((v - m["mean"]) / m["scale"] @ m["W"] + m["b"]) for v in x]
+        e = np.array([np.tanh(v @ m["V"]) * (1 / (1 + np.exp(-(v @ m["U"])))) @ m["w"] for v in h])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(h) else []
+        z = sum((w * v for w, v in zip(a, h, strict=True)), np.zeros(quality.HIDDEN))
+        assert abs(got[i] - 1 / (1 + np.exp(-(z @ m["c"] + m["d"])))) < 1e-6
+
+
 def test_toxicity_gradients():
     texts = ["one two three four five six", "seven eight nine", "two nine idiot ten"]
     m = toxicity.fit(texts, [0, 0, 1])
