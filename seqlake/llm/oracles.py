@@ -54,15 +54,19 @@ def fingerprint_sql() -> str:
     lines = "replace(replace(replace(t, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10))"
     lane = lambda i: f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT"
     hexed = lambda x, n: f"lpad(lower(printf('%x', {x})), {n}, '0')"
+    last, n = lane(fingerprint.LANES - 1), fingerprint.SLOTS
     lanes = " || ".join(hexed(f"coalesce(sum({lane(i)}) % {fingerprint.MODULUS}, 0)::BIGINT", 8) for i in range(fingerprint.LANES))
-    near = lambda k: f"CASE WHEN a.lanes = {k}.lanes THEN 1.0 ELSE coalesce((SELECT count(*) FILTER (WHERE x.v = y.v) / count(*) FROM (SELECT * FROM sl WHERE i = e.i AND k = 0) x FULL JOIN (SELECT * FROM sl WHERE i = e.i AND k = {dict(b=1, c=2)[k]}) y USING (slot)), 0.0) END::DOUBLE"
+    near = lambda k, j: f"CASE WHEN a.lanes = {k}.lanes THEN 1.0 WHEN na.n IS NULL OR n{k}.n IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, coalesce(d{j}.v, 0)::DOUBLE / (sqrt(na.n) * sqrt(n{k}.n)))) END::DOUBLE"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), o AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) AS i, count(*) OVER () AS n FROM d),
  e AS (SELECT a.i, a.doc_id, a.text, b.text AS nxt, left(a.text, (len(a.text) - len(a.text) // 2)::BIGINT) || left(b.text, (len(a.text) // 2)::BIGINT) AS edited FROM o a JOIN o b ON b.i = a.i % a.n + 1),
  t AS (SELECT i, 0 AS k, text AS t FROM e UNION ALL SELECT i, 1, edited FROM e UNION ALL SELECT i, 2, nxt FROM e), p AS (SELECT i, k, trim(unnest(string_split({lines}, chr(10)))) AS p FROM t), h AS (SELECT i, k, sha256(p) AS h FROM p WHERE p <> ''),
- la AS (SELECT t.i, t.k, {lanes} AS lanes FROM t LEFT JOIN h USING (i, k) GROUP BY t.i, t.k), sl AS (SELECT i, k, {lane(fingerprint.LANES - 1)} % {fingerprint.SLOTS} AS slot, (sum({lane(0)}) % {fingerprint.MODULUS})::BIGINT AS v FROM h GROUP BY ALL),
- st AS (SELECT i, k, string_agg({hexed('slot', 2)} || {hexed('v', 8)}, '' ORDER BY slot) AS slots FROM sl GROUP BY i, k)
-SELECT e.doc_id, len(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.lanes || ':' || coalesce(sa.slots, '') AS fingerprint, b.lanes || ':' || coalesce(sb.slots, '') AS edited_fingerprint, {near('b')} AS near_edited, {near('c')} AS near_next
- FROM e JOIN la a ON a.i = e.i AND a.k = 0 JOIN la b ON b.i = e.i AND b.k = 1 JOIN la c ON c.i = e.i AND c.k = 2 LEFT JOIN st sa ON sa.i = e.i AND sa.k = 0 LEFT JOIN st sb ON sb.i = e.i AND sb.k = 1""".replace("GROUP BY ALL", f"GROUP BY i, k, {lane(fingerprint.LANES - 1)} % {fingerprint.SLOTS}")
+ la AS (SELECT t.i, t.k, {lanes} AS lanes FROM t LEFT JOIN h USING (i, k) GROUP BY t.i, t.k),
+ sl AS (SELECT i, k, slot, sum(s)::BIGINT AS v FROM (SELECT i, k, {last} % {n} AS slot, {last} // {n} % 2 * 2 - 1 AS s FROM h) GROUP BY i, k, slot HAVING sum(s) <> 0),
+ st AS (SELECT i, k, string_agg({hexed('slot', 2)} || {hexed(f'(v + {fingerprint.MODULUS}) % {fingerprint.MODULUS}', 8)}, '' ORDER BY slot) AS slots FROM sl GROUP BY i, k), nm AS (SELECT i, k, sum(v * v)::DOUBLE AS n FROM sl GROUP BY i, k),
+ dt AS (SELECT x.i, y.k, sum(x.v * y.v) AS v FROM sl x JOIN sl y ON x.i = y.i AND x.slot = y.slot AND x.k = 0 AND y.k > 0 GROUP BY x.i, y.k)
+SELECT e.doc_id, len(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.lanes || ':' || coalesce(sa.slots, '') AS fingerprint, b.lanes || ':' || coalesce(sb.slots, '') AS edited_fingerprint, {near('b', 1)} AS near_edited, {near('c', 2)} AS near_next
+ FROM e JOIN la a ON a.i = e.i AND a.k = 0 JOIN la b ON b.i = e.i AND b.k = 1 JOIN la c ON c.i = e.i AND c.k = 2 LEFT JOIN st sa ON sa.i = e.i AND sa.k = 0 LEFT JOIN st sb ON sb.i = e.i AND sb.k = 1
+ LEFT JOIN nm na ON na.i = e.i AND na.k = 0 LEFT JOIN nm nb ON nb.i = e.i AND nb.k = 1 LEFT JOIN nm nc ON nc.i = e.i AND nc.k = 2 LEFT JOIN dt d1 ON d1.i = e.i AND d1.k = 1 LEFT JOIN dt d2 ON d2.i = e.i AND d2.k = 2"""
 
 
 def oracle_sql() -> dict[str, str]:

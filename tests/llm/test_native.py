@@ -142,58 +142,87 @@ def vectors_by_hand(text):
 
 
 def print_by_hand(text):
-    lanes, slots = [0] * 8, {}
+    lanes, slots = [0] * 8, Counter()
     for v in vectors_by_hand(text):
         lanes = [(a + b) % 2**32 for a, b in zip(lanes, v, strict=True)]
-        slots[v[7] % 64] = (slots.get(v[7] % 64, 0) + v[0]) % 2**32
-    return lanes, sorted(slots.items())
+        slots[v[7] % 256] += v[7] // 256 % 2 * 2 - 1
+    return lanes, sorted((k, x) for k, x in slots.items() if x)
 
 
 def text_by_hand(p):
-    return "".join(f"{x:08x}" for x in p[0]) + ":" + "".join(f"{k:02x}{v:08x}" for k, v in p[1])
+    return "".join(f"{x:08x}" for x in p[0]) + ":" + "".join(f"{k:02x}{v % 2**32:08x}" for k, v in p[1])
 
 
 def likeness_by_hand(p, q):
     if p[0] == q[0]:
         return 1.0
-    used = {k for k, _ in p[1]} | {k for k, _ in q[1]}
-    return len(set(p[1]) & set(q[1])) / len(used) if used else 0.0
+    other = dict(q[1])
+    dot = sum(v * other.get(k, 0) for k, v in p[1])
+    size = math.sqrt(sum(v * v for _, v in p[1])) * math.sqrt(sum(v * v for _, v in q[1]))
+    return min(1.0, max(0.0, dot / size)) if size else 0.0
+
+
+def in_order(docs):
+    """By descending id; null ids last, by the start of their text's MD5."""
+    return sorted(((i, t or "") for i, t in docs), key=lambda r: (r[0] is None, -r[0] if r[0] is not None else -int(hashlib.md5(r[1].encode()).hexdigest()[:5], 16), r[1]))
 
 
 def test_fingerprints_against_plain_python(spark, tmp_path):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    docs += [(5000, None), (5001, ""), (900_000, "a. b. c"), (900_001, "c. a. b"), (-70, "é " * 9), (10**15, "x\n" * 20000)]
-    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in fingerprint.op5_fingerprint(spark, str(tmp_path)).collect()}
-    order = sorted(((i, t or "") for i, t in docs), reverse=True)
-    assert len(got) == len(docs)
+    docs += [(5000, None), (5001, ""), (900_000, "a. b. c"), (900_001, "c. a. b"), (-70, "é " * 9), (10**15, "x\n" * 20000), (-(2**63), "low"), (2**63 - 1, "high. low"), (2**40, "mid")]
+    docs += [(7 * 10**12 * k, f"text {k}. {k % 3}") for k in range(1, 300)] + [(None, f"none {k}. more") for k in range(30)]
+    spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, fingerprint string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in fingerprint.op5_fingerprint(spark, str(tmp_path)).collect():
+        got[r.doc_id, r.fingerprint].append(r)
+    order = in_order(docs)
+    assert sum(map(len, got.values())) == len(docs)
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         p, e = print_by_hand(t), print_by_hand(edited)
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (text_by_hand(p), text_by_hand(e))
+        (r,) = got[i, text_by_hand(p)]
+        assert (r.n_chars, r.edited_sha256, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), text_by_hand(e))
         assert (r.near_edited, r.near_next) == (pytest.approx(likeness_by_hand(p, e)), pytest.approx(likeness_by_hand(p, print_by_hand(following))))
 
 
+@pytest.mark.parametrize("n", [10, 40, 100, 400, 2000, 10_000])
+def test_likeness_does_not_depend_on_length(spark, tmp_path, n):
+    """Texts of n paragraphs of equal length, so that the edited text keeps half of them; the next document has others."""
+    text = lambda name: "\n".join(f"{name}{k:07d}" for k in range(n))
+    spark.createDataFrame([(i, text(c)) for i, c in enumerate("abcdef")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprint.op5_fingerprint(spark, str(tmp_path)).collect()
+    assert all(abs(r.near_edited - 0.5) < 0.25 and r.near_next < 0.25 for r in rows)
+    assert abs(sum(r.near_edited for r in rows) / 6 - 0.5) < 0.1
+
+
 def test_fingerprint_is_a_sum(spark):
-    df = spark.createDataFrame([("one\ntwo\nthree", "three\none\ntwo", "one\nthree")], "a string, b string, c string")
-    whole, other, less = (fingerprint.fingerprint(F.col(c))["lanes"] for c in "abc")
-    grown = fingerprint.added(less, fingerprint.paragraph_vector(F.lit("two")))
-    shrunk = fingerprint.added(whole, fingerprint.paragraph_vector(F.lit("two")), -1)
-    r = df.select((whole == other).alias("a"), (grown == whole).alias("b"), (shrunk == less).alias("c"), (whole == less).alias("d")).first()
-    assert tuple(r) == (True, True, True, False)
+    texts = {"a": "one\ntwo\nthree", "b": "three\none\ntwo", "c": "one\nthree", "d": "two"}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    got = {r.name: r.print for r in fingerprint.prints(df, ["name"]).collect()}
+    assert got["a"] == got["b"] != got["c"]
+    both = spark.createDataFrame([("x", texts["c"]), ("x", texts["d"])], df.schema)  # a text that comes in parts
+    assert fingerprint.prints(both, ["name"]).first().print == got["a"]
+    lanes = {k: F.array(*[F.lit(x) for x in v.lanes]) for k, v in got.items()}
+    two = fingerprint.paragraph_vector(F.lit("two"))
+    r = spark.range(1).select((fingerprint.added(lanes["c"], two) == lanes["a"]).alias("a"), (fingerprint.added(lanes["a"], two, -1) == lanes["c"]).alias("b")).first()
+    assert tuple(r) == (True, True)
 
 
 def test_fingerprint_edges(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert fingerprint.op5_fingerprint(spark, f"{tmp_path}/none").count() == 0
-    spark.createDataFrame([(1, "abcd", 3), (1, "abcd", 3), (None, "xy", 3), (None, None, 3)], "doc_id long, text string, fingerprint int").write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs = [(1, "abcd"), (1, "abcd"), (None, "xy"), (None, None), (None, "xy")]
+    spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, fingerprint int").write.parquet(f"{tmp_path}/some/documents.parquet")
     rows = fingerprint.op5_fingerprint(spark, f"{tmp_path}/some").collect()
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    # In order: (1, abcd), (1, abcd), (null, ''), (null, 'xy'), and the first again.
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str) == sorted([(1, 4, sha("abcd"[:2] + "ab")), (1, 4, sha("ab")), (None, 0, sha("")), (None, 2, sha("xa"))], key=str)
+    order = in_order(docs)
+    want = []
+    for k, (i, t) in enumerate(order):
+        edited = t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str) == sorted(want, key=str)
+    spark.createDataFrame(docs[:1], "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
+    assert fingerprint.op5_fingerprint(spark, f"{tmp_path}/one").first().near_next == 1.0
 
 
 # names in one word; the labels are written by hand
