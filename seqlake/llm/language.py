@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .words import chunks
 
-#: Rows of the trigram table, and labelled documents of each language that it is fitted on (about; twice as many at
-#: most). All languages with labelled documents take part.
-BUCKETS, PER_LANGUAGE = 1 << 16, 400
+#: Rows of the trigram table, and languages whose counts a task holds at a time. All documents with a language are counted.
+BUCKETS, HELD = 1 << 16, 32
 #: A text speaks for as many trigrams as it has, but for no more than this.
 MOST_TRIGRAMS = 60
 #: Pages that the level above counts for in a host's, domain's or suffix's prior, and in the tables of declarations.
@@ -52,20 +52,41 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return value[live].astype(np.int64), begins - 2 * np.arange(len(begins))
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, bucket, n) of the batches' texts, summed in the task."""
+    counts: dict[str, np.ndarray] = {}
+
+    def rows() -> Iterator[pd.DataFrame]:
+        for lang, n in counts.items():
+            used = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "bucket": used, "n": n[used]})
+        counts.clear()
+
+    for pdf in batches:
+        texts, langs = list(pdf.text), pdf.lang.to_numpy(object)
+        for a, b in chunks(texts, 250_000):
+            for lang in dict.fromkeys(langs[a:b]):
+                if lang not in counts and len(counts) >= HELD:
+                    yield from rows()
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS, np.int64)
+                counts[lang] += np.bincount(trigrams([t for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang])[0], minlength=BUCKETS)
+    yield from rows()
+
+
 def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Log probabilities of the buckets in the language of all rows of pdf."""
-    counts = np.bincount(trigrams(list(pdf.text[: 2 * PER_LANGUAGE]))[0], minlength=BUCKETS) + 0.1
+    """Log probabilities of the buckets in the language of all rows of pdf (BUCKETS at most)."""
+    counts = np.bincount(pdf.bucket, pdf.n, BUCKETS) + 0.1
     return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "logs": [np.log(counts / counts.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log probabilities of the buckets in each, from a sample of each language's documents.
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log probabilities of the buckets in each, from all labelled documents' whole texts.
 
-    One scan takes all samples, and each language is counted in a task: only its row of the table reaches the driver.
+    One scan counts; each language's counts meet in a task, and only its row of the table reaches the driver.
     """
-    share = labelled.sparkSession.createDataFrame([(lang, min(1_000_000_000, 1_000_000_000 * PER_LANGUAGE // n)) for lang, n in sizes.items()], "lang string, below long")
-    picked = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(42), "doc_id", "text"), F.lit(1_000_000_000)) < F.col("below"))
-    rows = {r.lang: np.frombuffer(r.logs, np.float32) for r in picked.select("lang", F.left("text", F.lit(4000)).alias("text")).groupBy("lang").applyInPandas(_fitted, "lang string, logs binary").toLocalIterator()}
+    counts = labelled.select("lang", "text").mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = {r.lang: np.frombuffer(r.logs, np.float32) for r in counts.groupBy("lang").applyInPandas(_fitted, "lang string, logs binary").toLocalIterator()}
     names = sorted(rows)
     return names, np.stack([rows[n] for n in names]) if names else np.zeros((0, BUCKETS), np.float32)
 
@@ -98,15 +119,15 @@ def _distribution(logs: Column) -> Column:
 def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, host, declared, suffix, text_lang, lang and probability of every row of pages.
 
-    documents: text and lang, to learn trigrams from (a bounded sample for each language). Null pages, addresses and
-    declarations are no evidence; ties go to the language first in order. Without labelled documents lang is null.
+    documents: text and lang, to learn trigrams from. Null pages, addresses and declarations are no evidence; ties go to the
+    language first in order. Without labelled documents lang is null. Pages that repeat are kept each, and count each as
+    evidence; pages are read whole; an empty table gives no rows; other columns of pages do not count.
     """
     spark = pages.sparkSession
     labelled = documents.where(F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     host = host_of(F.col("url"))
-    names, logs = fit(labelled, sizes)
+    names, logs = fit(labelled)
     if not names:
         return rows.select("page_id", "url", host.alias("host"), *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "text_lang", "lang")], F.lit(None).cast("double").alias("probability"))
     sent = spark.sparkContext.broadcast(logs)
@@ -114,7 +135,7 @@ def identified(pages: DataFrame, documents: DataFrame, page_id: str = "page_id",
     @F.pandas_udf("array<double>")
     def likelihood(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(np.concatenate([log_likelihoods(sent.value, [visible(x) for x in part]) for part in np.array_split(batch.to_numpy(object), max(1, len(batch) // 500))])))
+            yield pd.Series(list(np.concatenate([log_likelihoods(sent.value, [visible(x) for x in part]) for part in np.array_split(batch.to_numpy(object), max(1, len(batch) // 100))])))
 
     tag = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     meta = F.lower(F.regexp_extract("html", r"(?i)http-equiv\s*=\s*[\"']?content-language[\"']?\s+content\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))

@@ -1,5 +1,9 @@
 """Accuracy, the fusion against plain Python, and edge cases of language identification."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +36,59 @@ def test_host_and_declaration_decide_where_the_text_is_silent(spark):
     assert got[64].host == "" and got[64].suffix is None and got[64].lang in texts
 
 
+def by_hand(pages, docs):
+    """page_id -> posterior, by the formulas in plain Python."""
+    grams = lambda t: [tuple((b" " + t.lower().encode() + b" ")[k : k + 3]) for k in range(len(t.encode()))]
+    bucket = lambda g: ((((g[0] * 0x9E3779B1) ^ (g[1] * 0x85EBCA77) ^ (g[2] * 0xC2B2AE3D)) & 0xFFFFFFFF) ^ ((((g[0] * 0x9E3779B1) ^ (g[1] * 0x85EBCA77) ^ (g[2] * 0xC2B2AE3D)) & 0xFFFFFFFF) >> 15)) * 0x2C1B3C6D % 2**32 >> 16
+    names = sorted({x for _, _, x in docs})
+    counts = {x: Counter(bucket(g) for _, t, y in docs if y == x for g in grams(t)) for x in names}
+    totals = {x: sum(c.values()) + 0.1 * language.BUCKETS for x, c in counts.items()}
+    norm = lambda v: [x / sum(v) for x in v]
+    seen = {}
+    for i, url, html in pages:
+        g = [bucket(x) for x in grams(language.visible(html or ""))]
+        logs = [sum(math.log((counts[x][b] + 0.1) / totals[x]) for b in g) * min(len(g), language.MOST_TRIGRAMS) / max(1, len(g)) for x in names]
+        host = (re.match(r"[a-z]+://([^/:?#]*)", url or "") or [None, ""])[1].lower()
+        declared = (re.search(r"<html[^>]*?\slang=\"([a-z]{2,3})", html or "") or [None, ""])[1]
+        path = (re.match(r"[^:]+://[^/]*/([a-z]{2})(?:/|$)", url or "") or [None, ""])[1]
+        suffix = (re.search(r"([^.]+)$", host) or [None, ""])[1]
+        domain = (re.search(r"([^.]+\.[^.]+)$", host) or [None, ""])[1]
+        seen[i] = dict(logs=logs, p=norm([math.exp(x - max(logs)) for x in logs]), host=host, declared=declared, path=path, level=((suffix, domain, host), (suffix, domain), (suffix,)))
+    ks = range(len(names))
+    base = [(sum(s["p"][k] for s in seen.values()) + 1) / (len(seen) + len(names)) for k in ks]
+    out = {}
+    for i, s in seen.items():
+        prior = base
+        for depth in (2, 1, 0):
+            mine = [t for t in seen.values() if t["level"][depth] == s["level"][depth]]
+            prior = [(sum(t["p"][k] for t in mine) - s["p"][k] + language.SMOOTH * prior[k]) / (len(mine) - 1 + language.SMOOTH) for k in ks]
+        evidence = [s["logs"][k] + math.log(max(prior[k], 1e-9)) for k in ks]
+        for c in ("declared", "path"):
+            if s[c]:
+                values = {t[c] for t in seen.values() if t[c]}
+                for k in ks:
+                    evidence[k] += math.log((sum(t["p"][k] for t in seen.values() if t[c] == s[c]) + 1) / (sum(t["p"][k] for t in seen.values() if t[c]) + len(values) + 1))
+        out[i] = dict(zip(names, norm([math.exp(x - max(evidence)) for x in evidence]), strict=True))
+    return out
+
+
+def test_the_fusion_against_plain_python(spark):
+    texts, docs = corpus(spark)
+    hosts = ["a.one.de", "b.one.de", "c.two.de", "a.one.fr", "localhost", "x.net"]
+    pages = []
+    for i in range(60):
+        body = list(texts.values())[i % 3] if i % 4 else ""
+        lang = f' lang="{list(texts)[(i // 2) % 3]}"' if i % 5 else ""
+        pages.append((i, f"http://{hosts[i % 6]}/{'fr/' if i % 7 == 0 else ''}p{i}" if i % 11 else None, f"<html{lang}><body>{body}</body></html>" if i % 13 else None))
+    pages += [(100, "http://a.one.de/", "der die and the"), (101, "http://a.one.de/", "der die and the")]
+    want = by_hand(pages, [tuple(r) for r in docs.collect()])
+    got = {r.page_id: r for r in language.identified(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert set(got) == set(want)
+    for i, p in want.items():
+        assert abs(got[i].probability - max(p.values())) < 1e-4, i
+        assert p[got[i].lang] > max(p.values()) - 1e-4
+
+
 def test_edges(spark):
     texts, docs = corpus(spark)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
