@@ -4,34 +4,57 @@ Vectors are scaled to length 1 and turned by one random rotation, so that their
 all. Every vector is put into the list of its nearest centroid. A query visits its nearest lists and scans each
 list's vectors in blocks of columns: after each block a hypothesis test on the partial distance gives up the
 candidates that can hardly be among the query's nearest. Those that last are scored on the original vectors.
+
+Lists are packed into cells of about the same size, and long lists are cut, so that a query is sent to a cell once,
+whatever number of its lists it visits. Of equal vectors only the k + 1 smallest ids can be among any query's k nearest
+(ties go to the smaller id), so no more of them are filed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import sampled, table, written
 
 #: Vectors that the centroids are fitted on (about; twice as many at most), and the most lists. All vectors are put into lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
-#: Share of the lists that a query visits, and how many at least.
-PROBED, LEAST_PROBED = 0.8, 8
+#: Lists for each square root of the number of vectors; share of them that a query visits, and how many at least.
+DENSITY, PROBED, LEAST_PROBED = 2.0, 0.42, 8
 #: Columns of a block, and the test's width: larger gives up fewer candidates.
 BLOCK, WIDTH = 16, 2.1
-#: Vectors and queries of one group of work, about.
-GROUP = 4096
+#: Vectors (of 64 components; of more fewer) and queries of one group of work, about. Lengths with fewer vectors than that are
+#: searched without lists.
+GROUP = 16_384
+#: Stands for a null id, so that pandas makes no floats of the others.
+NO_ID = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(id, v) of the vectors that take part: not null or empty, all components finite, not all zero."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    """(id, dims, v) of the vectors that take part: not null or empty, all components finite, not all zero. v: the components'
+    bytes, as 32-bit floats where the column holds such, else as 64-bit ones."""
+    single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)
+    kind = np.float32 if single else np.float64
+    v = F.col(embedding) if single else F.transform(F.col(embedding), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(vec_id).alias("id"), v.alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    rows = vectors.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(NO_ID)).alias("id"), v.alias("v")).where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "dims": [len(x) for x in pdf.v], "v": [(np.asarray(x, kind) + kind(0)).tobytes() for x in pdf.v]})
+
+    return rows.mapInPandas(coded, "id long, dims int, v binary").withColumn("single", F.lit(single))
+
+
+def matrix(v: Iterable[bytes], single: bool) -> np.ndarray:
+    v = list(v)
+    return np.frombuffer(b"".join(v), np.float32 if single else np.float64).reshape(len(v), -1).astype(np.float64)
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -58,32 +81,32 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3) ->
     return c
 
 
-def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, width: float = WIDTH, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, candidate) of places that last through all blocks of columns.
 
     Both sides are rotated and of length 1. A query's bound is the distance of its k-th nearest among a first few
-    vectors, scanned whole. With d of D columns read, a candidate is given up if its partial squared distance times
-    D / d is more than (1 + width / sqrt(d))**2 times the bound. Every test allows for rounding: among exact copies the
-    distances and the bound are noise around 0.
+    vectors, scanned whole, or what earlier lists have left in limits, if that is less. With d of D columns read, a
+    candidate is given up if its partial squared distance times D / d is more than (1 + width / sqrt(d))**2 times the
+    bound. Every test allows for rounding: among exact copies the distances and the bound are noise around 0.
     """
     n, dims = vectors.shape
-    first = min(n, max(4 * k, 256))
+    first = min(n, max(4 * k, 64))
     exact = 2 - 2 * (queries @ vectors[:first].T)
     exact[query_ids[:, None] == ids[None, :first]] = np.inf
     bound = np.partition(exact, k - 1, axis=1)[:, k - 1].clip(0) if first > k else np.full(len(queries), np.inf)
+    if limits is not None:
+        bound = np.minimum(bound, limits)
     q_at, v_at = np.nonzero((exact <= bound[:, None] + 1e-9) & np.isfinite(exact))
     out = [(q_at, v_at)]
     if first == n:
         return out[0]
     rest = vectors[first:]
-    partial = np.zeros((len(queries), len(rest)), np.float32)
-    for d in range(0, min(BLOCK, dims), BLOCK):
-        a, b = queries[:, d : d + BLOCK], rest[:, d : d + BLOCK]
-        partial += (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
     read = min(BLOCK, dims)
-    keep = partial * (dims / read) <= ((1 + width / np.sqrt(read)) ** 2 if read < dims else 1) * bound[:, None] + 1e-6
+    a, b = queries[:, :read].astype(np.float32), rest[:, :read].astype(np.float32)
+    partial = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
+    keep = partial * (dims / read) <= ((1 + width / np.sqrt(read)) ** 2 if read < dims else 1) * bound[:, None] + 1e-5
     q_at, v_at = np.nonzero(keep)
-    far = partial[q_at, v_at].astype(np.float64)
+    far = ((queries[q_at, :read] - rest[v_at, :read]) ** 2).sum(1) if read == dims else partial[q_at, v_at].astype(np.float64)
     while read < dims and len(q_at):
         upto = min(dims, read + BLOCK)
         for part in np.array_split(np.arange(len(q_at)), max(1, len(q_at) // 200_000)):
@@ -96,85 +119,152 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     return np.concatenate([out[0][0], q_at[other]]), np.concatenate([out[0][1], v_at[other] + first])
 
 
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision, with the greatest component of each row divided out first."""
+    a = a / np.abs(a).max(1, keepdims=True)
+    b = b / np.abs(b).max(1, keepdims=True)
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
+
+class Best:
+    """The k best candidates of each query so far: score descending, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), NO_ID)
+
+    def limits(self, rows: np.ndarray) -> np.ndarray:
+        """Squared distance between vectors of length 1 beyond which nothing gets in."""
+        return 2 - 2 * self.score[rows, -1]
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        k = self.score.shape[1]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
+        rank = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+        top = rank < k
+        rows = row[new]
+        more_score, more_id = np.full((len(rows), k), -np.inf), np.full((len(rows), k), NO_ID)
+        at = np.searchsorted(rows, row[top])
+        more_score[at, rank[top]], more_id[at, rank[top]] = score[top], ids[top]
+        both, both_id = np.hstack([self.score[rows], more_score]), np.hstack([self.id[rows], more_id])
+        order = np.lexsort((both_id, -both), axis=1)[:, :k]
+        self.score[rows], self.id[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
+
+
+def _searched(q: np.ndarray, q_ids: np.ndarray, q_lists: list[np.ndarray], v: np.ndarray, v_ids: np.ndarray, v_list: np.ndarray, turn: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's k best among the vectors of those lists that it visits. Vectors are original ones."""
+    found = Best(len(q), k)
+    turned_q, turned_v = _unit(q) @ turn, _unit(v) @ turn
+    visitor, visited = np.repeat(np.arange(len(q)), [len(x) for x in q_lists]), np.concatenate(q_lists) if len(q_lists) else np.zeros(0, int)
+    for number in np.unique(visited):
+        rows, at = np.flatnonzero(v_list == number), visitor[visited == number]
+        if not len(rows):
+            continue
+        for part in np.array_split(at, max(1, len(at) * len(rows) // 4_000_000)):
+            a, b = scanned(turned_q[part], q_ids[part], turned_v[rows], v_ids[rows], k, limits=found.limits(part))
+            a, b = part[a], rows[b]
+            for some in np.array_split(np.arange(len(a)), max(1, len(a) // 100_000)):
+                found.add(a[some], v_ids[b[some]], cosine(q[a[some]], v[b[some]]))
+    row, place = np.nonzero(np.isfinite(found.score))
+    return pd.DataFrame({"query_id": q_ids[row], "vec_id": found.id[row, place], "score": found.score[row, place]})
+
+
 def best(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", probed: float = PROBED) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest by cosine, largest first, ties to the smaller id.
+    """query_id, rank, vec_id, score of each query's k nearest by cosine, largest first, ties to the smaller id (null last).
 
-    queries and vectors have the columns vec_id and embedding; others do not count. A query is no candidate of its own.
-    Vectors that are null, zero, hold null or non-finite components, or are shorter than the longest take no part. Rows
-    that repeat an id: the one with the smallest vector counts. With fewer than k candidates all are returned.
+    queries and vectors have the columns vec_id and embedding; others do not count. Rows of a query's id are no candidates
+    of it. Vectors that are null, zero, or hold null or non-finite components take no part. A vector's candidates are
+    those of its own length: every length is searched by itself. Rows that repeat an id with another vector are candidates
+    each, rows that repeat both count once; of a query's id the row of the smallest bytes asks. With fewer than k
+    candidates all are returned; empty tables give no rows.
     """
     spark = vectors.sparkSession
-    one = lambda df: df.groupBy("id").agg(F.min("v").alias("v"))
-    base = written(one(usable(vectors, vec_id, embedding)))
-    asked = one(usable(queries, vec_id, embedding))
-    shape = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
-    if not shape.n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, turn = shape.dims, rotation(shape.dims)
-    base, asked = (df.where(F.size("v") == dims) for df in (base, asked))
-    lists = int(np.clip(round(shape.n**0.5 / 4), 1, MOST_LISTS))
+    few = Window.partitionBy("v", "dims").orderBy("id")
+    base = usable(vectors, vec_id, embedding).withColumn("__n", F.dense_rank().over(few)).where(F.col("__n") <= k + 1).drop("__n")
+    base = written(base.dropDuplicates(["v", "dims", "id"]))
+    asked = written(usable(queries, vec_id, embedding).groupBy("id").agg(F.min_by(F.struct("dims", "v", "single"), "v").alias("r")).select("id", "r.*"))
+    sizes = {r.dims: (r.n, r.single) for r in base.groupBy("dims").agg(F.count("*").alias("n"), F.first("single").alias("single")).where(F.col("n") >= GROUP // 4).collect()}
+    parts = [_in_lists(spark, *(df.where(F.col("dims") == dims) for df in (base, asked)), dims, *sizes[dims], k, probed) for dims in sorted(sizes)]
+    parts.append(_at_once(*(df.where(~F.col("dims").isin(*sizes)) if sizes else df for df in (base, asked)), k))
+    pairs = functools.reduce(DataFrame.unionByName, parts)
+    # Each group of work sends k rows for a query at most; the window keeps k before it shuffles, and k after.
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
+
+
+PAIRS = "query_id long, vec_id long, score double"
+
+
+def _at_once(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """For lengths of few vectors: a task for each length."""
+
+    def scan(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        turn = np.eye(int(v.dims.iloc[0]))
+        return _searched(matrix(q.v, bool(q.single.iloc[0])), q.id.to_numpy(), [np.zeros(1, int)] * len(q), matrix(v.v, bool(v.single.iloc[0])), v.id.to_numpy(), np.zeros(len(v), int), turn, k)
+
+    return asked.groupBy("dims").cogroup(base.groupBy("dims")).applyInPandas(scan, PAIRS)
+
+
+def _in_lists(spark: SparkSession, base: DataFrame, asked: DataFrame, dims: int, n: int, single: bool, k: int, probed: float) -> DataFrame:
+    """For a length of many vectors: by lists, cells of lists, and parts of cells."""
+    group = int(np.clip(GROUP * 64 // dims, min(GROUP, 512), GROUP))
+    lists = int(np.clip(round(DENSITY * n**0.5), 1, MOST_LISTS))
+    turn = rotation(dims)
     # The sample is bounded, and so are the centroids.
-    sample = np.array([r.v for r in sampled(base, "id", SAMPLE, shape.n).select("v").limit(2 * SAMPLE).toLocalIterator()])
-    centre = centroids(_unit(sample) @ turn, lists)
-    visits = lists if lists <= LEAST_PROBED else max(LEAST_PROBED, int(np.ceil(probed * lists)))
+    sample = sampled(base.select("id", "v"), "id", SAMPLE, n).limit(2 * SAMPLE).toPandas()
+    centre = centroids((_unit(matrix(sample.v, single)) @ turn).astype(np.float32), lists)
+    visits = min(lists, max(LEAST_PROBED, int(np.ceil(probed * lists))))
     sent = spark.sparkContext.broadcast((turn, centre))
 
-    def turned(pdf: pd.DataFrame) -> np.ndarray:
-        return _unit(np.stack(pdf.v.to_numpy()).astype(np.float64)) @ sent.value[0]
+    def near(pdf: pd.DataFrame) -> np.ndarray:
+        return (_unit(matrix(pdf.v, single)) @ sent.value[0]).astype(np.float32) @ sent.value[1].T
 
     def to_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": np.argmax(turned(pdf) @ sent.value[1].T, 1)})
+                yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": np.concatenate([np.argmax(near(pdf.iloc[a : a + 2048]), 1) for a in range(0, len(pdf), 2048)])})
+
+    filed = written(base.select("id", "v").mapInPandas(to_lists, "id long, v binary, list int"))
+    # Lists in their order fill a cell; a list that is larger is one by itself. Cells of more than a group are cut into parts.
+    size = np.zeros(lists, np.int64)
+    for r in filed.groupBy("list").count().collect():  # a row for each list
+        size[r.list] = r["count"]
+    cell, filled = np.zeros(lists, np.int64), 0
+    for i in range(1, lists):
+        filled += size[i - 1]
+        cell[i] = cell[i - 1] + (filled + size[i] > group)
+        filled = filled if cell[i] == cell[i - 1] else 0
+    parts = np.maximum(1, -(-np.bincount(cell, size) // group)).astype(np.int64)
+    cells = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(lists), "cell": cell, "parts": parts[cell]}), "list int, cell int, parts int"))
+    of_cells = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(parts)), "parts": parts}), "cell int, parts int"))
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                near = np.argsort(-(turned(pdf) @ sent.value[1].T), 1)[:, :visits]
-                yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), visits), "v": pdf.v.repeat(visits).to_numpy(), "list": near.ravel()})
-
-    schema = "id long, v array<double>, list int"
-    filed = written(base.mapInPandas(to_lists, schema))
-    n_asked = asked.count()
-    # Long lists are cut into parts of about GROUP vectors, and many queries into parts of about GROUP queries.
-    sizes = filed.groupBy("list").count().select("list", F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
-    q_parts = max(1, round(n_asked * visits / lists / GROUP))
-    filed = filed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    filed = filed.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    visiting = asked.mapInPandas(to_visits, schema).join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    visiting = visiting.withColumn("q_part", F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int"))
-
-    def scan(asked_: pd.DataFrame, filed_: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(asked_) or not len(filed_):
-            return empty
-        q, v = turned(asked_), turned(filed_)
-        own_q, own_v = np.stack(asked_.v.to_numpy()), np.stack(filed_.v.to_numpy())
-        q_ids, v_ids = asked_.id.to_numpy(), filed_.id.to_numpy()
-        found = []
-        for part in np.array_split(np.arange(len(q)), max(1, len(q) // 512)):
-            q_at, v_at = scanned(q[part], q_ids[part], v, v_ids, k)
-            q_at = part[q_at]
-            score = np.concatenate([cosine(own_q[q_at[some]], own_v[v_at[some]]) for some in np.array_split(np.arange(len(q_at)), max(1, len(q_at) // 100_000))])
-            order = np.lexsort((v_ids[v_at], -score, q_at))
-            q_at, v_at, score = q_at[order], v_at[order], score[order]
-            new = np.flatnonzero(np.concatenate([[True], q_at[1:] != q_at[:-1]])) if len(q_at) else np.zeros(0, int)
-            rank = np.arange(len(q_at)) - np.repeat(new, np.diff(np.append(new, len(q_at))))
-            top = rank < k
-            found.append(pd.DataFrame({"query_id": q_ids[q_at[top]], "vec_id": v_ids[v_at[top]], "score": score[top]}))
-        return pd.concat(found) if found else empty
-
-    pairs = visiting.groupBy("list", "part", "q_part").cogroup(filed.groupBy("list", "part", "q_part")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    # Each group sends k rows for a query at most, and the next step keeps k again.
-    top = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
+            for a in range(0, len(pdf), 512):
+                some = pdf.iloc[a : a + 512]
+                visited = np.argpartition(-near(some), visits - 1, 1)[:, :visits]
+                visited = np.sort(visited, 1)  # and so are their cells
+                at = np.repeat(np.arange(len(some)), visits)
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(cell[visited.ravel()]) != 0) | (np.diff(at) != 0)]))
+                yield pd.DataFrame({"id": some.id.to_numpy()[at[first]], "v": some.v.to_numpy()[at[first]], "cell": cell[visited.ravel()[first]], "lists": np.split(visited.ravel(), first[1:])})
 
+    q_parts = max(1, round(asked.count() / group))
+    filed = filed.join(cells, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
+    filed = filed.select("id", "v", "list", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"))
+    visiting = asked.select("id", "v").mapInPandas(to_visits, "id long, v binary, cell int, lists array<int>").join(of_cells, "cell")
+    visiting = visiting.select("id", "v", "lists", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int").alias("q_part"))
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, with the greatest component of each row divided out first."""
-    a = a / np.abs(a).max(1, keepdims=True)
-    b = b / np.abs(b).max(1, keepdims=True)
-    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    def scan(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return _searched(matrix(q.v, single), q.id.to_numpy(), [np.asarray(x) for x in q.lists], matrix(v.v, single), v.id.to_numpy(), v.list.to_numpy(), sent.value[0], k)
+
+    keys = ["cell", "part", "q_part"]
+    return visiting.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInPandas(scan, PAIRS)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,11 +76,38 @@ def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (100, [1e300, 1e300]), (None, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, score string")
-    out = sorted(map(tuple, neighbours.best(df.where("vec_id % 50 = 0"), df).collect()))
-    assert [r[:3] for r in out if r[0] == 0] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (0, 4, 50)]
-    assert [r[:3] for r in out if r[0] == 100] == [(100, 1, 1), (100, 2, 2), (100, 3, 0), (100, 4, 50)]
+    out = sorted(map(tuple, neighbours.best(df.where("vec_id % 50 = 0"), df).collect()), key=lambda r: r[:2])
+    assert [r[:3] for r in out if r[0] == 0] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (0, 4, None), (0, 5, 50)]
+    assert [r[:3] for r in out if r[0] == 100] == [(100, 1, 1), (100, 2, 2), (100, 3, None), (100, 4, 0), (100, 5, 50)]
     assert all(abs(r[3] - 2**-0.5) < 1e-12 for r in out if r[0] == 0 and r[2] in (1, 2))
     assert neighbours.best(df.where(F.lit(False)), df).count() == 0
     assert neighbours.best(df, df.where(F.lit(False))).count() == 0
-    twice = spark.createDataFrame([(1, [1.0, 0.0])] * 3 + [(2, [1.0, 0.5])], "vec_id long, embedding array<double>")
-    assert [tuple(r)[:3] for r in neighbours.best(twice.where("vec_id = 1"), twice).collect()] == [(1, 1, 2)]
+    twice = spark.createDataFrame([(1, [1.0, 0.0])] * 3 + [(2, [1.0, 0.5])] * 2 + [(2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[:3] for r in neighbours.best(twice.where("vec_id = 1"), twice).collect()] == [(1, 1, 2), (1, 2, 2)]
+
+
+def test_every_length_is_searched_by_itself(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 2 else 6)]) for i in range(400)] + [(1000, [1.0] * 5), (1050, [1.0] * 7), (1051, [2.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for group in (neighbours.GROUP, 200):  # without lists, and with lists for the lengths of 200 rows
+        monkeypatch.setattr(neighbours, "GROUP", group)
+        out = neighbours.best(df.where("vec_id % 25 = 0"), df, probed=1.0).collect()
+        for dims in (4, 6):
+            some = [r for r in rows if len(r[1]) == dims]
+            want = brute(some, [i for i, _ in some if i % 25 == 0], 5)
+            got = {q: [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] for q in want}
+            assert got == want
+        assert [tuple(r)[:3] for r in out if r.query_id > 400] == [(1050, 1, 1051)]
+
+
+def test_a_vector_that_a_third_of_all_rows_hold(spark, monkeypatch):
+    """Many more copies than a group of work holds: the smallest ids are found, and few copies are filed."""
+    monkeypatch.setattr(neighbours, "GROUP", 400)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=4)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    out = neighbours.best(df.where("vec_id % 50 = 0"), df).collect()
+    for q in range(0, 3000, 150):
+        got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])]
+        assert got == [i for i in (0, 3, 6, 9, 12, 15) if i != q][:5]
