@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import IUPAC, complement, let
+from .sequence import IUPAC, complement
 
 # The public genetic codes. The standard code in the order T, C, A, G of each base; every other code by
 # its differences from it, its start codons, and its stop codons where they are not those translated to '*'.
@@ -86,9 +89,15 @@ class CodonTable:
 
     def __str__(self) -> str:
         rows = [f"{self.name} (transl_table={self.id})", "Initiation Codons: " + ", ".join(sorted(self.starts)), "Stop Codons: " + ", ".join(sorted(self.stops))]
-        for amino in sorted(set(self.amino.values())):
-            rows.append(f"{amino}: " + ", ".join(sorted(c for c, a in self.amino.items() if a == amino)))
-        return "\n".join(rows)
+        return "\n".join([*rows, *self.lines()])
+
+    def lines(self, ambiguous: bool = False) -> list[str]:
+        """A line for each amino acid with its codons; ambiguous: also the codons of degenerate letters that stand for it."""
+        of = dict(self.amino)
+        if ambiguous:
+            cells = self.cells()
+            of = {"".join(c): cells[i] for i, c in enumerate(product(LETTERS, repeat=3)) if cells[i] not in "X-"}
+        return [f"{amino}: " + ", ".join(sorted(c for c, a in of.items() if a == amino)) for amino in sorted(set(of.values()))]
 
 
 def _code(letter: str) -> int | None:
@@ -127,29 +136,53 @@ def translate(seq: Column, table: int | CodonTable = 1, frame: int = 1, trim: bo
         raise ValueError(f"no frame {frame}")
     t = table if isinstance(table, CodonTable) else codon_table(table)
     strand = seq if frame > 0 else F.reverse(complement(seq, "RNAredundant" if rna else "DNAredundant"))
-    # One character for every letter: its code in hexadecimal, or g.
-    coded = F.translate(F.upper(strand), "ACGTU-* MRSVWYHKDBN", "01233444" + "56789abcdef")
-    coded = F.regexp_replace(coded, "[^0-9a-f]", "g")
-    n, at = F.length(seq), abs(frame)
-    places = F.when(n - 2 >= at, F.sequence(F.lit(at), n - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    cells = F.lit(t.cells())
-    unknown = F.lit("X") if allow_unknown else F.raise_error(F.concat(F.lit("unknown codon in "), seq)).cast("string")
-    codons = let(coded, lambda x: F.transform(places, lambda i: F.substr(x, i, F.lit(3))))
-    aminos = F.transform(codons, lambda c: F.when(F.contains(c, F.lit("g")), unknown).otherwise(F.substr(cells, F.conv(c, 16, 10).cast("int") + 1, F.lit(1))))
-    if mark_start:
-        start = F.array(*[F.lit("".join(f"{LETTERS.index(b):x}" for b in c)) for c in sorted(t.starts)])
-        pairs = F.arrays_zip(codons.alias("c"), aminos.alias("a"))
-        first = F.struct(F.lit("").alias("out"), F.lit(True).alias("open"))
-
-        def step(acc: Column, p: Column) -> Column:
-            amino = F.when(acc["open"] & F.array_contains(start, p["c"]), "M").otherwise(p["a"])
-            return F.struct(F.concat(acc["out"], amino).alias("out"), (~acc["open"] & (p["a"] == "*")).alias("open"))
-
-        out = F.aggregate(pairs, first, step, lambda acc: acc["out"])
-    else:
-        out = F.array_join(aminos, "")
+    cells, skipped = t.cells(), abs(frame) - 1
+    starts = [("".join(c)) in t.starts for c in product(LETTERS, repeat=3)] if mark_start else None
+
+    @F.pandas_udf("string")
+    def proteins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(translated(list(batch), cells, starts, skipped, allow_unknown))
+
+    out = proteins(strand)
     if trim:
         out = F.regexp_extract(out, "^([^X*]*)", 1)
     if clean:
         out = F.translate(out, "*", "X")
-    return F.when(n < 3, F.raise_error(F.lit("sequence too short to translate")).cast("string")).otherwise(out)
+    return F.when(F.length(seq) < 3, F.raise_error(F.lit("sequence too short to translate")).cast("string")).otherwise(out)
+
+
+_DIGIT = np.full(256, 16, np.int16)
+for _i, _letter in enumerate(LETTERS):
+    _DIGIT[[ord(_letter), ord(_letter.lower())]] = _i
+_DIGIT[[ord("U"), ord("u")]] = LETTERS.index("T")
+_DIGIT[[ord(" "), ord("*")]] = LETTERS.index("-")
+
+
+def translated(seqs: list[str | None], cells: str, starts: list[bool] | None = None, skipped: int = 0, allow_unknown: bool = True) -> list[str | None]:
+    """Proteins of many sequences at once: their codons behind so many letters are looked up in one pass over all bytes.
+
+    cells, starts: amino acid of each codon of LETTERS by its digits, and whether it may start a frame.
+    """
+    size = np.array([len(x or "") for x in seqs], np.int64)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    digit = _DIGIT[np.frombuffer("".join(x or "" for x in seqs).encode("latin-1", "replace"), np.uint8)]
+    count = np.maximum(0, (size - skipped) // 3)
+    first = np.concatenate([[0], np.cumsum(count)])
+    of = np.repeat(np.arange(len(seqs)), count)
+    place = begins[of] + skipped + 3 * (np.arange(first[-1]) - first[of])
+    codon = np.stack([digit[place + k] for k in range(3)])
+    known = (codon < 16).all(0)
+    if not allow_unknown and not known.all():
+        raise ValueError(f"unknown codon in {seqs[of[np.argmin(known)]]}")
+    cell = np.where(known, codon[0].astype(np.int32) * 256 + codon[1] * 16 + codon[2], len(cells))
+    aminos = np.frombuffer((cells + "X").encode("latin-1"), np.uint8)[cell]
+    if starts is not None and len(aminos):
+        # A frame is open at the front, and behind a stop if it was not open there: along a run of stops it changes each time.
+        at = np.arange(len(aminos))
+        last = np.concatenate([[-1], np.maximum.accumulate(np.where(aminos == ord("*"), -1, at))[:-1]])
+        base = np.maximum(last, first[of] - 1)
+        is_open = (base == first[of] - 1) ^ ((at - 1 - base) % 2 == 1)
+        aminos = np.where(is_open & np.append(np.array(starts, bool), False)[cell], ord("M"), aminos).astype(np.uint8)
+    text = aminos.tobytes().decode("latin-1")
+    return [None if x is None else text[a:b] for x, a, b in zip(seqs, first, first[1:], strict=False)]

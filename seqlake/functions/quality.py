@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequence import let
+
 # Name, lowest and highest byte, offset, whether values are on the Solexa scale; in the order of guessing.
 ENCODINGS: dict[str, tuple[int, int, int, bool]] = {
     "Sanger": (33, 126, 33, False),
@@ -14,6 +18,8 @@ ENCODINGS: dict[str, tuple[int, int, int, bool]] = {
     "Illumina-1.8+": (33, 126, 33, False),
 }
 UNKNOWN = "Unknown"
+#: Bytes that a quality may hold.
+PRINTABLE = range(33, 127)
 
 
 def phred_to_solexa(q: Column) -> Column:
@@ -38,43 +44,76 @@ def quality_values(qual: Column, encoding: str = "Sanger") -> Column:
     return F.transform(_letters(qual), lambda c: F.ascii(c) - ENCODINGS[encoding][2])
 
 
+def letter_counts(qual: Column) -> Column:
+    """array of how often each printable letter ('!' first) stands in the text."""
+    return F.array(*[F.length(qual) - F.length(F.replace(qual, F.lit(chr(b)), F.lit(""))) for b in PRINTABLE])
+
+
+def _printable(qual: Column) -> Column:
+    return ~F.rlike(qual, F.lit("[^!-~]"))
+
+
+def total_quality(qual: Column, encoding: str = "Sanger") -> Column:
+    """Sum of the values, from the letters' counts."""
+    offset = ENCODINGS[encoding][2]
+    return let(letter_counts(qual), lambda n: F.aggregate(F.transform(n, lambda x, i: (x * (i + PRINTABLE[0] - offset)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x))
+
+
 def convert_quality(qual: Column, source: str, target: str, force: bool = False) -> Column:
-    """The quality in another encoding. Values between the scales are cut to whole numbers.
+    """The quality in another encoding: a letter for a letter. Values between the scales are cut to whole numbers.
 
     force: values over 40 become 40 from Illumina-1.8+ to Sanger. The value 2 of Illumina-1.5+ becomes 0. Nothing
-    happens if both are the same or one is unknown.
+    happens if both are the same or one is unknown. Letters that are no value of the source's scale are an error.
     """
     if source == target or UNKNOWN in (source, target):
         return qual
-    offset, from_solexa, to_solexa = ENCODINGS[target][2], ENCODINGS[source][3], ENCODINGS[target][3]
-
-    def one(q: Column) -> Column:
+    (_, _, offset, from_solexa), (_, _, new_offset, to_solexa) = ENCODINGS[source], ENCODINGS[target]
+    letters, bad = {}, ""
+    for b in PRINTABLE:
+        q = b - offset
         if force and source == "Illumina-1.8+" and target == "Sanger":
-            q = F.least(q, F.lit(40))
-        if source == "Illumina-1.5+":
-            q = F.when(q == 2, 0).otherwise(q)
-        if from_solexa != to_solexa:
-            q = (solexa_to_phred(q) if from_solexa else phred_to_solexa(q)).cast("int")
-        return F.char(q + offset)
-
-    return F.array_join(F.transform(quality_values(qual, source), one), "")
+            q = min(q, 40)
+        if source == "Illumina-1.5+" and q == 2:
+            q = 0
+        if from_solexa and not to_solexa:
+            q = None if q < -5 else int(10 * math.log10(10 ** (q / 10) + 1))
+        elif to_solexa and not from_solexa:
+            q = None if q < 0 else -5 if q == 0 else int(max(-5, 10 * math.log10(10 ** (q / 10) - 1)))
+        if q is None or q + new_offset < 0:
+            bad += chr(b)
+        else:
+            letters[chr(b)] = chr(q + new_offset)
+    wrong = F.rlike(qual, F.lit("[^!-~]")) | F.rlike(qual, F.lit("[" + "".join(f"\\x{ord(c):02x}" for c in bad) + "]")) if bad else F.rlike(qual, F.lit("[^!-~]"))
+    error = F.raise_error(F.lit(f"a letter is no quality of {source}")).cast("string")
+    changed = {a: b for a, b in letters.items() if a != b}
+    out = F.translate(qual, "".join(changed), "".join(changed.values())) if changed else qual
+    return F.when(wrong, error).otherwise(out)
 
 
 def guess_encodings(qual: Column, most_common: int = 2) -> Column:
     """array of the encodings whose range holds all bytes. Illumina-1.5+ is out if @ or A occur, and the only one if B
-    is among the most common bytes (at equal numbers the smaller byte counts first). Empty: all but none."""
-    codes = F.transform(_letters(qual), F.ascii)
-    low, high = F.coalesce(F.array_min(codes), F.lit(126)), F.coalesce(F.array_max(codes), F.lit(0))
-    fits = {name: (low >= a) & (high <= b) for name, (a, b, _, _) in ENCODINGS.items()}
-    fits["Illumina-1.5+"] = fits["Illumina-1.5+"] & ~F.contains(qual, F.lit("@")) & ~F.contains(qual, F.lit("A"))
-    times = lambda c: F.length(qual) - F.length(F.replace(qual, c, F.lit("")))
-    ranked = F.slice(F.array_sort(F.transform(F.array_distinct(_letters(qual)), lambda c: F.struct((-times(c)).alias("n"), c.alias("c")))), 1, most_common)
-    enriched = fits["Illumina-1.5+"] & F.exists(ranked, lambda x: x["c"] == "B")
-    return F.when(enriched, F.array(F.lit("Illumina-1.5+"))).otherwise(F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in fits.items()])))
+    is among the most common bytes (at equal numbers the smaller byte counts first). Empty: all but none; a byte that is
+    no printable letter: none."""
+
+    def guessed(n: Column) -> Column:
+        used = F.filter(F.transform(n, lambda x, i: F.struct((-x).alias("n"), (i + PRINTABLE[0]).alias("b"))), lambda x: x["n"] < 0)
+
+        def of_used(u: Column) -> Column:
+            codes = F.transform(u, lambda x: x["b"])
+            low, high = F.coalesce(F.array_min(codes), F.lit(126)), F.coalesce(F.array_max(codes), F.lit(0))
+            fits = {name: (low >= a) & (high <= b) for name, (a, b, _, _) in ENCODINGS.items()}
+            fits["Illumina-1.5+"] = fits["Illumina-1.5+"] & ~F.array_contains(codes, ord("@")) & ~F.array_contains(codes, ord("A"))
+            enriched = fits["Illumina-1.5+"] & F.exists(F.slice(F.array_sort(u), 1, most_common), lambda x: x["b"] == ord("B"))
+            return F.when(enriched, F.array(F.lit("Illumina-1.5+"))).otherwise(F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in fits.items()])))
+
+        return let(used, of_used)
+
+    none = F.array().cast("array<string>")
+    return F.when(_printable(qual), let(letter_counts(qual), guessed)).when(qual.isNotNull(), none)
 
 
 def mean_quality(qual: Column, encoding: str = "Sanger") -> Column:
-    """-10 log10 of the mean error probability; 0 without a quality."""
-    values = quality_values(qual, encoding)
-    total = F.aggregate(values, F.lit(0.0), lambda s, q: s + F.pow(F.lit(10.0), -q / 10))
-    return F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, 0.0).otherwise(-10 * F.log10(total / F.size(values)))
+    """-10 log10 of the mean error probability, from the letters' counts; 0 without a quality."""
+    offset = ENCODINGS[encoding][2]
+    total = let(letter_counts(qual), lambda n: F.aggregate(F.transform(n, lambda x, i: x * F.pow(F.lit(10.0), -(i + PRINTABLE[0] - offset) / 10)), F.lit(0.0), lambda s, x: s + x))
+    return F.when(F.coalesce(F.length(qual), F.lit(0)) <= 0, 0.0).otherwise(-10 * F.log10(total / F.length(qual)))

@@ -126,6 +126,14 @@ def complement(seq: Column, alphabet: str = "DNA") -> Column:
     return F.translate(seq, letters, pairs)
 
 
+def pair_letter(letter: Column, alphabet: str = "DNA") -> Column:
+    """The pair of one letter; a letter that is not of the alphabet is an error."""
+    if alphabet == UNLIMITED:
+        return letter
+    known = (F.length(letter) == 1) & F.contains(F.lit(all_letters(alphabet)), letter)
+    return F.when(known, complement(letter, alphabet)).when(letter.isNotNull(), F.raise_error(F.concat(F.lit("no letter of the alphabet: "), letter)).cast("string"))
+
+
 def revcom(seq: Column, alphabet: str = "DNA") -> Column:
     return F.reverse(complement(seq, alphabet))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codons import LETTERS, codon_table
+from ..functions.codons import codon_table, translated
 from ..functions.sequence import IUPAC
 
 # ntHash seeds of A, C, G, T (published); every other letter has the seed 0.
@@ -32,6 +32,8 @@ for _b, _p in ("AT", "CG", "GC", "TA", "UA"):
     for _c in (_b, _b.lower()):
         _SEED[ord(_c)], _PAIR_SEED[ord(_c)] = SEEDS[_b.replace("U", "T")], SEEDS[_p]
 EMPTY = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+#: K-mers whose bits are counted at a time.
+BLOCK = 1 << 14
 Codes = tuple[np.ndarray, np.ndarray]
 
 
@@ -100,12 +102,17 @@ def simhash(seq: str, k: int, m: int, scale: int = 1, canonical: bool = True, ci
     if scale > 1:
         kept &= h <= np.uint64((1 << 64) // scale - (0 if (1 << 64) % scale else 1))
     width, n = k - m + 1, len(s) - k + 1
-    total = np.concatenate([[0], np.cumsum(kept)])
-    count = total[width:] - total[:-width]
-    out = np.zeros(n, np.uint64)
-    for bit in range(64):
-        ones = np.concatenate([[0], np.cumsum(kept & ((h >> np.uint64(bit)) & np.uint64(1)).astype(bool))])
-        out |= ((ones[width:] - ones[:-width] >= (count + 1) // 2) & (count > 0)).astype(np.uint64) << np.uint64(bit)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):  # a row of 64 bits for each m-mer: some at a time
+        b = min(n, a + BLOCK)
+        part = np.where(kept, h, np.uint64(0))[a : b + width - 1]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=ones[1:])
+        total = np.concatenate([[0], np.cumsum(kept[a : b + width - 1])])
+        count = (total[width:] - total[:-width])[:, None]
+        most = (ones[width:] - ones[:-width] >= (count + 1) // 2) & (count > 0)
+        out[a:b] = np.packbits(most, axis=1).view(">u8").ravel()
     return np.arange(n), out
 
 
@@ -157,28 +164,60 @@ def protein(seq: str, table: int = 1, frame: int = 1) -> str:
     strand = seq.upper().replace("U", "T")
     if frame < 0:
         strand = strand.translate(str.maketrans("ACGTRYSWKMBDHV", "TGCAYRSWMKVHDB"))[::-1]
-    cells = _cells(table)
-    b = np.full(256, 16, np.int64)
-    for i, c in enumerate(LETTERS):
-        b[ord(c)] = i
-    v = b[np.frombuffer(strand.encode("latin-1", "replace"), np.uint8)][abs(frame) - 1 :]
-    v = v[: len(v) // 3 * 3].reshape(-1, 3)
-    known = (v < 16).all(1)
-    place = np.where(known, v[:, 0] * 256 + v[:, 1] * 16 + v[:, 2], 0)
-    return "".join(cells[p] if ok else "X" for p, ok in zip(place, known, strict=True))
+    return translated([strand], _cells(table), skipped=abs(frame) - 1)[0]
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def xxhash64_windows(data: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """xxHash64 of every window of k bytes, all windows at once: step by step as the published algorithm reads one."""
+    n = len(data) - k + 1
+    seed_ = np.uint64(seed)
+
+    def word(at: int, size: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        for j in range(size):
+            out |= data[at + j : at + j + n].astype(np.uint64) << np.uint64(8 * j)
+        return out
+
+    lane = lambda acc, x: _rotated(acc + x * _P2, 31) * _P1
+    at = 0
+    with np.errstate(over="ignore"):
+        if k >= 32:
+            v = [np.full(n, x, np.uint64) for x in (seed_ + _P1 + _P2, seed_ + _P2, seed_, seed_ - _P1)]
+            while at + 32 <= k:
+                v = [lane(x, word(at + 8 * i, 8)) for i, x in enumerate(v)]
+                at += 32
+            h = _rotated(v[0], 1) + _rotated(v[1], 7) + _rotated(v[2], 12) + _rotated(v[3], 18)
+            for x in v:
+                h = (h ^ lane(np.zeros(n, np.uint64), x)) * _P1 + _P4
+        else:
+            h = np.full(n, seed_ + _P5, np.uint64)
+        h = h + np.uint64(k)
+        while at + 8 <= k:
+            h = _rotated(h ^ lane(np.zeros(n, np.uint64), word(at, 8)), 27) * _P1 + _P4
+            at += 8
+        if at + 4 <= k:
+            h = _rotated(h ^ (word(at, 4) * _P1), 23) * _P2 + _P3
+            at += 4
+        while at < k:
+            h = _rotated(h ^ (word(at, 1) * _P5), 11) * _P1
+            at += 1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
 
 
 def protein_kmers(seq: str, k: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
     """xxHash64 (seed 1) of every k-mer of the translation (or of a protein sequence itself)."""
-    import xxhash
-
     if k < 1:
         raise ValueError("k must be 1 or more")
     if len(seq) < 3 * k:
         raise ValueError("sequence shorter than 3 k")
     p = seq if is_protein else protein(seq, table, frame)
     n = max(0, len(p) - k + 1)
-    return np.arange(n), np.array([xxhash.xxh64_intdigest(p[i : i + k], seed=1) for i in range(n)], np.uint64)
+    return np.arange(n), xxhash64_windows(np.frombuffer(p.encode("latin-1", "replace"), np.uint8), k) if n else EMPTY[1]
 
 
 def protein_minimizers(seq: str, k: int, w: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
@@ -236,13 +275,16 @@ def kmer_codes_native(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """kmers (canonical) of sequences of A, C, G, T and U as expressions only: df's columns, idx, code. k up to 31."""
     if not 1 <= k <= 31:
         raise ValueError("k must be from 1 to 31")
-    n = F.length(seq)
-    code = lambda s: F.conv(s, 4, 10).cast("long")
-    digits = F.translate(F.upper(F.col(seq)), "ACGTU", "01233")
-    other = F.translate(F.reverse(F.upper(F.col(seq))), "ACGTU", "32100")
-    rows = df.where(n >= k).withColumns({"__f": digits, "__r": other}).withColumn("idx", F.explode(F.sequence(F.lit(0), n - k)))
-    f, r = F.substr("__f", F.col("idx") + 1, F.lit(k)), F.substr("__r", F.length(seq) - F.col("idx") - k + 1, F.lit(k))
-    return rows.withColumn("code", F.least(code(f), code(r))).drop("__f", "__r")
+    # Pieces of 31 letters become one number for each strand; the codes of their k-mers are shifted out of it.
+    step, n = 32 - k, F.length(seq)
+    rows = df.where(n >= k).withColumn("__at", F.explode(F.sequence(F.lit(0), n - k, F.lit(step))))
+    rows = rows.withColumn("__p", F.upper(F.substr(seq, F.col("__at") + 1, F.lit(31))))
+    number = lambda digits: F.conv(digits, 4, 10).cast("long")
+    rows = rows.withColumns({"__f": number(F.translate("__p", "ACGTU", "01233")), "__r": number(F.translate(F.reverse("__p"), "ACGTU", "32100")), "__n": F.length("__p") - k})
+    rows = rows.drop("__p").withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    cut = lambda x, places: F.call_function("shiftright", x, 2 * places).bitwiseAND(F.lit((1 << 2 * k) - 1))
+    code = F.least(cut(F.col("__f"), F.col("__n") - F.col("__j")), cut(F.col("__r"), F.col("__j")))
+    return rows.withColumn("idx", F.col("__at") + F.col("__j")).withColumn("code", code).drop("__at", "__f", "__r", "__n", "__j")
 
 
 def nthash_native(df: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds of doubling: paths of 2**ROUNDS nodes at most. A path that is still unfinished then is a cycle.
+#: Rounds of doubling: paths of 2**ROUNDS nodes at most.
 ROUNDS = 16
 
 
@@ -54,6 +54,13 @@ def load_deleted(lines: DataFrame, taxid: int = 1) -> DataFrame:
     return _columns(lines, {"taxid": taxid}, ("taxid",))
 
 
+def checked_ranks(nodes: DataFrame, most: int = 255) -> DataFrame:
+    """The nodes, if they have so many different ranks at most; else an error."""
+    if nodes.select("rank").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ranks")
+    return nodes
+
+
 @dataclass
 class Taxonomy:
     nodes: DataFrame
@@ -71,17 +78,25 @@ class Taxonomy:
         """taxid, path: node ids from below the root down to the node; the root's own path is itself."""
         nodes = self.nodes.select("taxid", "parent").dropDuplicates(["taxid"])
         root = nodes.where("taxid = parent").select(F.col("taxid").alias("root"))
-        now = nodes.join(F.broadcast(root), nodes["parent"] == root["root"], "left").select("taxid", "parent", F.array("taxid").alias("path"), F.col("root").isNotNull().alias("done"))
+        now = nodes.join(root, nodes["parent"] == root["root"], "left").select("taxid", "parent", F.array("taxid").alias("path"), F.col("root").isNotNull().alias("done"))
+        kept, held = now.sparkSession.sparkContext.getCheckpointDir(), None
         for _ in range(ROUNDS):
-            if now.where("not done").isEmpty():
+            # A path that comes back to one of its nodes is a cycle.
+            left = now.where("not done").agg(F.count("*").alias("n"), F.max(F.array_contains("path", F.col("parent")) & (F.col("taxid") != F.col("parent"))).alias("cycle")).first()
+            if held is not None and not kept:
+                held.unpersist()
+            if left.cycle:
+                raise ValueError("the tree has a cycle")
+            if not left.n:
                 break
             above = now.select(F.col("taxid").alias("above"), F.col("parent").alias("next"), F.col("path").alias("head"), F.col("done").alias("ends"))
             open_ = now.where("not done").join(above, F.col("parent") == F.col("above"), "left")
             # A parent that is no node ends the path.
             grown = open_.select("taxid", F.coalesce("next", "parent").alias("parent"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"), F.coalesce("ends", F.lit(True)).alias("done"))
-            now = now.where("done").unionByName(grown).checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.where("done").unionByName(grown).persist()
+            held, now = now, now.where("done").unionByName(grown)
+            now = now.checkpoint() if kept else now.persist()
         else:
-            raise ValueError("the tree has a cycle or is too deep")
+            raise ValueError("the tree is too deep")
         return now.select("taxid", "path")
 
     def resolved(self, df: DataFrame, taxid: str = "taxid", out: str = "resolved", known: str = "known") -> DataFrame:

@@ -88,15 +88,23 @@ def _range_sql(below: str) -> str:
 SELECT doc_id, a, b, CASE WHEN n > 0 AND NOT (a0 < 0 AND b0 < 0 AND a0 > b0) AND a0 <= n AND s - 1 <= e{below} THEN substr(seq, s, (e - s + 1)::INT) ELSE '' END AS sub FROM y"""
 
 
+#: What is kept of a document's letters by the remainder of its id, so that every alphabet is met.
+KEPT = ["ACGTNacgtn .-", "ACGUNacgun .-", "ACGTRYSWKMBDHVNacgtryswkmbdhvn .-", "ACGURYSWKMBDHVNacguryswkmbdhvn .-", "A-Za-z *_-"]
+
+
 def gaps_and_alphabets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring("text", 1, 40)
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "[^ACGTNacgtn .-]", "").alias("seq"))
+    t, kind = F.col("text"), F.col("doc_id") % (len(KEPT) + 1)
+    seq = t
+    for i, letters in enumerate(KEPT):
+        seq = F.when(kind == i, F.regexp_replace("text", f"[^{letters}]", "")).otherwise(seq)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", seq.alias("seq"))
     return rows.select("doc_id", sq.remove_gaps(F.col("seq")).alias("clean"), sq.bases(F.col("seq")).alias("bases"), sq.guess_alphabet(F.col("seq")).alias("guess"), sq.is_valid(t, "Protein").alias("protein"), sq.first_invalid(t, "Protein").alias("bad"))
 
 
-GAPS_AND_ALPHABETS = """WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t, regexp_replace(text, '[^ACGTNacgtn .-]', '', 'g') AS seq FROM documents)
+_GUESSES = " ".join(f"WHEN regexp_full_match(h, '[{c}]*') THEN '{name}'" for c, name in zip([*KEPT[:4], "A-Za-z *_.-"], ("DNA", "RNA", "DNAredundant", "RNAredundant", "Protein"), strict=True))
+GAPS_AND_ALPHABETS = f"""WITH d AS (SELECT doc_id, text AS t, CASE doc_id % 6 {" ".join(f"WHEN {i} THEN regexp_replace(text, '[^{c}]', '', 'g')" for i, c in enumerate(KEPT))} ELSE text END AS seq FROM documents), e AS (SELECT *, substr(seq, 1, 10000) AS h FROM d)
 SELECT doc_id, regexp_replace(seq, '[ .-]', '', 'g') AS clean, length(regexp_replace(seq, '[ .-]', '', 'g'))::INT AS bases,
- CASE WHEN seq = '' THEN 'Unlimit' ELSE 'DNA' END AS guess, regexp_full_match(t, '[A-Za-z *_.-]*') AS protein, nullif(regexp_extract(t, '[^A-Za-z *_.-]'), '') AS bad FROM d"""
+ CASE WHEN h = '' THEN 'Unlimit' {_GUESSES} ELSE 'Unlimit' END AS guess, regexp_full_match(t, '[A-Za-z *_.-]*') AS protein, nullif(regexp_extract(t, '[^A-Za-z *_.-]'), '') AS bad FROM e"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +116,15 @@ WINDOWS = f"""SELECT doc_id, i::INT AS "start", substr(seq, i + 1, 30) AS part F
 
 def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.regexp_replace(F.upper("text"), "[^ACGTRYN]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", sq.degenerate_regexp(s).alias("pattern"), sq.ambiguous_base(F.substring(F.regexp_replace("text", "[^acgt]", ""), 1, 3)).alias("amb"))
+    few = F.regexp_replace("text", "[^acgt]", "")
+    for i, letters in enumerate(("ac", "agt", "ct", "g")):
+        few = F.when(F.col("doc_id") % 5 == i, F.regexp_replace("text", f"[^{letters}]", "")).otherwise(few)
+    return table(spark, sf_dir, "documents").select("doc_id", sq.degenerate_regexp(s).alias("pattern"), sq.ambiguous_base(few).alias("amb"))
 
 
 DEGENERATE = """SELECT doc_id, replace(replace(replace(replace(regexp_replace(upper(text), '[^ACGTRYN]', '', 'g'), 'T', '[TU]'), 'R', '[AG]'), 'Y', '[C<U]'), 'N', '[ACG<U]')
  .replace('<', 'T') AS pattern, substr('-ACMGRSVTWYHKDBN', 1 + (CASE WHEN contains(b, 'a') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'c') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'g') THEN 4 ELSE 0 END + CASE WHEN contains(b, 't') THEN 8 ELSE 0 END), 1) AS amb
- FROM (SELECT doc_id, text, substr(regexp_replace(text, '[^acgt]', '', 'g'), 1, 3) AS b FROM documents)"""
+ FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN regexp_replace(text, '[^ac]', '', 'g') WHEN 1 THEN regexp_replace(text, '[^agt]', '', 'g') WHEN 2 THEN regexp_replace(text, '[^ct]', '', 'g') WHEN 3 THEN regexp_replace(text, '[^g]', '', 'g') ELSE text END AS b FROM documents)"""
 
 
 # codons
@@ -125,19 +136,38 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", codons.translate(s).alias("f1"), codons.translate(s, 2, 3, trim=True).alias("f3"), codons.translate(s, 11, -2, clean=True).alias("r2"), codons.translate(s, 11, 1, mark_start=True).alias("marked"))
 
 
+# The public genetic codes once more, by codon: the tables in which it differs from the standard code, in which
+# it is a start, and the tables whose stops are not those translated to '*'.
+_STANDARD = """SELECT a || b || c AS codon, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * (strpos('TCAG', a) - 1) + 4 * (strpos('TCAG', b) - 1) + strpos('TCAG', c), 1) AS aa
+ FROM (SELECT unnest(string_split('TCAG', '')) AS a), (SELECT unnest(string_split('TCAG', '')) AS b), (SELECT unnest(string_split('TCAG', '')) AS c)"""
+CODON_TABLES = f"""SELECT id::INT AS table_id, codon, aa, start AS is_start, CASE id WHEN 27 THEN codon = 'TGA' WHEN 28 THEN codon IN ('TAA', 'TAG', 'TGA') WHEN 31 THEN codon IN ('TAA', 'TAG') ELSE aa = '*' END AS is_stop FROM (
+ SELECT id, codon, CASE codon
+  WHEN 'TGA' THEN CASE WHEN id IN (2, 3, 4, 5, 9, 13, 14, 21, 24, 27, 28, 31) THEN 'W' WHEN id = 10 THEN 'C' WHEN id = 25 THEN 'G' ELSE aa END
+  WHEN 'TAA' THEN CASE WHEN id IN (6, 27, 28) THEN 'Q' WHEN id IN (14, 29) THEN 'Y' WHEN id IN (30, 31) THEN 'E' ELSE aa END
+  WHEN 'TAG' THEN CASE WHEN id IN (6, 27, 28) THEN 'Q' WHEN id = 29 THEN 'Y' WHEN id IN (30, 31) THEN 'E' WHEN id IN (16, 22) THEN 'L' ELSE aa END
+  WHEN 'ATA' THEN CASE WHEN id IN (2, 3, 5, 13, 21) THEN 'M' ELSE aa END WHEN 'AAA' THEN CASE WHEN id IN (9, 14, 21) THEN 'N' ELSE aa END
+  WHEN 'AGA' THEN CASE WHEN id = 2 THEN '*' WHEN id IN (5, 9, 14, 21, 24) THEN 'S' WHEN id = 13 THEN 'G' ELSE aa END
+  WHEN 'AGG' THEN CASE WHEN id = 2 THEN '*' WHEN id IN (5, 9, 14, 21) THEN 'S' WHEN id = 13 THEN 'G' WHEN id = 24 THEN 'K' ELSE aa END
+  WHEN 'CTT' THEN CASE WHEN id = 3 THEN 'T' ELSE aa END WHEN 'CTC' THEN CASE WHEN id = 3 THEN 'T' ELSE aa END WHEN 'CTA' THEN CASE WHEN id = 3 THEN 'T' ELSE aa END
+  WHEN 'CTG' THEN CASE WHEN id = 3 THEN 'T' WHEN id = 12 THEN 'S' WHEN id = 26 THEN 'A' ELSE aa END
+  WHEN 'TCA' THEN CASE WHEN id = 22 THEN '*' ELSE aa END WHEN 'TTA' THEN CASE WHEN id = 23 THEN '*' ELSE aa END ELSE aa END AS aa,
+  CASE codon WHEN 'ATG' THEN true WHEN 'TTG' THEN id IN (1, 4, 5, 11, 13, 24, 25) WHEN 'CTG' THEN id IN (1, 4, 11, 12, 24, 26) WHEN 'ATT' THEN id IN (2, 4, 5, 11, 23) WHEN 'ATC' THEN id IN (2, 4, 5, 11)
+   WHEN 'ATA' THEN id IN (2, 3, 4, 5, 11, 13) WHEN 'GTG' THEN id IN (2, 4, 5, 9, 11, 13, 21, 23, 24, 25) WHEN 'TTA' THEN id = 4 ELSE false END AS start
+ FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 9, 10, 11, 12, 13, 14, 16, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31]) AS id), ({_STANDARD}) WHERE length(codon) = 3)"""
+
+
 def _translated(name: str, seq: str, number: int, frame: int) -> str:
     return f"""{name} AS (SELECT doc_id, string_agg(aa, '' ORDER BY i) AS aa FROM (SELECT doc_id, i, substr(upper({seq}), i::INT, 3) AS codon FROM (SELECT doc_id, seq, unnest(range({frame}, length(seq) - 1, 3)) AS i FROM d)) JOIN (SELECT * FROM codes WHERE id = {number}) USING (codon) GROUP BY doc_id)"""
 
 
 def _translations_sql() -> str:
-    values = ", ".join(f"({i}, '{c}', '{a}', {'true' if s else 'false'})" for i, c, a, s, _ in codons.codon_rows() if i in (1, 2, 11))
     # A codon may start a frame that opens at the front or behind a stop that did not itself open one.
     marked = f"""steps AS (SELECT doc_id, i, aa, start FROM (SELECT doc_id, i, substr(upper(seq), i::INT, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 1, 3)) AS i FROM d)) JOIN (SELECT * FROM codes WHERE id = 11) USING (codon)),
  runs AS (SELECT *, lag(aa, 1, 'x') OVER w AS prev, row_number() OVER w AS k, sum(CASE WHEN aa = '*' THEN 0 ELSE 1 END) OVER w AS block FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
  placed AS (SELECT *, CASE WHEN aa = '*' THEN row_number() OVER (PARTITION BY doc_id, block, aa = '*' ORDER BY i) + CASE WHEN block = 0 THEN 1 ELSE 0 END ELSE 0 END AS stops FROM runs),
  opened AS (SELECT *, k = 1 OR lag(stops, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS open FROM placed),
  m AS (SELECT doc_id, string_agg(CASE WHEN open AND start THEN 'M' ELSE aa END, '' ORDER BY i) AS aa FROM opened GROUP BY doc_id)"""
-    return f"""WITH codes(id, codon, aa, start) AS (VALUES {values}), d AS (SELECT doc_id, seq FROM {SEQ} WHERE length(seq) >= 3), {_translated("a", "seq", 1, 1)}, {_translated("b", "seq", 2, 3)}, {_translated("c", REVCOM.format("seq"), 11, 2)}, {marked}
+    return f"""WITH codes(id, codon, aa, start) AS (SELECT table_id, codon, aa, is_start FROM ({CODON_TABLES}) WHERE table_id IN (1, 2, 11)), d AS (SELECT doc_id, seq FROM {SEQ} WHERE length(seq) >= 3), {_translated("a", "seq", 1, 1)}, {_translated("b", "seq", 2, 3)}, {_translated("c", REVCOM.format("seq"), 11, 2)}, {marked}
 SELECT d.doc_id, a.aa AS f1, coalesce(regexp_extract(b.aa, '^[^X*]*'), '') AS f3, coalesce(replace(c.aa, '*', 'X'), '') AS r2, m.aa AS marked FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
@@ -151,7 +181,7 @@ def codon_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("qual")
     return qualities(spark, sf_dir).select(
-        "doc_id", F.aggregate(quality.quality_values(q), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.round(quality.mean_quality(q), 6).alias("mean_quality"), quality.convert_quality(q, "Illumina-1.8+", "Sanger", force=True).alias("sanger"), F.array_join(quality.guess_encodings(q), ",").alias("encodings")
+        "doc_id", quality.total_quality(q).alias("total"), F.round(quality.mean_quality(q), 6).alias("mean_quality"), quality.convert_quality(q, "Illumina-1.8+", "Sanger", force=True).alias("sanger"), F.array_join(quality.guess_encodings(q), ",").alias("encodings")
     )
 
 
@@ -248,6 +278,16 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "simhash", k=21, m=5, scale=5).drop("seq")
 
 
+def _simhash_sql() -> str:
+    """Of the 17 5-mers of each 21-mer those among the lowest fifth are counted, bit by bit."""
+    bits = ", ".join(f"sum(CASE WHEN ok THEN (h >> {b}) & 1 ELSE 0 END) OVER w AS b{b}" for b in range(64))
+    code = " + ".join(f"CASE WHEN b{b} >= (n + 1) // 2 THEN {1 << b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64))
+    return f"""WITH {_hash_sql('x', 5)}, o AS (SELECT *, h <> 0 AND h <= {(1 << 64) // 5}::UBIGINT AS ok FROM x),
+ c AS (SELECT doc_id, i, count(*) OVER w AS whole, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS n, {bits} FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 16 FOLLOWING)),
+ d AS (SELECT doc_id, i, CASE WHEN n = 0 THEN 0::HUGEINT ELSE {code} END AS code FROM c WHERE whole = 17)
+SELECT doc_id, i::INT AS idx, {_SIGNED.format('code')} AS code FROM d"""
+
+
 def protein_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "protein_kmers", k=10).drop("seq")
 
@@ -360,19 +400,32 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 FASTA_ROUND_TRIP = f"SELECT 'doc' || doc_id AS id, '[' || lang || '] a > b' AS \"desc\", seq, CASE WHEN seq = '' THEN 'Unlimit' ELSE 'DNA' END AS alphabet FROM {SEQ}"
 
 
+_LETTERS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTAC"
+
+
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "fastq")
-    rows = qualities(spark, sf_dir).select(F.concat(F.lit("read"), F.col("doc_id")).alias("name"), F.translate("qual", "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACG").alias("seq"), "qual")
-    fastx.write_fastx(rows.where("qual <> ''"), path, compression="gzip")
+    rows = qualities(spark, sf_dir).select(F.concat(F.lit("read"), F.col("doc_id")).alias("name"), F.translate("qual", *_LETTERS).alias("seq"), "qual")
+    fastx.write_fastx(rows, path, always_fastq=True, compression="gzip")
     return fastx.read_fastx(spark, path).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
 
 
+_QUOTED = [x.replace("'", "''") for x in _LETTERS]
+FASTQ_ROUND_TRIP = f"SELECT 'read' || doc_id AS id, md5(translate(qual, '{_QUOTED[0]}', '{_QUOTED[1]}')) AS seq_md5, qual, true AS is_fastq FROM {QUAL}"
+#: Documents of a file of the indexed FASTA files.
+FILE = 500
+
+
 def fasta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, _ = _fasta(spark, sf_dir)
-    return fai.build_index(spark, path).select("name", "length", "bases_per_line", (F.col("bytes_per_line") - F.col("bases_per_line")).alias("line_end")).where("length > 0")
+    path = shared_path(spark, "fasta")
+    rows = sequences(spark, sf_dir).select(F.floor(F.col("doc_id") / FILE).alias("file"), "doc_id", fastx.formatted(F.concat(F.lit("doc"), F.col("doc_id")), F.col("seq"), F.lit(None).cast("string")).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(path)
+    index = fai.build_index(spark, path)
+    return index.select(F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("long").alias("file"), "name", "length", "start", F.when(F.col("length") > 0, F.col("bases_per_line")).alias("bases_per_line"), F.when(F.col("length") > 0, F.col("bytes_per_line") - F.col("bases_per_line")).alias("line_end"))
 
 
-FASTA_INDEX = f"SELECT 'doc' || doc_id AS name, length(seq) AS length, least(60, length(seq))::INT AS bases_per_line, 1::INT AS line_end FROM {SEQ} WHERE seq <> ''"
+FASTA_INDEX = f"""WITH d AS (SELECT doc_id, doc_id // {FILE} AS file, 'doc' || doc_id AS name, length(seq) AS n FROM {SEQ}), e AS (SELECT *, length(name) + 2 AS head, n + greatest(1, (n + 59) // 60) AS body FROM d)
+SELECT file::BIGINT AS file, name, n::BIGINT AS length, (sum(head + body) OVER (PARTITION BY file ORDER BY doc_id) - body)::BIGINT AS "start", CASE WHEN n > 0 THEN least(60, n)::INT END AS bases_per_line, CASE WHEN n > 0 THEN 1 END::INT AS line_end FROM e"""
 
 
 def fasta_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
         "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
-        "degenerate": DEGENERATE, "translations": _translations_sql(), "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
-        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }

@@ -2,13 +2,18 @@
 
 FASTA is read through the text source with a record separator, so large files are split among tasks and everything is
 an expression. FASTQ records can't be found from the middle of a file (a quality may begin with @ or +): a file is one
-task's work, streamed line by line. Compressed files are read by their endings.
+task's work, streamed line by line from its file system, so files of any size are read. Compressed files are read by their
+endings.
 """
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
-from collections.abc import Iterator
+import lzma
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +41,9 @@ def fasta_records(values: DataFrame, id_regexp: str | None = None) -> DataFrame:
     """Records of pieces between '\\n>' (column value): id, name, desc, seq, qual (null)."""
     body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^\n*>?", "")
     parts = F.split(body, "\n", 2)
-    name = parts[0]
+    # What begins like a FASTQ record, with a line of '+' behind its sequence, is none of FASTA.
+    fastq = F.startswith(body, F.lit("@")) & F.rlike(body, F.lit(r"^@[^\n]*\n(?:[^\n+][^\n]*\n)*+\+"))
+    name = F.when(fastq, F.raise_error(F.lit("this is a FASTQ file: use read_fastx")).cast("string")).otherwise(parts[0])
     seq = F.coalesce(F.replace(F.get(parts, F.lit(1)), F.lit("\n"), F.lit("")), F.lit(""))
     rows = values.where(F.rlike("value", F.lit("[^\r\n]")))
     return rows.select(*[c for c in values.columns if c != "value"], head_id(name, id_regexp).alias("id"), name.alias("name"), head_desc(name, id_regexp).alias("desc"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
@@ -45,8 +52,8 @@ def fasta_records(values: DataFrame, id_regexp: str | None = None) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str | list[str], id_regexp: str | None = None, alphabet: str | None = None, validate: bool = False) -> DataFrame:
     """path, id, name, desc, seq, qual (null), alphabet and is_fastq of every record.
 
-    A '>' inside a line is data; headers may stand alone (empty seq); sequences may be wrapped, with any line ends. read_fastx also
-    tells files that are no FASTA. The alphabet is guessed for every record unless it is given.
+    A '>' inside a line is data; headers may stand alone (empty seq); sequences may be wrapped, with any line ends. A FASTQ file
+    is an error; read_fastx also tells other files that are no FASTA. The alphabet is guessed for every record unless given.
     """
     raw = spark.read.text(path, lineSep="\n>").select(F.input_file_name().alias("path"), "value")
     rows = fasta_records(raw, id_regexp)
@@ -62,6 +69,18 @@ def _finished(rows: DataFrame, alphabet: str | None, validate: bool, is_fastq: b
     return out
 
 
+def checked(records: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """Records (name, seq, perhaps qual) made in code: a quality of another length than its sequence, or a letter that is not of
+    the alphabet, is an error."""
+    bad = lambda text: F.raise_error(F.concat(F.lit(text), F.col("name"))).cast("string")
+    seq = F.col("seq")
+    if "qual" in records.columns:
+        seq = F.when(F.col("qual").isNotNull() & (F.length("qual") != F.length("seq")), bad("sequence and quality differ in length: ")).otherwise(seq)
+    if alphabet:
+        seq = F.when(is_valid(F.col("seq"), alphabet) | F.col("seq").isNull(), seq).otherwise(bad("invalid letter in "))
+    return records.withColumn("seq", seq)
+
+
 def parse_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
     """(name, seq, qual) of FASTA or FASTQ lines, as told by the first sign; other text is an error.
 
@@ -110,42 +129,69 @@ def parse_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]
         yield record()
 
 
-def _opened(path: str, content: bytes) -> Iterator[str]:
-    import bz2
-    import gzip
-    import lzma
-
+def _lines(raw: BinaryIO, path: str) -> Iterator[str]:
+    """Lines of a file, decompressed by its ending."""
     ends = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
     made = next((f for end, f in ends.items() if path.endswith(end)), None)
     if path.endswith(".zst"):
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content))
+        raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
     else:
-        raw = made(io.BytesIO(content)) if made else io.BytesIO(content)
+        raw = made(raw) if made else raw
     return io.TextIOWrapper(raw, "latin-1", newline="\n")
 
 
-def read_fastx(spark: SparkSession, path: str | list[str], id_regexp: str | None = None, alphabet: str | None = None, validate: bool = False, chunk: int = 5000) -> DataFrame:
-    """As read_fasta, for FASTA or FASTQ of any form (gz, bz2, xz, zst), with rec_no (from 0 in each file). One task reads a file.
+def _stream(path: str) -> BinaryIO:
+    from pyarrow import fs
 
-    An empty file, or one of empty lines, has no records.
-    """
+    local = path.startswith("file:/") and not path.startswith("file://")
+    system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if local else path)
+    return system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
+
+
+def parse_binary(df: DataFrame, content: str = "content", path: str = "path", chunk: int = 5000) -> DataFrame:
+    """path, rec_no, name, seq, qual of the FASTA or FASTQ files that a binary column holds; decompressed by the path's ending."""
+    return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(_parser(chunk), _RAW)
+
+
+def _parser(chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Records of files, chunk rows or 16 MB at a time; files without a content are streamed from their file system."""
+    names = ["path", "rec_no", "name", "seq", "qual"]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, content in zip(pdf.path, pdf.content, strict=True):
-                rows, number = [], 0
-                for name, seq, qual in parse_records(_opened(path_, content)):
-                    rows.append((path_, number, name, seq, qual))
-                    number += 1
-                    if len(rows) >= chunk:
-                        yield pd.DataFrame(rows, columns=["path", "rec_no", "name", "seq", "qual"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "rec_no", "name", "seq", "qual"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(parsed, "path string, rec_no long, name string, seq string, qual string")
+            contents = pdf.content if "content" in pdf else [None] * len(pdf)
+            for path, content in zip(pdf.path, contents, strict=True):
+                with _stream(path) if content is None else io.BytesIO(content) as raw:
+                    rows, held = [], 0
+                    for number, (name, seq, qual) in enumerate(parse_records(_lines(raw, path))):
+                        rows.append((path, number, name, seq, qual))
+                        held += len(seq)
+                        if len(rows) >= chunk or held > 1 << 24:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                    yield pd.DataFrame(rows, columns=names)
+
+    return parsed
+
+
+#: Schemes that Python tasks can open; files elsewhere come through Spark's reader of whole files.
+STREAMED = ("file", "hdfs", "s3", "gs")
+_RAW = "path string, rec_no long, name string, seq string, qual string"
+
+
+def read_fastx(spark: SparkSession, path: str | list[str], id_regexp: str | None = None, alphabet: str | None = None, validate: bool = False, chunk: int = 5000) -> DataFrame:
+    """As read_fasta, for FASTA or FASTQ of any form (gz, bz2, xz, zst), with rec_no (from 0 in each file). One task streams a file.
+
+    An empty file, or one of empty lines, has no records.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    scheme = (path if isinstance(path, str) else next(iter(path), "")).partition(":/")
+    streamed = not scheme[1] or scheme[0] in STREAMED
+    # Only names are listed here; every file is then a task of its own.
+    files = files.select("path").repartition(F.xxhash64("path")) if streamed else files.select("path", "content")
+    rows = files.mapInPandas(_parser(chunk), _RAW)
     rows = rows.select("path", "rec_no", head_id(F.col("name"), id_regexp).alias("id"), "name", head_desc(F.col("name"), id_regexp).alias("desc"), "seq", "qual")
     return _finished(rows, alphabet, validate, F.col("qual").isNotNull())
 
@@ -173,3 +219,8 @@ def last_by_name(records: DataFrame) -> DataFrame:
     """One record of each full name: the last of its file (of the greatest path)."""
     order = Window.partitionBy("name").orderBy(F.col("path").desc(), F.col("rec_no").desc())
     return records.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def file_alphabets(records: DataFrame) -> DataFrame:
+    """path and alphabet of every file: that of its first record (records as read_fastx gives them)."""
+    return records.groupBy("path").agg(F.min_by("alphabet", "rec_no").alias("alphabet"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import codons, quality
 from seqlake.functions import sequence as sq
+from seqlake.sources import fastx
 
 CODE_SEQ = "ACGTNacgtn"
 
@@ -87,7 +88,23 @@ def test_translation(spark):
         codons.translate(s, frame=4)
 
 
+def test_pairs_of_letters(spark):
+    assert one(spark, sq.pair_letter(F.lit("a")), sq.pair_letter(F.lit("U"), "RNA"), sq.pair_letter(F.lit("-"))) == ("t", "A", "-")
+    with pytest.raises(Exception, match="no letter"):
+        one(spark, sq.pair_letter(F.lit("!")))
+
+
+def test_records_made_in_code(spark):
+    df = spark.createDataFrame([("a", "ACGT", "IIII"), ("b", "AC", None)], "name string, seq string, qual string")
+    assert fastx.checked(df, "DNA").count() == 2 and len(fastx.checked(df, "DNA").collect()) == 2
+    for row, error in ((("c", "ACG", "II"), "differ"), (("d", "AC!", None), "invalid letter")):
+        with pytest.raises(Exception, match=error):
+            fastx.checked(spark.createDataFrame([row], df.schema), "DNA").collect()
+
+
 def test_codon_tables():
+    lines = codons.codon_table(1).lines(ambiguous=True)
+    assert next(x for x in lines if x[0] == "M") == "M: ATG" and "GGN" in next(x for x in lines if x[0] == "G")
     t = codons.codon_table(1)
     assert (t.get("ATG"), t.get("aun"), t.get("CTN"), t.get("---"), t.get("A?G", True)) == ("M", "X", "L", "-", "X")
     assert t.clone().set("ATG", "Z").get("ATG") == "Z" and t.get("ATG") == "M" and len(codons.CODES) == 24

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqlake.operators import sketches, stats
-from seqlake.operators.taxonomy import Taxonomy, load_deleted, load_merged, load_names, load_nodes, pair_key
+from seqlake.operators.taxonomy import Taxonomy, checked_ranks, load_deleted, load_merged, load_names, load_nodes, pair_key
 
 
 @pytest.mark.parametrize(("data", "q1", "median", "q3", "n50", "l50"), [
@@ -73,6 +73,18 @@ def test_lca(spark, tree):
 def test_a_deep_tree_and_a_cycle(spark):
     deep = spark.range(1, 301).select(F.col("id").alias("taxid"), F.greatest(F.col("id") - 1, F.lit(1)).cast("long").alias("parent"), F.lit("r").alias("rank"))
     assert {r.taxid: len(r.path) for r in Taxonomy(deep).lineages().collect()} == {i: max(1, i - 1) for i in range(1, 301)}
+    with pytest.raises(ValueError, match="cycle"):
+        Taxonomy(spark.createDataFrame([(1, 1, "r"), (5, 6, "r"), (6, 7, "r"), (7, 5, "r")], "taxid long, parent long, rank string")).lineages()
+    with pytest.raises(ValueError, match="ranks"):
+        checked_ranks(spark.range(300).select(F.col("id").cast("string").alias("rank")))
+
+
+def test_xxhash_of_windows_against_the_library():
+    xxhash = pytest.importorskip("xxhash")
+    data = bytes(random.Random(2).randrange(256) for _ in range(140))
+    for k in (1, 3, 4, 7, 8, 10, 15, 31, 32, 33, 47, 64, 101):
+        want = [xxhash.xxh64_intdigest(data[i : i + k], seed=1) for i in range(len(data) - k + 1)]
+        assert [int(x) for x in sketches.xxhash64_windows(np.frombuffer(data, np.uint8), k)] == want
 
 
 SEQ = "GGCAAGTTCGTCA"

@@ -64,16 +64,60 @@ def test_writing_and_reading_back(spark, tmp_path):
 INDEXED = ">s1 x\nACGTA\nACGTA\nAC\n>none\n>s2\nAC\n\n>s3\ty\nACGTACGT"
 
 
+def index_rows(spark, path, **options):
+    return sorted((tuple(r)[1:] for r in fai.build_index(spark, path, **options).collect()), key=lambda r: r[2])
+
+
 def test_index(spark, tmp_path):
-    assert list(fai.index_records(INDEXED.encode())) == [("s1", 12, 6, 5, 6), ("none", 0, 27, 5, 6), ("s2", 2, 31, 2, 3), ("s3", 8, 41, 8, 8)]
-    assert list(fai.index_records(b">a\r\nACG\r\nT\r\n")) == [("a", 4, 4, 3, 5)]
-    assert [r[0] for r in fai.index_records(b">a x\nA\n>a y\nCC\n")] == ["a"] and [r[0] for r in fai.index_records(b">a x\nA\n>a y\nCC\n", "^(.+)$")] == ["a x", "a y"]
-    for bad, error in ((b"@a\nA\n+\nI\n", "FASTQ"), (b"ACGT\n", "no FASTA"), (b">a\nAC\nACG\n", "width"), (b">a\nACG\nA\nACG\n", "width")):
-        with pytest.raises(ValueError, match=error):
-            list(fai.index_records(bad))
-    index = fai.build_index(spark, write(tmp_path / "a.fa", INDEXED))
+    assert index_rows(spark, write(tmp_path / "a.fa", INDEXED)) == [("s1", 12, 6, 5, 6), ("none", 0, 27, 5, 6), ("s2", 2, 31, 2, 3), ("s3", 8, 41, 8, 8)]
+    assert index_rows(spark, write(tmp_path / "b.fa", b">a\r\nACG\r\nT\r\n>b\r\nAC\r\n")) == [("a", 4, 4, 3, 5), ("b", 2, 16, 2, 4)]
+    twice = write(tmp_path / "c.fa", b"\n>a x\nA\n>a y\nCC\n")
+    assert [r[:3] for r in index_rows(spark, twice)] == [("a", 1, 6)] and [r[0] for r in index_rows(spark, twice, id_regexp="^(.+)$")] == ["a x", "a y"]
+    for bad, error in ((b"@a\nA\n+\nI\n", "FASTQ"), (b"ACGT\n", "no FASTA"), (b">a\nAC\nACG\n", "width"), (b">a\nACG\nA\nACG\n", "width"), (b">a\nACG\n\nACG\n", "width")):
+        with pytest.raises(Exception, match=error):
+            index_rows(spark, write(tmp_path / "bad.fa", bad))
+    with pytest.raises(Exception, match="compressed"):
+        index_rows(spark, write(tmp_path / "a.fa.gz", gzip.compress(INDEXED.encode())))
+    assert index_rows(spark, write(tmp_path / "empty.fa", "")) == []
+    index = fai.build_index(spark, f"{tmp_path}/a.fa")
     fai.write_index(index, f"{tmp_path}/a.fai")
-    assert {tuple(r) for r in fai.read_index(spark, f"{tmp_path}/a.fai").collect()} == set(fai.index_records(INDEXED.encode()))
+    assert {tuple(r) for r in fai.read_index(spark, f"{tmp_path}/a.fai").collect()} == set(index_rows(spark, f"{tmp_path}/a.fa"))
+
+
+def test_index_of_a_file_that_is_split(spark, tmp_path):
+    """Offsets by reading the bytes at them; splits of 4 kB, records shorter and longer than that."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    records = [(f"r{i}", "ACGTN"[i % 5] * (7 * i % 613 if i % 50 else 9000 + i)) for i in range(400)]
+    text = "".join(f">{n} d\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) for n, s in records)
+    path = write(tmp_path / "long.fa", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = {r[0]: r for r in index_rows(spark, path)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 400
+    for name, seq in records:
+        _, length, start, bases, width = rows[name]
+        assert length == len(seq) and text[: start].endswith(f">{name} d\n")
+        assert not seq or (bases, width) == (min(60, len(seq)), min(60, len(seq)) + 1)
+
+
+def test_an_index_is_used_again(spark, tmp_path):
+    path = write(tmp_path / "a.fa", ">x\nACGT\n>y\nGG\n")
+    assert {r.name for r in fai.open_index(spark, path).collect()} == {"x", "y"}
+    write(tmp_path / "a.fa.fai", "z\t4\t3\t4\t5\n")
+    index = fai.open_index(spark, path)
+    assert [r.name for r in index.collect()] == ["z"]
+    assert fai.fetch(spark.createDataFrame([("z", 2, 3)], "name string, start int, end int"), index).first().seq == "CG"
+
+
+def test_formats_are_told_apart(spark, tmp_path):
+    with pytest.raises(Exception, match="FASTQ"):
+        fastx.read_fasta(spark, write(tmp_path / "a.fq", "@r1\nACGT\n+\nIIII\n@r2\nAC\nGT\n+\nII\nII\n")).collect()
+    rows = fastx.read_fastx(spark, [write(tmp_path / "b.fx", ">a\nACGU\n>b\n!\n"), write(tmp_path / "c.fx", "@a\nACGT\n+\nIIII\n")])
+    assert {(r.path[-4:], r.alphabet) for r in fastx.file_alphabets(rows).collect()} == {("b.fx", "RNA"), ("c.fx", "DNA")}
+    held = spark.createDataFrame([("x.gz", gzip.compress(FASTQ.encode())), ("y", FASTA.encode())], "path string, content binary")
+    assert sorted((r.path, r.name) for r in fastx.parse_binary(held).collect()) == [("x.gz", "r1 a"), ("x.gz", "r2"), ("x.gz", "r3"), ("y", "empty"), ("y", "s1 first <one> > x"), ("y", "s2\ttab")]
 
 
 def test_ranges(spark, tmp_path):
