@@ -31,12 +31,13 @@ SELECT doc_id, source, pass::INT AS mix_pass, block::BIGINT AS mix_block, tokens
 
 def licenses_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({n}, {quoted(label)}, {quoted(pattern)}, {priority}, {quoted(keywords)})" for n, (label, pattern, priority, keywords) in enumerate(licenses.rules()))
+    values = ", ".join(f"({n}, {quoted(label)}, {quoted(pattern)}, {priority}, {quoted(' (?:' + '|'.join(keywords) + ') ')})" for n, (label, pattern, priority, keywords) in enumerate(licenses.rules()))
     phrases = ", ".join(f"({quoted(' ' + p.replace(' ', '  ') + ' ')}, {len(p.split())}, {quoted(label)})" for p, label in licenses.BASE.items())
     count = lambda x: f"((len({x}) - len(replace({x}, ' ', ''))) // 2)"
-    gate = quoted(licenses.GATE.replace(" ", "  ")[1:-1])
+    gate = quoted(" (?:" + "|".join(sorted({k for *_, keywords in licenses.rules() for k in keywords})) + ") ")
+    lower = "lower(replace(replace(coalesce(text, ''), chr(8490), chr(305)), chr(304), chr(305)))"
     return f"""WITH r(rule, label, pattern, priority, keywords) AS (VALUES {values}), p(phrase, size, label) AS (VALUES {phrases}),
- b AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), '^ +| +$', '', 'g') AS x FROM documents),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), '^ +| +$', '', 'g') AS x FROM documents),
  d AS (SELECT doc_id, CASE WHEN x = '' THEN '' ELSE ' ' || x || ' ' END AS w FROM b),
  e AS (SELECT doc_id, size, label, string_split(w, phrase) AS parts, len(string_split(w, phrase)) - 1 AS n FROM d, p WHERE contains(w, phrase)),
  f AS (SELECT doc_id, sum(n)::BIGINT AS n_base, min({count('parts[1]')}) AS first_word, max({count("array_to_string(parts[1:len(parts) - 1], '')")} + (n - 1) * size) AS last_word, list(label) AS labels FROM e GROUP BY doc_id),

@@ -104,8 +104,9 @@ def scanned_by_hand(text):
     joined = "".join(f" {x} " for x in w)
     base = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     found = []
-    for n, (label, pattern, priority, _) in enumerate(licenses.rules()):
+    for n, (label, pattern, priority, keywords) in enumerate(licenses.rules()):
         for m in re.finditer(pattern, joined):
+            assert set(m.group().split()) & set(keywords), (pattern, m.group())
             found.append((joined[: m.start()].count(" ") // 2, m.group().count(" ") // 2, priority, n, label))
     left = [d for d in found if not any(e[0] <= d[0] and e[0] + e[1] >= d[0] + d[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] > d[1] or e[1] == d[1] and e[3] < d[3])) for e in found)]
     labels = sorted({x for _, x in base} | {d[4] for d in left})
@@ -114,15 +115,18 @@ def scanned_by_hand(text):
 
 
 def test_licenses_against_plain_python(spark, small):
-    assert len(licenses.rules()) > 200
+    assert len(licenses.rules()) > 400 and len(licenses.NAMES) + len(licenses.CLAUSES) > 200
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     rows += list(enumerate([
         "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License)", "MIT license MIT License mit-license", "under CC BY-NC-SA 4.0 and CC BY 4.0 or GPLv3", "gnu GENERAL public license",
         "Copyright (c) 2020 X. All rights reserved. Released under the MIT License.", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "", None, "!!!", "ümit license", "the text is in the public domain",
+        "GPLv3 see gpl-3.0 Apache-2.0 BSD-3-Clause", "\u212aEYWORD licens\u0130 licensed under the GNU GPL", "GPLv2+ or MPL-2.0; CC-BY-SA-4.0, LGPLv2.1 " * 40, "MIT license " * 3000,
         "Released under the terms of the Mozilla Public License v2.0 and the BSD 3-Clause License", "words " * 30000 + "mit license " * 50, "CC BY", "governed by the Eclipse Public License 2.0",
     ], 100_000))
     df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, labels string, score double")
     out = licenses.scan(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections"))
+    again = out.unionByName(out)  # rows that repeat
+    assert again.count() == 2 * len(rows)
     got = {r[0]: tuple(r[1:]) for r in out.collect()}
     for i, t in rows:
         assert got[i] == scanned_by_hand(t), (i, t and t[:80])
@@ -242,6 +246,16 @@ def test_license_names_in_one_word(spark):
         ("Released under the CreativeML OpenRAIL-M license", "openrail"),
         ("Released under the Open RAIL license", "openrail"),
         ("Licensed by the Boost Software License 1.0", "boost"),
+        ("GPLv3 see gpl-3.0 Apache-2.0 BSD-3-Clause", "apache,bsd,gpl"),
+        ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+        ("AGPLv3", "agpl"),
+        ("LGPL-2.1-or-later", "lgpl"),
+        ("CC0-1.0", "cc0"),
+        ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+        ("Redistributions of source code must retain the above copyright notice, this list", "bsd"),
+        ("Neither the name of the Example Project nor the names of its contributors may be used to endorse", "bsd"),
+        ("The Software shall be used for Good, not Evil.", "json"),
+        ("the general public and a license for driving", ""),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
