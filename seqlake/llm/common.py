@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of texts that a Python task works on at a time (one text at least), whatever the size of Spark's batches.
-SLICE = 1 << 18
+SLICE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,8 +25,8 @@ from .common import table, with_columns
 
 SPACE = "▁"
 #: Segments and pairs of tokens that a process remembers before it starts again, and the longest segment that it remembers:
-#: about 25 MB together.
-REMEMBERED, PAIRS, LONGEST = 50_000, 150_000, 64
+#: about 80 MB together.
+REMEMBERED, PAIRS, LONGEST = 120_000, 400_000, 64
 
 
 class PieceTable:

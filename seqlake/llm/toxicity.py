@@ -144,7 +144,7 @@ def _scores(m: dict, vectors: np.ndarray, index: np.ndarray, mask: np.ndarray |
     return pooled @ m["o"] + m["q"]
 
 
-def score(m: dict, texts: list[str], chars: int = 250_000) -> np.ndarray:
+def score(m: dict, texts: list[str], chars: int = 500_000) -> np.ndarray:
     """The highest window's probability of each text; a text without words gets the probability m["empty"]."""
     out = np.full(len(texts), float(m["empty"]))
     for a, b in chunks(texts, chars):
