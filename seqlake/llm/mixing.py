@@ -22,6 +22,8 @@ from .common import table, written
 ENTROPY, MOST = 0.97, 4.0
 #: Documents of a block of a source, about.
 BLOCK = 1024
+#: Hexadecimal digits of a block's key that name its sheaf (16 of them: 4096), and sources up to which their table is broadcast.
+SHEAF_DIGITS, SMALL = 3, 50_000
 #: Halvings of the exponent's interval; LEVELS of them are looked at in one job.
 HALVINGS, LEVELS = 40, 4
 
@@ -58,8 +60,9 @@ def entropy(share: Column, a: float) -> Column:
 def weights(counted: DataFrame, target_entropy: float = ENTROPY, most: float = MOST, budget: int | None = None) -> DataFrame:
     """One row for each source with tokens: source, docs, tokens, share, weight, budget (tokens), exponent.
 
-    counted: source, tokens. budget: tokens of the mix; by default as many as there are. Sources that are null form
-    one source; sources without a token get no budget and are left out. Equal shares get equal weights.
+    counted: source, tokens. budget: tokens of the mix; by default as many as there are; one that is more than most times the
+    tokens is an error, as no weights keep that limit. Sources that are null form one source; sources without a token get no
+    budget and are left out. Equal shares get equal weights.
     """
     sources = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0")
     sources = written(sources)
@@ -67,6 +70,8 @@ def weights(counted: DataFrame, target_entropy: float = ENTROPY, most: float = M
     if not total.n:
         return sources.select("source", "docs", "tokens", *[F.lit(0.0).alias(c) for c in ("share", "weight")], F.lit(0).cast("long").alias("budget"), F.lit(1.0).alias("exponent"))
     budget = total.t if budget is None else budget
+    if budget > most * total.t:
+        raise ValueError(f"a budget of {budget} tokens reads {total.t} tokens more than {most} times")
     shared = sources.withColumn("share", F.col("tokens") / F.lit(total.t))
     # Entropy falls as the exponent rises: the greatest exponent that still reaches the target.
     falls = lambda p, a: entropy(p, a) < F.lit(target_entropy) * F.log(F.lit(float(total.n))) - 1e-12
@@ -78,6 +83,11 @@ def weights(counted: DataFrame, target_entropy: float = ENTROPY, most: float = M
     return shared.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * F.lit(float(budget))).cast("long")).withColumn("exponent", F.lit(float(exponent)))
 
 
+def _small(plan: DataFrame, rows: int) -> DataFrame:
+    """A table of a row for each source, broadcast unless there are too many: then the join is Spark's to choose."""
+    return F.broadcast(plan) if rows <= SMALL else plan
+
+
 def _key(*parts: Column | str) -> Column:
     """A random key that depends on the parts only; a null part counts as the sign that no text holds."""
     return F.md5(F.concat_ws("/", *[F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("\x01")) for p in parts]).cast("binary"))
@@ -93,8 +103,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     A document is read once in each full pass over its source, and once in the last pass if its tokens and those of
     all that precede it there fit into the rest of the budget. No rest: no last pass. Rows of equal id and source
-    share their place: all are read there or none. Sources without tokens are left out. Columns of docs stay; those
-    of the names above are replaced.
+    share their place: all are read there or none. Sources without tokens are left out; an empty table stays empty; texts
+    are counted whole, whatever their length. Columns of docs stay; those of the names above are replaced.
     """
     own = ["mix_pass", "mix_block", "mix_tokens", "mix_weight", "mix_key"]
     docs = docs.drop(*own)
@@ -103,20 +113,26 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         F.col("source").alias("of"), "weight", (F.col("docs") / BLOCK).cast("long").alias("more"), F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("full"), (F.col("budget") % F.col("tokens")).alias("rest")
     )
     plan = written(plan.withColumn("blocks", F.col("more") + 1).drop("more"))
-    last = slim.join(plan, F.col("source").eqNullSafe(F.col("of"))).where("rest > 0").withColumn("pass", F.col("full") + 1)
+    n_sources = plan.count()
+    last = slim.join(_small(plan, n_sources), F.col("source").eqNullSafe(F.col("of"))).where("rest > 0").withColumn("pass", F.col("full") + 1)
     last = last.withColumn("block", _block(_key(F.lit(seed), "source", "doc"), "blocks"))
     last = last.withColumn("block_key", _key(F.lit(seed), "source", "pass", "block"))
-    # Sums of blocks first: only the block in which the budget ends is looked into.
-    sums = last.groupBy("of", "block_key", "rest").agg(F.sum("tokens").alias("size"))
-    sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("of").orderBy("block_key")))
-    ends = sums.where("upto > rest and upto - size <= rest").select(F.col("of").alias("end_of"), F.col("block_key").alias("end_block"), (F.col("upto") - F.col("size")).alias("before"))
-    inside = last.join(ends, F.col("of").eqNullSafe(F.col("end_of")) & (F.col("block_key") == F.col("end_block"))).withColumn("doc_key", _key(F.lit(seed), "source", "pass", "doc"))
+    # Sums of sheaves of blocks first, then of blocks: only the sheaf and the block in which the budget ends are looked into.
+    # A window holds at most 16**SHEAF_DIGITS rows of a source, or the blocks of a sheaf, or the documents of a block.
+    sums = last.groupBy("of", "block_key", "rest").agg(F.sum("tokens").alias("size")).withColumn("sheaf", F.substring("block_key", 1, SHEAF_DIGITS))
+    sheaves = sums.groupBy("of", "sheaf", "rest").agg(F.sum("size").alias("size"))
+    sheaves = sheaves.withColumn("upto", F.sum("size").over(Window.partitionBy("of").orderBy("sheaf")))
+    sheaves = sheaves.where("upto > rest and upto - size <= rest").select(F.col("of").alias("end_of"), F.col("sheaf").alias("end_sheaf"), (F.col("upto") - F.col("size")).alias("before"))
+    ends = sums.join(_small(sheaves, n_sources), F.col("of").eqNullSafe(F.col("end_of")) & (F.col("sheaf") == F.col("end_sheaf")))
+    ends = ends.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("end_of").orderBy("block_key")))
+    ends = ends.where("upto > rest and upto - size <= rest").select("end_of", F.col("block_key").alias("end_block"), (F.col("upto") - F.col("size")).alias("before"))
+    inside = last.join(_small(ends, n_sources), F.col("of").eqNullSafe(F.col("end_of")) & (F.col("block_key") == F.col("end_block"))).withColumn("doc_key", _key(F.lit(seed), "source", "pass", "doc"))
     inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("end_of").orderBy("doc_key")))
     cut = inside.groupBy("end_of", "end_block").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("doc_key"))), F.lit("")).alias("end_doc"))
-    plan = written(plan.join(cut, F.col("of").eqNullSafe(F.col("end_of")), "left").drop("end_of"))
+    plan = written(plan.join(_small(cut, n_sources), F.col("of").eqNullSafe(F.col("end_of")), "left").drop("end_of"))
     plan = plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})
     # One row for each source meets the documents here; their texts are not shuffled.
-    rows = docs.withColumn("mix_tokens", tokens(F.col(text))).join(plan, F.col(source).eqNullSafe(F.col("__of")))
+    rows = docs.withColumn("mix_tokens", tokens(F.col(text))).join(_small(plan, n_sources), F.col(source).eqNullSafe(F.col("__of")))
     rows = rows.withColumn("mix_block", _block(_key(F.lit(seed), source, doc_id), "__blocks"))
     in_last = F.struct(_key(F.lit(seed), F.col(source), F.col("__full") + 1, F.col("mix_block")), _key(F.lit(seed), F.col(source), F.col("__full") + 1, F.col(doc_id))) <= F.struct("__end_block", "__end_doc")
     passes = F.col("__full") + F.when(F.col("__rest") > 0, F.coalesce(in_last, F.lit(False)).cast("int")).otherwise(0)

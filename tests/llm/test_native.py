@@ -85,6 +85,22 @@ def test_mixing_meets_its_targets(spark):
     assert max(r.weight * 1000 / r.tokens for r in w) == pytest.approx(3, abs=1e-6)
 
 
+def test_a_limit_that_no_weights_keep_is_an_error(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 4)], "source string, tokens long")
+    with pytest.raises(ValueError, match="more than 4"):
+        mixing.weights(df, most=4.0, budget=200)
+    assert max(r.budget / r.tokens for r in mixing.weights(df, most=4.0, budget=44).collect()) <= 4
+
+
+def test_mixing_ties_and_long_texts(spark):
+    """Sources of equal tokens get equal weights; one long text beside many short ones; rows that repeat share their place."""
+    rows = [(i, s, "x y") for s in "ab" for i in range(50)] + [(1000, "c", "long " * 60_000)] + [(7, "d", "t " * 9)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mixed(df).collect()
+    weight = {r.source: r.mix_weight for r in out}
+    assert weight["a"] == weight["b"] and Counter((r.doc_id, r.source) for r in out) == mixed_by_hand(rows)
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, source string, text string, mix_pass string, weight int"
     assert mixing.mixed(spark.createDataFrame([], schema)).count() == 0
