@@ -9,7 +9,11 @@ pair is missed in one run with a probability of 0.2 to 0.26, in all six with 0.0
 
 In a bucket, sketches of SKETCH hashes sort out the pairs that are far below the threshold (five standard deviations),
 and the pairs that a smaller bucket's number owns already; what is left is compared by the exact sets. A bucket only
-reports how many links each class has there and one link of each class to its component, so no list of pairs is made.
+reports how many links each class has there and one link of each class to its component (a tree in which no class has many),
+so no list of pairs is made.
+
+Within a part of a bucket near copies are not compared pair by pair either: Jaccard distance is a metric, so the exact
+distances to one class tell of most pairs that they are links, or none; only the others' sets are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +36,12 @@ RUNS, LEVELS = 6, 3
 LEAF, PART = 4096, 512
 #: Buckets of so many classes at most are compared many at a time, about BIN rows together.
 SMALL, BIN = 48, 2000
+#: Parts that the rows of a frequent key are dealt to, and rows that such a key has at least.
+SALTS, MANY = 32, 1000
+#: Pivots whose distances are looked at before sets are compared, and pairs below which none is.
+PIVOTS, FEW = 4, 2000
+#: Classes that are linked to one of their component in a bucket's report.
+FAN = 8
 #: Nodes of a run's tree, level by level: 1, 2, 4, ...
 NODES = (1 << LEVELS) - 1
 
@@ -188,6 +198,42 @@ def _similar(mine: list[bytes], other: list[bytes], i: np.ndarray, j: np.ndarray
     return inter >= THRESHOLD * (sizes[0][i] + sizes[1][j] - inter) - 1e-9
 
 
+def _told(sets: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs reach the threshold, exactly: from the distances to a few pivots where the triangle inequality decides, by
+    the sets where it doesn't. A pivot is the place in most of the pairs that are left."""
+    out, left = np.zeros(len(i), bool), np.arange(len(i))
+    for _ in range(PIVOTS):
+        if len(left) < FEW:
+            break
+        pivot = int(np.argmax(np.bincount(np.concatenate([i[left], j[left]]))))
+        far = _distances(sets, pivot, np.unique(np.concatenate([i[left], j[left]])))
+        a, b = far[i[left]], far[j[left]]
+        near, apart = a + b <= 1 - THRESHOLD + 1e-12, np.abs(a - b) > 1 - THRESHOLD + 1e-9
+        # Pairs of the pivot itself are told by the distance.
+        out[left[near]] = True
+        rest = ~(near | apart)
+        if rest.sum() > 0.9 * len(left):
+            break
+        left = left[rest]
+    for part in np.array_split(left, max(1, len(left) // 200_000)):
+        if len(part):
+            out[part] = _similar(sets, sets, i[part], j[part])
+    return out
+
+
+def _distances(sets: list[bytes], pivot: int, places: np.ndarray) -> np.ndarray:
+    """Jaccard distance of the places' sets to the pivot's; nan elsewhere."""
+    base = np.frombuffer(sets[pivot], np.uint64)
+    values = [np.frombuffer(sets[p], np.uint64) for p in places]
+    sizes = np.array([len(x) for x in values])
+    all_ = np.concatenate(values)
+    at = np.minimum(np.searchsorted(base, all_), len(base) - 1)
+    inter = np.bincount(np.repeat(np.arange(len(places)), sizes)[base[at] == all_], minlength=len(places))
+    out = np.full(len(sets), np.nan)
+    out[places] = 1 - inter / (sizes + len(base) - inter)
+    return out
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest place in each place's component."""
     root = np.arange(n)
@@ -204,6 +250,20 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _parents(keys: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each place another of its component, so that all are connected and none has more than FAN links to it.
+
+    The members of a component stand in a heap by their order; the first one is its own parent.
+    """
+    order = np.lexsort((keys, root))
+    first = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    begin = np.repeat(first, np.diff(np.append(first, len(order))))
+    rank = np.arange(len(order)) - begin
+    out = np.empty(len(order), np.int64)
+    out[order] = order[begin + np.maximum(rank - 1, 0) // FAN]
+    return out
+
+
 def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[np.unique(np.concatenate(_pairs(pdf)))]
 
@@ -212,11 +272,12 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     i, j = _pairs(pdf)
     if len(i):
         sets = list(pdf.members)
-        good = _similar(sets, sets, i, j) if pdf.large.iloc[0] else _similar_few(sets, i, j)
+        good = _told(sets, i, j) if pdf.large.iloc[0] else _similar_few(sets, i, j)
         i, j = i[good], j[good]
     count = np.bincount(i, minlength=len(pdf)) + np.bincount(j, minlength=len(pdf))
-    keys, root, has = pdf.key.to_numpy(), _roots(len(pdf), i, j), np.flatnonzero(count)
-    return pd.DataFrame({"key": keys[has], "root": keys[root[has]], "links": count[has]})
+    has = np.flatnonzero(count)
+    keys, root = pdf.key.to_numpy()[has], _roots(len(pdf), i, j)[has]
+    return pd.DataFrame({"key": keys, "root": keys[_parents(keys, root)], "links": count[has]})
 
 
 def leaves(classes: DataFrame) -> DataFrame:
@@ -227,7 +288,7 @@ def leaves(classes: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         # Counting first: most buckets hold one class and go at once.
         sizes = now.groupBy("leaf").count().where("count > 1")
-        now = written(now.join(sizes, "leaf"))
+        now = written(met(written(now), sizes, "leaf", "key").where("count IS NOT NULL"))
         stays = now if level == LEVELS - 1 else now.where(F.col("count") <= LEAF)
         stays = stays.select("leaf", "key", "count")
         done = stays if done is None else done.unionByName(stays)
@@ -242,20 +303,37 @@ def leaves(classes: DataFrame) -> DataFrame:
     return done.distinct()
 
 
+def met(rows: DataFrame, looked_up: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """rows, a written table, left joined with looked_up (one row of each key), so that no frequent key is one task's work.
+
+    Keys of more than a thousandth of the rows (a thousand of them at most, so they are broadcast) are dealt by a salt too, and
+    their row of looked_up is copied to every salt.
+    """
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > max(MANY, total // 1000)).select(F.col(key).alias("__hot")))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).cast("int")
+    salts = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    copied = looked_up.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return dealt.join(copied, [key, "__salt"], "left").drop("__salt")
+
+
 def components(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
     """(key, group): the smallest key of each key's connected component. edges may repeat and hold loops.
 
     Labels spread along the edges and are then looked up in themselves, so the rounds grow with the logarithm of a
-    component's length. Each round's labels are written to the shared folder; only counts reach the driver.
+    component's length. A large component's label is a frequent one: see met. Each round's labels are written to the shared
+    folder; only counts reach the driver.
     """
     edges = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("group")))
     while True:
         near = edges.join(labels.select(F.col("key").alias("u"), "group"), "u").groupBy(F.col("v").alias("key")).agg(F.min("group").alias("near"))
-        spread = labels.join(near, "key", "left").select("key", F.least("group", "near").alias("group"), F.col("group").alias("old"))
-        jump = spread.select(F.col("key").alias("group"), F.col("group").alias("next"))
-        new = written(spread.join(jump, "group", "left").select("key", F.coalesce("next", "group").alias("group"), "old"))
+        spread = written(labels.join(near, "key", "left").select("key", F.least("group", "near").alias("group"), F.col("group").alias("old")))
+        # Only keys that are someone's label are looked up.
+        jump = spread.select(F.col("key").alias("group"), F.col("group").alias("next")).join(spread.select("group").distinct(), "group")
+        new = written(met(spread, jump, "group", "key").select("key", F.coalesce("next", "group").alias("group"), "old"))
         if new.where("group != old").isEmpty():
             return new.select("key", "group")
         labels = new.select("key", "group")
@@ -306,10 +384,13 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = written(near.join(sets, "key").groupBy("large", "bin", "x", "y").applyInPandas(_links, "key long, root long, links long"))
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     groups = components(found.select("key", "root"))
-    numbered = classes.join(links, "key", "left").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    smallest = numbered.groupBy("group").agg(F.min("class_id").alias("group_id"))
-    numbered = numbered.join(smallest, "group").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id", F.col("group").alias("group_key"))
-    return rows_sketched.select("doc_id", "key").join(numbered, "key").withColumnRenamed("key", "class_key").select("doc_id", "class_id", "n_copies", "n_links", "group_id", "class_key", "group_key")
+    linked = written(classes.join(groups, "key"))
+    smallest = linked.groupBy("group").agg(F.min("class_id").alias("group_id"))
+    linked = met(linked, smallest, "group", "key").select("key", "group", "group_id")
+    numbered = classes.join(links, "key", "left").join(linked, "key", "left")
+    numbered = written(numbered.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("group").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group", "key").alias("group_key")))
+    out = met(rows_sketched.select("doc_id", "key"), numbered, "key", "doc_id")
+    return out.withColumnRenamed("key", "class_key").select("doc_id", "class_id", "n_copies", "n_links", "group_id", "class_key", "group_key")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
