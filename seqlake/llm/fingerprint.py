@@ -19,8 +19,9 @@ from .common import table
 
 LANES, SLOTS = 8, 256
 MODULUS = 1 << 32
-#: Ids that differ in so many last bits only form a range, in which each row looks for the next; so do ranges, level by level.
-RANGE_BITS, LEVELS = 11, 5
+#: Ids that differ in so many last bits only form a range, in which each row looks for the next. Ranges that differ in so many
+#: bits are grouped in the same way, level by level.
+RANGE_BITS, GROUP_BITS, LEVELS = 9, 11, 5
 #: Rows without an id are dealt to so many ranges behind all others.
 NULL_RANGES, NULL_FIRST = 1 << 20, -(1 << 62)
 
@@ -88,13 +89,13 @@ def likeness(a: Column, b: Column) -> Column:
 def following(keys: DataFrame, level: int = 0) -> DataFrame:
     """(of, next): for every value of keys(k), all different, the next smaller one; the greatest follows the smallest.
 
-    Values that agree but for their last RANGE_BITS are looked at together, and what comes behind each such group is found in
-    the same way among the groups. No window holds more than 2**RANGE_BITS values.
+    Values that agree but for their last GROUP_BITS are looked at together, and what comes behind each such group is found in
+    the same way among the groups. No window holds more than 2**GROUP_BITS values.
     """
     if level == LEVELS - 1:  # what is left of 64 bits is few values
         all_ = Window.partitionBy(F.lit(0)).orderBy(F.col("k").desc())
         return keys.select(F.col("k").alias("of"), F.coalesce(F.lead("k").over(all_), F.first("k").over(all_)).alias("next"))
-    grouped = keys.withColumn("g", F.shiftright("k", RANGE_BITS))
+    grouped = keys.withColumn("g", F.shiftright("k", GROUP_BITS))
     linked = grouped.withColumn("next", F.lead("k").over(Window.partitionBy("g").orderBy(F.col("k").desc())))
     greatest = grouped.groupBy("g").agg(F.max("k").alias("first"))
     behind = following(greatest.select(F.col("g").alias("k")), level + 1).join(greatest, F.col("next") == F.col("g")).select(F.col("of").alias("g"), "first")
