@@ -56,19 +56,33 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word with A-Z lower-cased."""
-        out = np.empty(len(self.start), np.uint64)
-        a = 0
-        with np.errstate(over="ignore"):
-            while a < len(out):  # some bytes at a time: the arrays below are eight times as large
-                b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + BLOCK)))
-                low, high = self.start[a], self.end[b - 1]
-                start, end = self.start[a:b] - low, self.end[a:b] - low
-                up, down = _powers(int(high - low) + 1)
-                sums = np.zeros(high - low + 1, np.uint64)
-                np.cumsum((_LOWER[self.data[low:high]].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-                out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-                a = b
-        return out
+        return hashed(self.data, self.start, self.end, _LOWER)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end, in order and without overlap; letters: what bytes count as."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    with np.errstate(over="ignore"):
+        while a < len(out):  # some bytes at a time: the arrays below are eight times as large
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
+            low, high = starts[a], ends[b - 1]
+            start, end = starts[a:b] - low, ends[a:b] - low
+            up, down = _powers(int(high - low) + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            part = data[low:high] if letters is None else letters[data[low:high]]
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+            out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+            a = b
+    return out
+
+
+def joined(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the run of hashes from each start to its end; runs may be empty."""
+    with np.errstate(over="ignore"):
+        up, down = _powers(len(hashes) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def words(texts: list[str], inside: np.ndarray = ALNUM) -> Words:
