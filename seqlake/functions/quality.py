@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sequence import let
 
@@ -44,9 +49,22 @@ def quality_values(qual: Column, encoding: str = "Sanger") -> Column:
     return F.transform(_letters(qual), lambda c: F.ascii(c) - ENCODINGS[encoding][2])
 
 
+@lru_cache
+def _counter() -> Callable[[Column], Column]:
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = [(x or "").encode("latin-1", "replace") for x in batch]
+            of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+            n = np.bincount(of * 256 + np.frombuffer(b"".join(texts), np.uint8), minlength=len(texts) * 256).reshape(-1, 256)[:, PRINTABLE.start : PRINTABLE.stop]
+            yield pd.Series([None if x is None else row for x, row in zip(batch, n.astype(np.int32), strict=True)])
+
+    return counts
+
+
 def letter_counts(qual: Column) -> Column:
-    """array of how often each printable letter ('!' first) stands in the text."""
-    return F.array(*[F.length(qual) - F.length(F.replace(qual, F.lit(chr(b)), F.lit(""))) for b in PRINTABLE])
+    """array of how often each printable letter ('!' first) stands in the text; one pass over a batch's bytes."""
+    return _counter()(qual)
 
 
 def _printable(qual: Column) -> Column:
@@ -56,7 +74,8 @@ def _printable(qual: Column) -> Column:
 def total_quality(qual: Column, encoding: str = "Sanger") -> Column:
     """Sum of the values, from the letters' counts."""
     offset = ENCODINGS[encoding][2]
-    return let(letter_counts(qual), lambda n: F.aggregate(F.transform(n, lambda x, i: (x * (i + PRINTABLE[0] - offset)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x))
+    values = F.transform(letter_counts(qual), lambda x, i: x.cast("long") * (i + PRINTABLE[0] - offset))
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def convert_quality(qual: Column, source: str, target: str, force: bool = False) -> Column:
@@ -109,11 +128,12 @@ def guess_encodings(qual: Column, most_common: int = 2) -> Column:
         return let(used, of_used)
 
     none = F.array().cast("array<string>")
-    return F.when(_printable(qual), let(letter_counts(qual), guessed)).when(qual.isNotNull(), none)
+    return F.when(_printable(qual), guessed(letter_counts(qual))).when(qual.isNotNull(), none)
 
 
 def mean_quality(qual: Column, encoding: str = "Sanger") -> Column:
     """-10 log10 of the mean error probability, from the letters' counts; 0 without a quality."""
     offset = ENCODINGS[encoding][2]
-    total = let(letter_counts(qual), lambda n: F.aggregate(F.transform(n, lambda x, i: x * F.pow(F.lit(10.0), -(i + PRINTABLE[0] - offset) / 10)), F.lit(0.0), lambda s, x: s + x))
+    errors = F.transform(letter_counts(qual), lambda x, i: x * F.pow(F.lit(10.0), -(i + PRINTABLE[0] - offset) / 10))
+    total = F.aggregate(errors, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.coalesce(F.length(qual), F.lit(0)) <= 0, 0.0).otherwise(-10 * F.log10(total / F.length(qual)))
