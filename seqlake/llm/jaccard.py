@@ -350,7 +350,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     class_id: the smallest doc_id of the rows with an equal text. n_copies: rows of the class. n_links: other classes
     that the class is linked to. group_id: the smallest class_id of all classes that links connect. Null texts count as
     empty; texts without words form classes by their text and have no links. Null ids take part as any other id and sort
-    last. Where ids are null or repeated, different groups may have one group_id; grouped() tells them apart.
+    last. Rows that repeat are copies of one class; texts are read whole; an empty table gives no rows; other columns of docs
+    do not count, whatever their names. Where ids are null or repeated, different groups may have one group_id; grouped() tells them apart.
     """
     return grouped(docs, doc_id, text).drop("class_key", "group_key")
 

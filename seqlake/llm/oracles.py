@@ -1,8 +1,9 @@
-"""DuckDB SQL of the operators that SQL can express: mixing, license scans, fingerprints."""
+"""DuckDB SQL of the operators that SQL can express: mixing, license scans, fingerprints, and the Jaccard join, whose SQL
+compares all pairs of texts that share a run of words."""
 
 from __future__ import annotations
 
-from . import fingerprint, licenses, mixing
+from . import fingerprint, jaccard, licenses, mixing
 
 
 def mixing_sql(seed: int = 1) -> str:
@@ -70,5 +71,18 @@ SELECT e.doc_id, len(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha2
  LEFT JOIN nm na ON na.i = e.i AND na.k = 0 LEFT JOIN nm nb ON nb.i = e.i AND nb.k = 1 LEFT JOIN nm nc ON nc.i = e.i AND nc.k = 2 LEFT JOIN dt d1 ON d1.i = e.i AND d1.k = 1 LEFT JOIN dt d2 ON d2.i = e.i AND d2.k = 2"""
 
 
+def jaccard_sql() -> str:
+    n, upper = jaccard.SHINGLE, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    number = "('0x' || substr(md5(t), 1, 16))::UBIGINT::HUGEINT"
+    return f"""WITH RECURSIVE c AS (SELECT t, min(doc_id) AS class_id, count(*) AS n_copies, (CASE WHEN {number} >= 9223372036854775808 THEN {number} - 18446744073709551616 ELSE {number} END)::BIGINT AS key FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) GROUP BY t),
+ w AS (SELECT key, regexp_extract_all(translate(t, '{upper}', '{upper.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM c), r AS (SELECT key, ws, unnest(range(1, greatest(2, len(ws) - {n - 2}))) AS i FROM w WHERE len(ws) > 0),
+ sh AS (SELECT DISTINCT key, array_to_string(ws[i:i + {n - 1}], ' ') AS s FROM r), sz AS (SELECT key, count(*) AS n FROM sh GROUP BY key),
+ pr AS (SELECT a.key AS ka, b.key AS kb, count(*) AS both_ FROM sh a JOIN sh b ON a.s = b.s AND a.key < b.key GROUP BY a.key, b.key),
+ lk AS (SELECT ka, kb FROM pr JOIN sz x ON x.key = ka JOIN sz y ON y.key = kb WHERE both_ >= {jaccard.THRESHOLD} * (x.n + y.n - both_) - 1e-9), e AS (SELECT ka, kb FROM lk UNION ALL SELECT kb, ka FROM lk),
+ reach AS (SELECT key AS ka, key AS kb FROM c UNION SELECT reach.ka, e.kb FROM reach JOIN e ON e.ka = reach.kb), g AS (SELECT ka AS key, min(kb) AS group_key FROM reach GROUP BY ka),
+ k AS (SELECT ka AS key, count(*) AS n_links FROM e GROUP BY ka), f AS (SELECT group_key, min(class_id) AS group_id FROM g JOIN c USING (key) GROUP BY group_key)
+SELECT d.doc_id, c.class_id, c.n_copies, coalesce(k.n_links, 0)::BIGINT AS n_links, f.group_id, g.group_key FROM documents d JOIN c ON c.t = coalesce(d.text, '') JOIN g USING (key) JOIN f USING (group_key) LEFT JOIN k USING (key)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing_sql(), "op3_licenses": licenses_sql(), "op5_fingerprint": fingerprint_sql()}
+    return {"op1_jaccard": jaccard_sql(), "op2_mixing": mixing_sql(), "op3_licenses": licenses_sql(), "op5_fingerprint": fingerprint_sql()}

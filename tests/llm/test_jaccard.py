@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqlake.llm import jaccard
@@ -114,6 +115,33 @@ def test_different_texts_under_null_and_repeated_ids_all_stay(spark):
     assert len(got) == len(rows) and len({r.group_key for r in got}) == 6 and len({r.class_key for r in got}) == 8
 
 
+def test_the_triangle_inequality_tells_what_the_sets_tell(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = []
+    for i in range(160):
+        keep = base[rng.random(400) > rng.choice([0.01, 0.05, 0.15])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 40)), dtype=np.uint64)])).tobytes())
+    i, j = np.triu_indices(160, 1)
+    monkeypatch.setattr(jaccard, "FEW", 100)
+    assert (jaccard._told(sets, i, j) == jaccard._similar_few(sets, i, j)).all()
+
+
+def test_no_class_has_many_links_in_a_report():
+    keys = np.arange(1000)
+    root = np.repeat([0, 500], 500)
+    parent = jaccard._parents(keys, root)
+    assert np.bincount(parent[parent != keys]).max() <= jaccard.FAN
+    assert {int(x) for x in parent[:500]} <= set(range(500)) and (np.flatnonzero(parent == keys) == [0, 500]).all()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, long.replace("w7 ", "v7 ")), (4, "short text of some six words")]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [got[i][2:] for i in (1, 2, 3, 4)] == [(2, 1), (2, 1), (2, 1), (0, 4)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("key"), (F.col("id") + 1).alias("root"))
     assert {r.group for r in jaccard.components(edges).collect()} == {0}
