@@ -34,3 +34,25 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, small, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, and a column of an unlucky name."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    text = lambda k: " ".join(f"{c}{k}" for c in ("plain", "words", "of", "a", "calm", "story", "that", "goes", "on")) + "."
+    odd = [(None, None, "en", "s1", 0), (None, "", "en", None, 0), (None, text(1), "en", "s1", 9), (None, text(2), None, "s2", 9), (7, text(3), "en", "s1", 9), (7, text(4), "en", "s1", 9), (7, text(4), "en", "s1", 9), (10**9, "long words " * 30_000, "en", "s2", 9)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("keep", F.lit("k")).withColumn("score", F.lit(0.1)).withColumn("n_tokens", F.lit("x"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, now, str(tmp_path)))
+        assert out.columns == now.columns, name
+        if name == "jaccard":
+            kept = [r.text for r in out.collect()]
+            assert len(kept) == len({t or "" for t in kept})
+            for t in {r.text for r in now.collect()} & {text(k) for k in (1, 2, 3, 4)}:
+                assert t in kept  # different texts under null and repeated ids
+        now = out
+    last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert last.count() == now.count() and dict(last.dtypes)["n_tokens"] == "bigint" and dict(last.dtypes)["keep"] == "string"
