@@ -56,14 +56,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, cha
     """(doc_id, text, label) of a bounded sample: labelled documents in the order of a hash of the id, at most per_class of
     each class, and no more of a class once the texts before have chars characters together. Texts are whole.
 
-    Labels other than 0 and 1 and labels of null ids do not count; where labels of an id disagree, 1 counts. Documents
-    that share a labelled id are all in the sample.
+    Labels other than 0 and 1 and labels of null ids do not count; where labels of an id disagree, 1 counts. Of documents
+    that share a labelled id the one of the smallest text is taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     parts = [known.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
-    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     return rows.withColumn("__upto", F.sum(F.length("text").cast("long")).over(before)).where(F.col("__upto") - F.length("text") < chars).drop("__upto")
 
 

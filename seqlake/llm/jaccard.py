@@ -4,8 +4,8 @@ A text is the set of its runs of SHINGLE words. Equal texts form one class, and
 Jaccard similarity of THRESHOLD or more. The join is randomised and recursive: a run splits all classes on a sampled
 token that they share (the minimum of a random hash over the set, so that two sets share it with a probability equal to
 their similarity); buckets of more than LEAF classes are split again on two further tokens, up to LEVELS times; the
-buckets that remain are compared by brute force. RUNS repetitions bring the recall to its target: at similarity 0.8 a
-pair is missed in one run with a probability of 0.2 to 0.26, in all six with 0.0003 at most, and rarer above.
+buckets that remain are compared by brute force. Runs are repeated until the recall reaches its target: at similarity
+0.8 a pair is missed in one run with a probability of 0.2 to 0.26, in all six with 0.0003, and rarer above.
 
 In a bucket, sketches of SKETCH hashes sort out the pairs that are far below the threshold (five standard deviations),
 and the pairs that a smaller bucket's number owns already; what is left is compared by the exact sets. A bucket only
@@ -18,6 +18,7 @@ distances to one class tell of most pairs that they are links, or none; only the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from .words import chunks, mix, words
 SHINGLE, THRESHOLD = 5, 0.8
 #: Hashes of a sketch; below this many equal ones (of SKETCH) a pair is not looked at: 0.8 less five standard deviations.
 SKETCH, LEAST = 64, 35
-RUNS, LEVELS = 6, 3
+#: Runs are repeated until pairs at the threshold are found with this probability; a run misses one with MISSED at most.
+RECALL, MISSED = 0.9996, 0.26
+RUNS, LEVELS = math.ceil(math.log(1 - RECALL) / math.log(MISSED)), 3
 #: Classes of a bucket that is not split any more, and of a part of a bucket that one task compares with another.
 LEAF, PART = 4096, 512
 #: Buckets of so many classes at most are compared many at a time, about BIN rows together.
