@@ -1,5 +1,10 @@
 """A corpus pipeline of the library's text operators: toxic and poor documents go, one document of each group of near
-copies stays, sources are mixed to target weights, and what is left is encoded."""
+copies stays, sources are mixed to target weights, and what is left is encoded.
+
+Every stage takes all rows of the one before. Null texts count as empty; null and repeated ids take part as any other; rows
+that repeat are judged each (and are copies of one another for the third stage); texts are read whole; an empty table stays
+empty; columns beside doc_id, text and source are carried along, whatever their names, but for the last stage's own.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from seqlake.llm.common import table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5. The classifier learns from the labels of docs."""
+    """Documents whose toxicity score is below 0.5. The classifier learns from the labels of docs; without any, all stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, name="__toxic").where("__toxic < 0.5").drop("__toxic")
 
@@ -22,12 +27,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
+    """Of each group of near copies the document of the smallest id (nulls last; of rows that share it the one of the smallest
+    class key)."""
     return jaccard.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources reads them."""
+    """Documents as often as the mix of their sources reads them; a null source is one of its own, sources without a word go."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
