@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True if driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where none is named (tests), one is made and set."""
+    """A new path in the folder that spark.checkpoint.dir names. Where none is named one is made and set, on a local master only."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return f"{known}/{name}-{uuid.uuid4().hex}"
