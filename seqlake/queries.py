@@ -403,11 +403,19 @@ FASTA_ROUND_TRIP = f"SELECT 'doc' || doc_id AS id, '[' || lang || '] a > b' AS \
 _LETTERS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTAC"
 
 
-def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fastq(spark: SparkSession, sf_dir: str, **options: str) -> str:
     path = shared_path(spark, "fastq")
     rows = qualities(spark, sf_dir).select(F.concat(F.lit("read"), F.col("doc_id")).alias("name"), F.translate("qual", *_LETTERS).alias("seq"), "qual")
-    fastx.write_fastx(rows, path, always_fastq=True, compression="gzip")
-    return fastx.read_fastx(spark, path).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
+    fastx.write_fastx(rows, path, always_fastq=True, **options)
+    return path
+
+
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastx.read_fastx(spark, _fastq(spark, sf_dir, compression="gzip")).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
+
+
+def fastq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastx.read_fastq(spark, _fastq(spark, sf_dir)).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
 
 
 _QUOTED = [x.replace("'", "''") for x in _LETTERS]
@@ -442,7 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
         "degenerate": degenerate, "translations": translations, "codon_tables": codon_tables, "quality_strings": quality_strings, "quality_scales": quality_scales, "byte_histogram": byte_histogram, "kmer_counts": kmer_counts, "kmer_codes": kmer_codes, "nthash": nthash,
         "nthash_native": nthash_native, "scaled_minhash": scaled_minhash, "minimizers": minimizers, "syncmers": syncmers, "simhash": simhash, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers, "tax_resolve": tax_resolve, "tax_lineage": tax_lineage,
-        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
+        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
     }
 
 
@@ -451,6 +459,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
         "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
-        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }

@@ -1,9 +1,9 @@
 """FASTA and FASTQ files as DataFrames, and back.
 
 FASTA is read through the text source with a record separator, so large files are split among tasks and everything is
-an expression. FASTQ records can't be found from the middle of a file (a quality may begin with @ or +): a file is one
-task's work, streamed line by line from its file system, so files of any size are read. Compressed files are read by their
-endings.
+an expression. read_fastx reads FASTQ of any form: records that are wrapped can't be found from the middle of a file, so a file
+is one task's work, streamed line by line from its file system. read_fastq splits files of four lines a record among tasks.
+Compressed files are read by their endings.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +197,79 @@ def read_fastx(spark: SparkSession, path: str | list[str], id_regexp: str | None
     return _finished(rows, alphabet, validate, F.col("qual").isNotNull())
 
 
+def _records_of_lines(lines: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Names, sequences and qualities of lines, four to a record."""
+    if len(lines) % 4:
+        raise ValueError("a record is cut off, or its sequence is wrapped: use read_fastx")
+    for head, seq, plus, qual in zip(lines[0::4], lines[1::4], lines[2::4], lines[3::4], strict=True):
+        if not head.startswith("@") or not plus.startswith("+"):
+            raise ValueError("no FASTQ record of four lines: use read_fastx")
+        if len(seq) != len(qual):
+            raise ValueError(f"sequence and quality of {head[1:]!r} differ in length")
+    return [x[1:] for x in lines[0::4]], lines[1::4], lines[3::4]
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None = None, alphabet: str | None = None, validate: bool = False) -> DataFrame:
+    """As read_fasta, for FASTQ files of four lines a record, which are split among tasks at any line, whatever their size.
+
+    In a split the first record begins at the first line with '@' two lines before one with '+': no quality does, as no sequence
+    begins with '+'. The lines before it, and those of a last record that is cut off, are put together by file: a few for each
+    split. Wrapped or other files are an error; so is a blank line but at a file's end.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr"), "value")
+    kind = "path string, block long, nr long, line string, name string, seq string, qual string"
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    def rows(path_: str, block: int, numbered: list[tuple[int, str]], records: list[str]) -> pa.RecordBatch:
+        """Left lines, each in a row, and records."""
+        n, (a, b, c) = len(numbered), _records_of_lines(records)
+        m = len(a)
+        columns = [[path_] * (n + m), [block] * (n + m), [x for x, _ in numbered] + [0] * m, [x for _, x in numbered] + [None] * m, [None] * n + a, [None] * n + b, [None] * n + c]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if name in ("block", "nr") else pa.string()) for x, name in zip(columns, names, strict=True)], names=names)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, begun = None, [], False
+        for batch in batches:
+            paths, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lines = list(zip(batch.column(2).to_pylist(), [x.rstrip("\r") for x in batch.column(3).to_pylist()], strict=True))
+            bounds = [0, *(i for i in range(1, len(lines)) if (paths[i], blocks[i]) != (paths[i - 1], blocks[i - 1])), len(lines)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if b > a and (paths[a], blocks[a]) != here:
+                    if here:
+                        yield rows(*here, held, [])
+                    here, held, begun = (paths[a], blocks[a]), [], blocks[a] == 0
+                held += lines[a:b]
+                if not begun:
+                    first = next((i for i in range(len(held) - 2) if held[i][1].startswith("@") and held[i + 2][1].startswith("+")), None)
+                    if first is None:
+                        continue
+                    yield rows(*here, held[:first], [])
+                    held, begun = held[first:], True
+                whole = len(held) // 4 * 4
+                while whole and not any(x for _, x in held[whole - 4 : whole]):  # blank lines at the end
+                    whole -= 4
+                yield rows(*here, [], [x for _, x in held[:whole]])
+                held = held[whole:]
+        if here:
+            yield rows(*here, held, [])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = list(pdf.sort_values(["block", "nr"]).line)
+        while lines and not lines[-1]:
+            lines.pop()
+        if len(lines) % 4 == 3 and lines[-1].startswith("+"):
+            lines.append("")  # an empty record at the end
+        a, b, c = _records_of_lines(lines)
+        return pd.DataFrame({"path": pdf.path.iloc[0], "name": a, "seq": b, "qual": c})
+
+    found = raw.mapInArrow(parsed, kind)
+    whole = found.where("name IS NOT NULL").select("path", "name", "seq", "qual")
+    cut = found.where("line IS NOT NULL").select("path", "block", "nr", "line").groupBy("path").applyInPandas(together, "path string, name string, seq string, qual string")
+    both = whole.unionByName(cut)
+    both = both.select("path", head_id(F.col("name"), id_regexp).alias("id"), "name", head_desc(F.col("name"), id_regexp).alias("desc"), "seq", "qual")
+    return _finished(both, alphabet, validate, True)
+
+
 def wrapped(seq: Column, width: int) -> Column:
     """The text with a line end after every width letters, but none at its end; below 1: as it is."""
     return seq if width < 1 else F.regexp_replace(seq, f"(.{{{width}}})(?!$)", "$1\n")

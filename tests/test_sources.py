@@ -37,6 +37,26 @@ def test_fastq_and_compression(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 4
 
 
+def test_fastq_that_is_split(spark, tmp_path):
+    """Splits of 300 bytes among records of 10 to 700, with qualities that begin like other lines."""
+    records = [(f"r{i} d", "ACGT"[i % 4] * (1 + i * 7 % 340), "@+>I"[i % 4] + "@+!I"[i % 3] * (i * 7 % 340)) for i in range(200)]
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in records)
+    path = write(tmp_path / "a.fq", text + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = fastx.read_fastq(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.name, r.seq, r.qual) for r in rows) == sorted(records)
+    assert {(r.id, r.desc, r.is_fastq) for r in rows} == {(n.split()[0], "d", True) for n, _, _ in records}
+    two = [write(tmp_path / "b.fq", "@x\r\nAC\r\n+\r\nII\r\n"), write(tmp_path / "c.fq.gz", gzip.compress(b"@y\nA\n+y\n@"))]
+    assert sorted((r.name, r.seq, r.qual) for r in fastx.read_fastq(spark, two).collect()) == [("x", "AC", "II"), ("y", "A", "@")]
+    for bad, error in (("@r\nAC\n+\nI\n", "differ"), ("@r\nAC\nGT\n+\nII\nII\n", "read_fastx"), (">r\nAC\n", "read_fastx")):
+        with pytest.raises(Exception, match=error):
+            fastx.read_fastq(spark, write(tmp_path / "bad.fq", bad)).collect()
+
+
 def test_odd_files(spark, tmp_path):
     assert fastx.read_fastx(spark, write(tmp_path / "empty.fx", "")).count() == 0
     assert fastx.read_fastx(spark, write(tmp_path / "blank.fx", "\n")).count() == 0
