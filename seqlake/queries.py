@@ -296,6 +296,40 @@ def protein_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "protein_minimizers", k=10, w=5).drop("seq")
 
 
+def _protein_hash_sql() -> str:
+    """Common tables up to x: doc_id, i, h, n, the xxHash64 (seed 1) of all runs of 10 letters of the translation in frame 1.
+
+    Of 10 bytes the first eight are one word, and the other two are read one by one; products are taken modulo 2**64.
+    """
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    whole = f"{1 << 64}::UHUGEINT"
+    times = lambda x, c: f"(({x})::UHUGEINT * {c}::UHUGEINT % {whole})"
+    turned = lambda x, n: f"(({x})::UHUGEINT * {1 << n}::UHUGEINT % {whole} + ({x})::UHUGEINT // {1 << (64 - n)}::UHUGEINT)"
+    both = lambda x, y: f"xor(({x})::UBIGINT, ({y})::UBIGINT)"
+    byte = lambda j: f"ascii(substr(p, (i + {j + 1})::INT, 1))::UBIGINT"
+    word = " + ".join(f"{byte(j)} * {1 << 8 * j}::UHUGEINT" for j in range(8))
+    steps = [
+        ("a", times(turned(times(word, p2), 31), p1)),
+        ("b", f"({times(turned(both('a', (1 + p5 + 10) % (1 << 64)), 27), p1)} + {p4}::UHUGEINT) % {whole}"),
+        ("c", times(turned(both("b", times(byte(8), p5)), 11), p1)),
+        ("d", times(turned(both("c", times(byte(9), p5)), 11), p1)),
+        ("e", times(both("d", f"({'d'})::UHUGEINT // {1 << 33}::UHUGEINT"), p2)),
+        ("f", times(both("e", f"({'e'})::UHUGEINT // {1 << 29}::UHUGEINT"), p3)),
+        ("g", both("f", f"({'f'})::UHUGEINT // {1 << 32}::UHUGEINT")),
+    ]
+    out, last = "", "y"
+    for name, expression in steps:
+        out += f", s{name} AS (SELECT *, {expression} AS {name} FROM {last})"
+        last = f"s{name}"
+    return f"""codes(id, codon, aa) AS (SELECT table_id, codon, aa FROM ({CODON_TABLES}) WHERE table_id = 1), d AS (SELECT doc_id, seq FROM {SEQ} WHERE length(seq) >= 30), {_translated("t", "seq", 1, 1)},
+ y AS (SELECT t.doc_id, aa AS p, length(seq) AS n, unnest(range(0, length(aa) - 9)) AS i FROM t JOIN d USING (doc_id)){out}, x AS (SELECT doc_id, i, g::UBIGINT AS h, n FROM {last})"""
+
+
+PROTEIN_KMERS = f"WITH {_protein_hash_sql()} SELECT doc_id, i::INT AS idx, {_SIGNED.format('h')} AS code FROM x"
+PROTEIN_MINIMIZERS = f"""WITH {_protein_hash_sql()}, w AS (SELECT doc_id, min({{'h': h, 'i': i}}) OVER v AS m, count(*) OVER v AS k FROM x WHERE n >= 34 WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT DISTINCT doc_id, m.i::INT AS idx, {_SIGNED.format('m.h')} AS code FROM w WHERE k = 5"""
+
+
 # taxonomy
 
 _TREE = """nodes AS (SELECT 1::BIGINT AS taxid, 1::BIGINT AS parent, 'no rank' AS rank, '' AS name UNION ALL SELECT r_regionkey + 10, 1, 'region', r_name FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10, 'nation', n_name FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100, 'supplier', s_name FROM supplier),
@@ -459,6 +493,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
         "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
-        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }
