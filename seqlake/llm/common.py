@@ -89,13 +89,14 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
-    source = df.select(F.col(text).alias("__text"), *[f"`{f.name}`" for f in kept])
+    at = next((i for i, f in enumerate(kept) if f.name == text), len(kept))
+    source = df.select(*[f"`{f.name}`" for f in kept], *([F.col(text).alias("__text")] if at == len(kept) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, work = [f.name for f in kept] + [f.name for f in fields], make()
         for batch in batches:
-            for part in sliced(batch, 0):
-                arrays = work([t or "" for t in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *arrays], names=names)
+            for part in sliced(batch, at):
+                arrays = work([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=names)
 
     return source.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept], *fields]))
