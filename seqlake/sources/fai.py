@@ -176,7 +176,8 @@ def fetch(regions: DataFrame, index: DataFrame, clean: bool = True) -> DataFrame
                 f.close()
         return pd.Series(out)
 
-    dealt = rows.select(*kept).repartition("path", F.floor(F.col("__from") / F.lit(1 << 20)))
+    # Regions of names that are not there have no path: they are dealt by name.
+    dealt = rows.select(*kept).repartition(F.coalesce("path", "name"), F.floor(F.col("__from") / F.lit(1 << 20)))
     got = dealt.withColumn("seq", read("path", F.coalesce("__from", F.lit(0)), F.coalesce("__to", F.lit(0)), F.coalesce("__ok", F.lit(False))))
     seq = F.when(F.col("__n").isNull(), F.lit(None)).otherwise(F.coalesce("seq", F.lit("")))
     seq = F.translate(seq, "\r\n", "") if clean else seq
