@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import is_local
+from ..session import shared_path
 
 #: Bytes of texts that a Python task works on at a time (one text at least), whatever the size of Spark's batches.
 SLICE = 1 << 19
@@ -23,21 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where none is named one is made and set, on a local master only."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and any executor can read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +34,40 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place (from 1) in an order over the whole table, without one task for all rows: rows are dealt by
+    ranges of the order, numbered in each range, and moved on by the sizes of the ranges before. order names columns (F.col) and must have no ties."""
+    ranges = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    size = ranges.groupBy("__range").agg(F.count("*").alias("__size"))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range: as many as partitions
+    begin = F.broadcast(size.select("__range", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin")))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(name, inside.cast("long")).join(begin, "__range").withColumn(name, F.col(name) + F.col("__begin")).drop("__range", "__begin")
+
+
+#: A key that holds more than one in so many rows is hot: there are fewer of them than this.
+HOT = 1000
+
+
+def matched(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+    """rows with the other columns of groups, which has one row for each key (nulls are a key) and in n how many rows have it.
+
+    Hot keys (fewer than HOT of them, by their shares) are broadcast, and their rows dealt by spread instead of the key, so that
+    no task gets all rows of a key. Rows without a group have nulls.
+    """
+    values = [c for c in groups.columns if c not in (key, n)]
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT > total
+    side = lambda df, a: df.select(F.col(key).alias(f"{a}_key"), F.struct(*values).alias(a))
+    hot, rest = side(groups.where(is_hot), "__hot"), side(groups.where(~is_hot), "__rest").withColumn("__of", F.lit(0))
+    out = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot_key")), "left")
+    cold = F.col("__hot").isNull()
+    out = out.withColumns({"__salt": F.when(cold, 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")), "__own": F.when(cold, F.col(key))})
+    out = out.join(rest, (F.col("__salt") == F.col("__of")) & F.col("__own").eqNullSafe(F.col("__rest_key")), "left")
+    got = F.coalesce("__hot", "__rest")
+    return out.select(*[f"`{c}`" for c in rows.columns], *[got[v].alias(v) for v in values])
+
+
 def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """About so many of df's total rows (all, if there are fewer), by hash of a column: no sort, the same rows each time."""
     if total <= rows:

@@ -1,9 +1,9 @@
-"""DuckDB SQL of the operators that SQL can express: mixing, license scans, fingerprints, and the Jaccard join, whose SQL
-compares all pairs of texts that share a run of words."""
+"""DuckDB SQL of the operators that SQL can express: mixing, license scans, fingerprints, archives, vector codes, resampling,
+and the Jaccard join, whose SQL compares all pairs of texts that share a run of words."""
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, licenses, mixing
+from . import codes, fingerprint, jaccard, licenses, mixing, resample
 
 
 def mixing_sql(seed: int = 1) -> str:
@@ -84,5 +84,49 @@ def jaccard_sql() -> str:
 SELECT d.doc_id, c.class_id, c.n_copies, coalesce(k.n_links, 0)::BIGINT AS n_links, f.group_id, g.group_key FROM documents d JOIN c ON c.t = coalesce(d.text, '') JOIN g USING (key) JOIN f USING (group_key) LEFT JOIN k USING (key)"""
 
 
+def warc_sql() -> str:
+    """SHA-1 in base32: 20 bits at a time are five hex digits and four letters."""
+    bits = "('0x' || substr(h, (5 * g + 1)::INT, 5))::BIGINT"
+    letter = lambda n: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({bits} >> {n}) & 31)::INT + 1, 1)"
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: {' || '.join(map(letter, (15, 10, 5, 0)))}), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""
+
+
+def codes_sql() -> str:
+    """Squared distances as x*x - 2*x*y + y*y: products of doubles that hold whole numbers are exact."""
+    parts, entries = codes.PARTS, codes.ENTRIES
+    near = lambda c: f"""SELECT vec_id, label, p.part, p.v, min({{'d': xx - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v), 'e': c.e}}) AS m FROM p JOIN {c} c ON c.part = p.part GROUP BY vec_id, label, p.part, p.v"""
+    steps = ""
+    for r in range(1, codes.ROUNDS + 1):
+        steps += f""", a{r} AS MATERIALIZED ({near(f"c{r - 1}")}),
+ u{r} AS (SELECT part, e, list(x ORDER BY i) AS v FROM (SELECT part, e, i, floor(sum(x) / count(*)) AS x FROM (SELECT part, m.e AS e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r}) GROUP BY part, e, i) GROUP BY part, e),
+ c{r} AS MATERIALIZED (SELECT c.part, c.e, coalesce(u.v, c.v) AS v FROM c{r - 1} c LEFT JOIN u{r} u ON u.part = c.part AND u.e = c.e)"""
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT *, list_inner_product(v, v) AS xx FROM (SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM (SELECT *, unnest(range({parts})) AS part FROM k))),
+ c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries}){steps},
+ z AS (SELECT vec_id, label, string_agg(lpad(printf('%x', m.e), 2, '0'), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM ({near(f"c{codes.ROUNDS}")}) GROUP BY vec_id, label),
+ h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, e, i)) AS h FROM (SELECT part, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM c{codes.ROUNDS}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM z, h"""
+
+
+def resample_sql() -> str:
+    """CRC-32 byte by byte, by a table that is made of the polynomial; of every different feature once."""
+    upper, buckets = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", resample.BUCKETS
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255)::INT + 1])), 4294967295::BIGINT)"""
+    features = lambda t: f"""SELECT {t}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM {'d' if t == 'doc_id' else 'b'}"""
+    cut = lambda key, t: f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {t}"
+    return f"""WITH y AS (SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM (SELECT unnest(range(0, 256)) AS n)),
+ d AS MATERIALIZED ({cut('doc_id', 'documents')}), b AS ({cut('item_id', 'benchmark')}), df AS MATERIALIZED ({features('doc_id')}), bf AS MATERIALIZED ({features('item_id')}),
+ h AS MATERIALIZED (SELECT f, {crc} % {buckets} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), y),
+ s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket), n AS (SELECT (SELECT count(*) FROM df) AS ss, (SELECT count(*) FROM bf) AS tt),
+ g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + {buckets}) / ((s + 1)::DOUBLE * (tt + {buckets}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+ w AS (SELECT doc_id, count(*) AS n, sum(gain) AS gain FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+ x AS (SELECT d.doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(gain / n), 0)::BIGINT AS weight, ('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+ z AS (SELECT doc_id, words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE words >= {resample.LEAST_WORDS})
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= {resample.PERCENT} * r.n // 100 THEN rank END::BIGINT AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": jaccard_sql(), "op2_mixing": mixing_sql(), "op3_licenses": licenses_sql(), "op5_fingerprint": fingerprint_sql()}
+    return {"op1_jaccard": jaccard_sql(), "op2_mixing": mixing_sql(), "op3_licenses": licenses_sql(), "op5_fingerprint": fingerprint_sql(), "op11_warc": warc_sql(), "op12_vector_codes": codes_sql(), "op13_resample": resample_sql()}

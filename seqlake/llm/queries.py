@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .codes import op12_vector_codes
 from .fingerprint import op5_fingerprint
 from .jaccard import op1_jaccard
 from .language import op8_language
@@ -16,7 +17,9 @@ from .mixing import op2_mixing
 from .neighbours import op10_neighbours
 from .pieces import op7_sentencepiece
 from .quality import op6_quality
+from .resample import op13_resample
 from .toxicity import op9_toxicity
+from .warc import op11_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_neighbours": op10_neighbours,
+        "op11_warc": op11_warc,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_resample": op13_resample,
     }
 
 
