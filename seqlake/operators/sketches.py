@@ -1,22 +1,26 @@
 """K-mer codes, ntHash, SimHash, minimizers, closed syncmers and protein k-mers.
 
-Each sketch is a table function: rows in, (row, idx, code) out. The kernels work on a whole sequence at once in numpy,
-inside Arrow batches; 2-bit codes and ntHash also have a form in plain expressions. Codes are unsigned 64-bit patterns
-in a BIGINT column; compare them as such with unsigned().
+Each sketch is a table function: rows in, (row, idx, code) out. Sequences are cut into pieces that overlap by as much as a
+code looks ahead and back, so a sequence of any length takes the memory of a piece, and its pieces may go to many tasks;
+each piece gives the codes of its own places only. The kernels work on many pieces at once in numpy: short reads are
+laid end to end, and what reaches over an end is left out. 2-bit codes and ntHash also have a form in plain expressions.
+Codes are unsigned 64-bit patterns in a BIGINT column; compare them as such with unsigned().
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codons import codon_table, translated
-from ..functions.sequence import IUPAC
+from ..functions.sequence import IUPAC, let
 
 # ntHash seeds of A, C, G, T (published); every other letter has the seed 0.
 SEEDS = {"A": 0x3C8BFBB395C60474, "C": 0x3193C18562A02B4C, "G": 0x20323ED082572324, "T": 0x295549F54BE24456}
@@ -31,9 +35,8 @@ _PAIR_SEED = np.zeros(256, np.uint64)
 for _b, _p in ("AT", "CG", "GC", "TA", "UA"):
     for _c in (_b, _b.lower()):
         _SEED[ord(_c)], _PAIR_SEED[ord(_c)] = SEEDS[_b.replace("U", "T")], SEEDS[_p]
-EMPTY = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-#: K-mers whose bits are counted at a time.
-BLOCK = 1 << 14
+#: K-mers whose bits are counted at a time, places of a piece, and letters that are worked on at a time.
+BLOCK, PIECE, LETTERS = 1 << 14, 1 << 20, 1 << 21
 Codes = tuple[np.ndarray, np.ndarray]
 
 
@@ -42,116 +45,223 @@ def unsigned(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _bytes(seq: str, k: int, circular: bool) -> np.ndarray:
-    s = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
-    return np.concatenate([s, s[: k - 1]]) if circular else s
-
-
 def _rotated(x: np.ndarray, n: int) -> np.ndarray:
     n %= 64
     return x if not n else (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
 
-def kmer_codes(seq: str, k: int, canonical: bool = True, circular: bool = False) -> Codes:
-    """2-bit codes. canonical: the smaller of a k-mer's and its reverse complement's; else all k-mers of the forward
-    strand, then all of the reverse one, each numbered from 0. Letters that are no base are an error."""
-    if not 1 <= k <= 32:
-        raise ValueError("k must be from 1 to 32")
-    if len(seq) < k:
-        raise ValueError("sequence shorter than k")
-    b = _CODE[_bytes(seq, k, circular)].astype(np.uint64)
-    if (b > 3).any():
-        raise ValueError("illegal base")
-    n = len(b) - k + 1
-    forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(k):
-        forward = (forward << np.uint64(2)) | b[j : j + n]
-        reverse |= (np.uint64(3) - b[j : j + n]) << np.uint64(2 * j)
-    if canonical:
-        return np.arange(n), np.minimum(forward, reverse)
-    return np.concatenate([np.arange(n)] * 2), np.concatenate([forward, reverse[::-1]])
+@dataclass
+class Pieces:
+    """Pieces laid end to end in an array of letters. at: where each begins there; size: its letters; low: the place in its
+    sequence that its first letter has; begin, end: the places that are its own; places: how many the sequence has."""
 
+    at: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    places: np.ndarray
 
-def nthash(seq: str, k: int, canonical: bool = True, circular: bool = False) -> Codes:
-    """ntHash of every k-mer: the xor of rotated seeds; canonical: the smaller of both strands'."""
-    if k < 1:
-        raise ValueError("k must be 1 or more")
-    if len(seq) < k:
-        raise ValueError("sequence shorter than k")
-    b = _bytes(seq, k, circular)
-    n = len(b) - k + 1
-    seed, pair = _SEED[b], _PAIR_SEED[b]
-    forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and place in the array of all own places."""
+        return _ranges(self.at + self.begin - self.low, self.end - self.begin)
+
+    def idx(self, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return place - self.at[piece] + self.low[piece]
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+@dataclass
+class Shape:
+    """What a sketch needs of a sequence.
+
+    least, refused: the shortest sequence it takes, and what is said of shorter ones. less: places are letters less so many.
+    wrap: letters of the front that follow a circular sequence's end. left, reach: places before the first own one, and letters
+    from a place on, that a piece must hold. codes: (piece, idx, code) of letters and pieces. triples, skip, forward: letters are
+    the amino acids of a nucleotide sequence's frame. legal: the letters that are allowed (none: all).
+    """
+
+    least: int
+    refused: str
+    less: int
+    reach: int
+    codes: Callable[[np.ndarray, Pieces], Found]
+    wrap: int = 0
+    left: int = 0
+    triples: bool = False
+    skip: int = 0
+    forward: bool = True
+    table: int = 1
+    legal: str = ""
+
+    def raw(self, low: int, high: int, n: int) -> tuple[int, int]:
+        """The sequence's letters of which the letters from low to high are made; of n, or more if it is circular."""
+        if not self.triples:
+            return low, high
+        low, high = self.skip + 3 * low, self.skip + 3 * high
+        return (low, high) if self.forward else (n - high, n - low)
+
+    def letters(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of raw pieces laid end to end, and their numbers."""
+        if not self.triples:
+            return raw, size
+        if not self.forward:
+            first = np.concatenate([[0], np.cumsum(size)])
+            piece, place = _ranges(first[:-1], size)
+            raw = _PAIR[raw[first[piece + 1] - 1 - (place - first[piece])]]
+        return np.frombuffer(translated([raw.tobytes().decode("latin-1")], _cells(self.table))[0].encode("latin-1"), np.uint8), size // 3
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and value of all members of ranges."""
+    count = np.maximum(count, 0)
+    which = np.repeat(np.arange(len(count)), count)
+    first = np.cumsum(count) - count
+    return which, begin[which] + np.arange(len(which)) - first[which]
+
+
+def _hashes(letters: np.ndarray, k: int, canonical: bool = True) -> np.ndarray:
+    n = max(0, len(letters) - k + 1)
+    seed, pair = _SEED[letters], _PAIR_SEED[letters]
+    forward = np.zeros(n, np.uint64)
     for j in range(k):
         forward ^= _rotated(seed[j : j + n], k - 1 - j)
+    if not canonical:
+        return forward
+    reverse = np.zeros(n, np.uint64)
+    for j in range(k):
         reverse ^= _rotated(pair[j : j + n], j)
-    return np.arange(n), np.minimum(forward, reverse) if canonical else forward
+    return np.minimum(forward, reverse)
 
 
-def simhash(seq: str, k: int, m: int, scale: int = 1, canonical: bool = True, circular: bool = False) -> Codes:
-    """SimHash of every k-mer over its m-mers' ntHashes, of which only the lowest 1/scale and none that is 0 count."""
+def window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """Place of the leftmost smallest value in every window of w, in time and memory that do not depend on w.
+
+    The values are cut into blocks of w. A window is the end of one block and the front of the next one, so its smallest value
+    is the smaller of two running minima: one that comes from its block's end, and one from the next block's front.
+    """
+    n = len(h) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    if w == 1:
+        return np.arange(n)
+    blocks = -(-len(h) // w)
+    padded = np.full(blocks * w, np.iinfo(h.dtype).max, h.dtype)
+    padded[: len(h)] = h
+    rows, at = padded.reshape(blocks, w), np.arange(blocks * w).reshape(blocks, w)
+    front = np.minimum.accumulate(rows, 1)
+    # The place of a running minimum is where it last became less, or from behind, where it was last not exceeded.
+    fell = np.concatenate([np.ones((blocks, 1), bool), front[:, 1:] < front[:, :-1]], 1)
+    front_at = np.maximum.accumulate(np.where(fell, at, 0), 1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1]
+    held = np.concatenate([rows[:, :-1] <= back[:, 1:], np.ones((blocks, 1), bool)], 1)
+    back_at = np.minimum.accumulate(np.where(held, at, blocks * w)[:, ::-1], 1)[:, ::-1].ravel()
+    return np.where(back.ravel()[:n] <= front.ravel()[w - 1 : w - 1 + n], back_at[:n], front_at[w - 1 : w - 1 + n])
+
+
+def _kmers(k: int, canonical: bool = True, circular: bool = False) -> Shape:
+    if not 1 <= k <= 32:
+        raise ValueError("k must be from 1 to 32")
+
+    def codes(letters: np.ndarray, pieces: Pieces) -> Found:
+        b = _CODE[letters]
+        if (b > 3).any():
+            raise ValueError("illegal base")
+        b = b.astype(np.uint64)
+        n = max(0, len(b) - k + 1)
+        forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for j in range(k):
+            forward = (forward << np.uint64(2)) | b[j : j + n]
+            reverse |= (np.uint64(3) - b[j : j + n]) << np.uint64(2 * j)
+        piece, place = pieces.own()
+        idx = pieces.idx(piece, place)
+        if canonical:
+            return piece, idx, np.minimum(forward, reverse)[place]
+        back = slice(None, None, -1)
+        return np.concatenate([piece, piece[back]]), np.concatenate([idx, (pieces.places[piece] - 1 - idx)[back]]), np.concatenate([forward[place], reverse[place][back]])
+
+    legal = "".join(chr(c) for c in range(128) if _CODE[c] < 4)
+    return Shape(k, "sequence shorter than k", k - 1, k, codes, k - 1 if circular else 0, legal=legal)
+
+
+def _nthash(k: int, canonical: bool = True, circular: bool = False) -> Shape:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+
+    def codes(letters: np.ndarray, pieces: Pieces) -> Found:
+        piece, place = pieces.own()
+        return piece, pieces.idx(piece, place), _hashes(letters, k, canonical)[place]
+
+    return Shape(k, "sequence shorter than k", k - 1, k, codes, k - 1 if circular else 0)
+
+
+def _simhash(k: int, m: int, scale: int = 1, canonical: bool = True, circular: bool = False) -> Shape:
     if not 4 <= m <= k < 65535:
         raise ValueError("m must be from 4 to k, and k below 65535")
     if not 1 <= scale <= k - m + 1:
         raise ValueError("scale must be from 1 to k - m + 1")
-    if len(seq) < k:
-        raise ValueError("sequence shorter than k")
-    s = seq + seq[: k - 1] if circular else seq
-    h = nthash(s, m, canonical)[1]
-    kept = h != 0
-    if scale > 1:
-        kept &= h <= np.uint64((1 << 64) // scale - (0 if (1 << 64) % scale else 1))
-    width, n = k - m + 1, len(s) - k + 1
-    out = np.empty(n, np.uint64)
-    for a in range(0, n, BLOCK):  # a row of 64 bits for each m-mer: some at a time
-        b = min(n, a + BLOCK)
-        part = np.where(kept, h, np.uint64(0))[a : b + width - 1]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=ones[1:])
-        total = np.concatenate([[0], np.cumsum(kept[a : b + width - 1])])
-        count = (total[width:] - total[:-width])[:, None]
-        most = (ones[width:] - ones[:-width] >= (count + 1) // 2) & (count > 0)
-        out[a:b] = np.packbits(most, axis=1).view(">u8").ravel()
-    return np.arange(n), out
-
-
-def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the leftmost smallest value in every window of w."""
-    return np.argmin(np.lib.stride_tricks.sliding_window_view(h, w), 1) + np.arange(len(h) - w + 1)
-
 
-def minimizers(seq: str, k: int, w: int, circular: bool = False) -> Codes:
-    """The smallest canonical ntHash (leftmost first) of every window of w k-mers, given when its place changes."""
+    def codes(letters: np.ndarray, pieces: Pieces) -> Found:
+        h = _hashes(letters, m, canonical)
+        kept = h != 0
+        if scale > 1:
+            kept &= h <= np.uint64((1 << 64) // scale - (0 if (1 << 64) % scale else 1))
+        h = np.where(kept, h, np.uint64(0))
+        width, n = k - m + 1, max(0, len(letters) - k + 1)
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, BLOCK):  # a row of 64 bits for each m-mer: some at a time
+            b = min(n, a + BLOCK)
+            part = h[a : b + width - 1]
+            bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.zeros((len(part) + 1, 64), np.int32)
+            np.cumsum(bits, axis=0, dtype=np.int32, out=ones[1:])
+            total = np.concatenate([[0], np.cumsum(kept[a : b + width - 1])])
+            count = (total[width:] - total[:-width])[:, None]
+            most = (ones[width:] - ones[:-width] >= (count + 1) // 2) & (count > 0)
+            out[a:b] = np.packbits(most, axis=1).view(">u8").ravel()
+        piece, place = pieces.own()
+        return piece, pieces.idx(piece, place), out[place]
+
+    return Shape(k, "sequence shorter than k", k - 1, k, codes, k - 1 if circular else 0)
+
+
+def _least_of(h: np.ndarray, w: int, pieces: Pieces) -> Found:
+    """The smallest hash of each own window, where its place is another one than the window's before. A piece holds the window
+    before its first own one, unless that is its sequence's first."""
+    at = window_minima(h, w)
+    piece, place = pieces.own()
+    new = (place == pieces.at[piece]) | (at[place] != at[np.maximum(place - 1, 0)])
+    piece, least = piece[new], at[place[new]]
+    return piece, pieces.idx(piece, least), h[least]
+
+
+def _minimizers(k: int, w: int, circular: bool = False) -> Shape:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     if not 1 <= w < 1 << 31:
         raise ValueError("w must be 1 or more")
-    if len(seq) < k + w - 1:
-        raise ValueError("sequence too short")
-    h = nthash(seq, k, True, circular)[1]
-    at = _window_minima(h, w)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, h[at]
+    return Shape(k + w - 1, "sequence too short", k + w - 2, k + w - 1, lambda letters, pieces: _least_of(_hashes(letters, k), w, pieces), k - 1 if circular else 0, left=1)
 
 
-def syncmers(seq: str, k: int, s: int, circular: bool = False) -> Codes:
-    """Closed syncmers: of every window of 2(k-s) s-mers, the k-mer that has the smallest s-mer at its start (if it lies in
-    the first half) or at its end. Every k-mer is given once, with its canonical ntHash."""
+def _syncmers(k: int, s: int, circular: bool = False) -> Shape:
     if not 1 <= s <= k:
         raise ValueError("s must be from 1 to k")
-    if len(seq) < 2 * k - s - 1:
-        raise ValueError("sequence too short")
-    at, h = nthash(seq, k, True, circular)
-    if s == k:
-        return at, h
-    small = nthash(seq + seq[: k - 1] if circular else seq, s)[1]
     half = k - s
-    if len(small) < 2 * half:
-        return EMPTY
-    least = _window_minima(small, 2 * half)
-    begin = np.arange(len(least))
-    start = np.unique(np.where(least < begin + half, least, least - half))
-    start = start[start < len(h)]
-    return start, h[start]
+
+    def codes(letters: np.ndarray, pieces: Pieces) -> Found:
+        h, (piece, place) = _hashes(letters, k), pieces.own()
+        if half:
+            least = window_minima(_hashes(letters, s), 2 * half)
+            _, begin = _ranges(pieces.at, pieces.size - s + 2 - 2 * half)
+            at = least[begin]
+            marked = np.zeros(len(letters) + 1, bool)
+            marked[np.where(at < begin + half, at, at - half)] = True
+            piece, place = piece[marked[place]], place[marked[place]]
+        return piece, pieces.idx(piece, place), h[place]
+
+    return Shape(2 * k - s - 1 if half else k, "sequence too short", k - 1, max(k, 2 * half - 1 + s), codes, k - 1 if circular else 0, left=max(0, half - 1))
 
 
 @lru_cache
@@ -159,12 +269,9 @@ def _cells(table: int) -> str:
     return codon_table(table).cells()
 
 
-def protein(seq: str, table: int = 1, frame: int = 1) -> str:
-    """Translation of a nucleotide sequence; unknown codons are X."""
-    strand = seq.upper().replace("U", "T")
-    if frame < 0:
-        strand = strand.translate(str.maketrans("ACGTRYSWKMBDHV", "TGCAYRSWMKVHDB"))[::-1]
-    return translated([strand], _cells(table), skipped=abs(frame) - 1)[0]
+_PAIR = np.arange(256, dtype=np.uint8)
+for _b, _p in zip("ACGTURYSWKMBDHV", "TGCAAYRSWMKVHDB", strict=True):
+    _PAIR[[ord(_b), ord(_b.lower())]] = ord(_p)
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -209,60 +316,158 @@ def xxhash64_windows(data: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def protein_kmers(seq: str, k: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
-    """xxHash64 (seed 1) of every k-mer of the translation (or of a protein sequence itself)."""
+def _protein_hashes(letters: np.ndarray, k: int) -> np.ndarray:
+    return xxhash64_windows(letters, k) if len(letters) >= k else np.zeros(0, np.uint64)
+
+
+def _framed(table: int, frame: int, is_protein: bool) -> dict[str, int | bool]:
+    if frame not in (1, 2, 3, -1, -2, -3):
+        raise ValueError(f"no frame {frame}")
+    return {} if is_protein else {"triples": True, "skip": abs(frame) - 1, "forward": frame > 0, "table": table}
+
+
+def _protein_kmers(k: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Shape:
     if k < 1:
         raise ValueError("k must be 1 or more")
-    if len(seq) < 3 * k:
-        raise ValueError("sequence shorter than 3 k")
-    p = seq if is_protein else protein(seq, table, frame)
-    n = max(0, len(p) - k + 1)
-    return np.arange(n), xxhash64_windows(np.frombuffer(p.encode("latin-1", "replace"), np.uint8), k) if n else EMPTY[1]
 
+    def codes(letters: np.ndarray, pieces: Pieces) -> Found:
+        piece, place = pieces.own()
+        return piece, pieces.idx(piece, place), _protein_hashes(letters, k)[place]
 
-def protein_minimizers(seq: str, k: int, w: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
-    """Minimizers over protein k-mers."""
+    return Shape(3 * k, "sequence shorter than 3 k", k - 1, k, codes, **_framed(table, frame, is_protein))
+
+
+def _protein_minimizers(k: int, w: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Shape:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     if w < 1:
         raise ValueError("w must be 1 or more")
-    if len(seq) < 3 * k + w - 1:
-        raise ValueError("sequence too short")
-    h = protein_kmers(seq, k, table, frame, is_protein)[1]
-    if len(h) < w:
-        return EMPTY
-    at = _window_minima(h, w)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, h[at]
-
-
-SKETCHES: dict[str, Callable[..., Codes]] = {
-    "kmers": kmer_codes, "nthash": nthash, "simhash": simhash, "minimizers": minimizers, "syncmers": syncmers, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers,
+    return Shape(3 * k + w - 1, "sequence too short", k + w - 2, k + w - 1, lambda letters, pieces: _least_of(_protein_hashes(letters, k), w, pieces), left=1, **_framed(table, frame, is_protein))
+
+
+SKETCHES: dict[str, Callable[..., Shape]] = {
+    "kmers": _kmers, "nthash": _nthash, "simhash": _simhash, "minimizers": _minimizers, "syncmers": _syncmers, "protein_kmers": _protein_kmers, "protein_minimizers": _protein_minimizers,
 }
 
 
-def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True, **parameters: int | bool) -> DataFrame:
-    """df's rows, once for each code of their sequence, with the columns idx (0-based) and code.
+def codes_of(seq: str, shape: Shape, size: int = PIECE) -> Codes:
+    """idx and code of one sequence, in pieces of size places. A sequence that is too short or holds an illegal base is an error."""
+    n = len(seq)
+    if n < shape.least:
+        raise ValueError(shape.refused)
+    data = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+    total = (n - shape.skip) // 3 if shape.triples else n + shape.wrap
+    places, out = total - shape.less, []
+    for begin in range(0, places, size):
+        end, low = min(begin + size, places), max(0, begin - shape.left)
+        a, b = shape.raw(low, min(end - 1 + shape.reach, total), n)
+        raw = np.concatenate([data[a:b], data[: b - n]]) if b > n else data[a:b]
+        letters, sizes = shape.letters(raw, np.array([len(raw)]))
+        out.append(shape.codes(letters, Pieces(np.zeros(1, np.int64), sizes, *(np.array([x]) for x in (low, begin, end, places))))[1:])
+    idx, code = zip(*out, strict=True) if out else ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)])
+    return np.concatenate(idx), np.concatenate(code)
+
+
+def kmer_codes(seq: str, k: int, canonical: bool = True, circular: bool = False) -> Codes:
+    """2-bit codes. canonical: the smaller of a k-mer's and its reverse complement's; else all k-mers of the forward
+    strand, then all of the reverse one, each numbered from 0. Letters that are no base are an error."""
+    return codes_of(seq, _kmers(k, canonical, circular), PIECE if canonical else max(1, len(seq)))
+
+
+def nthash(seq: str, k: int, canonical: bool = True, circular: bool = False) -> Codes:
+    """ntHash of every k-mer: the xor of rotated seeds; canonical: the smaller of both strands'."""
+    return codes_of(seq, _nthash(k, canonical, circular))
+
+
+def simhash(seq: str, k: int, m: int, scale: int = 1, canonical: bool = True, circular: bool = False) -> Codes:
+    """SimHash of every k-mer over its m-mers' ntHashes, of which only the lowest 1/scale and none that is 0 count."""
+    return codes_of(seq, _simhash(k, m, scale, canonical, circular))
+
+
+def minimizers(seq: str, k: int, w: int, circular: bool = False) -> Codes:
+    """The smallest canonical ntHash (leftmost first) of every window of w k-mers, given when its place changes."""
+    return codes_of(seq, _minimizers(k, w, circular))
+
+
+def syncmers(seq: str, k: int, s: int, circular: bool = False) -> Codes:
+    """Closed syncmers: of every window of 2(k-s) s-mers, the k-mer that has the smallest s-mer at its start (if it lies in
+    the first half) or at its end. Every k-mer is given once, with its canonical ntHash."""
+    return codes_of(seq, _syncmers(k, s, circular))
+
+
+def protein_kmers(seq: str, k: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
+    """xxHash64 (seed 1) of every k-mer of the translation (or of a protein sequence itself); unknown codons are X."""
+    return codes_of(seq, _protein_kmers(k, table, frame, is_protein))
+
+
+def protein_minimizers(seq: str, k: int, w: int, table: int = 1, frame: int = 1, is_protein: bool = False) -> Codes:
+    """Minimizers over protein k-mers."""
+    return codes_of(seq, _protein_minimizers(k, w, table, frame, is_protein))
+
+
+def pieces_of(df: DataFrame, shape: Shape, seq: str, skip_short: bool, size: int) -> DataFrame:
+    """df without seq, a row for each piece of its sequences, and __piece: low, begin, end, places and the piece's letters."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != seq]
+    text = F.col(f"`{seq}`")
+    # One byte a letter; whatever else is no letter of any alphabet.
+    text = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "?"))
+    n = F.length("__seq")
+    rows = df.select(*kept, text.alias("__seq"))
+    if skip_short:
+        rows = rows.where(n >= shape.least)
+        if shape.legal:
+            rows = rows.where(F.translate("__seq", shape.legal, "") == "")
+    else:
+        rows = rows.withColumn("__seq", F.when(n < shape.least, F.raise_error(F.lit(shape.refused)).cast("string")).otherwise(F.col("__seq")))
+    n = n.cast("long")
+    total = F.floor((n - shape.skip) / 3) if shape.triples else n + shape.wrap
+    places = total - shape.less
+
+    def cut(data: Column) -> Column:
+        def piece(begin: Column) -> Column:
+            end, low = F.least(begin + size, places), F.greatest(begin - shape.left, F.lit(0))
+            a, b = shape.raw(low, F.least(end - 1 + shape.reach, total), n)
+            sub = lambda at, count: F.substr(data, (at + 1).cast("int"), count.cast("int"))
+            raw = F.when(b > n, F.concat(sub(a, n - a), sub(F.lit(0), b - n))).otherwise(sub(a, b - a)) if shape.wrap else sub(a, b - a)
+            return F.struct(low.alias("low"), begin.alias("begin"), end.alias("end"), places.alias("places"), raw.alias("raw"))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), places - 1, F.lit(size).cast("long")), piece)
+
+    names = [F.col(f"`{c}`") for c in df.columns if c != seq]
+    return rows.where(F.col("__seq").isNotNull() & (places > 0)).select(*names, F.explode(let(F.col("__seq").cast("binary"), cut)).alias("__piece"))
+
+
+def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True, size: int = PIECE, tasks: int = 0, **parameters: int | bool) -> DataFrame:
+    """df's rows without the sequence, once for each code of it, with the columns idx (0-based) and code.
 
     Null sequences give no rows. A sequence that the sketch can't take (too short, an illegal base) gives none either, or
-    is an error if skip_short is false.
+    is an error if skip_short is false. Sequences are worked on in pieces of size places; with tasks, pieces are dealt to so
+    many tasks, so that a long sequence is not one task's work. Pieces are of the same bytes however they are dealt.
     """
-    make = SKETCHES[kind]
-
-    @F.pandas_udf("idx array<int>, code array<bigint>")
-    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    shape = SKETCHES[kind](**parameters)
+    size = max(size, shape.reach + shape.left)  # a piece holds more of its own than of its neighbours
+    pieces = pieces_of(df, shape, seq, skip_short, size)
+    pieces = pieces.repartition(tasks) if tasks else pieces
+    kept = pieces.schema.fields[:-1]
+    names = [f"c{i}" for i in range(len(kept))]
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, values = [], []
-            for s in batch:
-                try:
-                    at, h = make(s, **parameters) if s is not None else EMPTY
-                except ValueError:
-                    if not skip_short:
-                        raise
-                    at, h = EMPTY
-                places.append(at.astype(np.int32))
-                values.append(h.view(np.int64))
-            yield pd.DataFrame({"idx": places, "code": values})
-
-    return df.withColumn("__codes", codes(F.col(seq))).select(*df.columns, F.inline(F.arrays_zip("__codes.idx", "__codes.code")))
+            low, begin, end, places, raw = (batch.column(len(kept)).field(i) for i in range(5))
+            sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1])
+            upto, numbers = np.cumsum(sizes), [x.to_numpy() for x in (low, begin, end, places)]
+            a = 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LETTERS, "right")))
+                joined = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.uint8)
+                letters, count = shape.letters(joined, sizes[a:b].astype(np.int64))
+                piece, idx, code = shape.codes(letters, Pieces(np.cumsum(count) - count, count, *(x[a:b] for x in numbers)))
+                rows = batch.slice(a, b - a).take(pa.array(piece)) if kept else None
+                yield pa.RecordBatch.from_arrays([*(rows.columns[: len(kept)] if kept else []), pa.array(idx.astype(np.int32)), pa.array(code.view(np.int64))], names=[*names, "idx", "code"])
+                a = b
+
+    made = pieces.toDF(*names, "__piece").mapInArrow(codes, T.StructType([*[T.StructField(c, f.dataType, True) for c, f in zip(names, kept, strict=True)], T.StructField("idx", T.IntegerType()), T.StructField("code", T.LongType())]))
+    return made.toDF(*[f.name for f in kept], "idx", "code")
 
 
 def scaled_minhash(df: DataFrame, k: int, scale: int, seq: str = "seq") -> DataFrame:

@@ -13,7 +13,7 @@ from .operators import sketches, stats
 from .plans.derived import qualities, sequences, table
 from .plans.derived import taxonomy as tree
 from .session import shared_path
-from .sources import fai, fastx, features
+from .sources import blocks, fai, fastx, features, speculative
 
 SEQ = "(SELECT doc_id, source, lang, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS seq FROM documents)"
 QUAL = "(SELECT doc_id, lang, regexp_replace(text, '[^!-~]', '', 'g') AS qual FROM documents)"
@@ -452,6 +452,27 @@ def fastq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastx.read_fastq(spark, _fastq(spark, sf_dir)).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
 
 
+#: Bytes of a split of the files below.
+SPLIT = 1 << 18
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of FASTQ records whose sequences and qualities are wrapped at widths of their own; any sign may begin a line."""
+    seq, qual = fastx.wrapped(F.translate("qual", *_LETTERS), 60), fastx.wrapped(F.col("qual"), 53)
+    return qualities(spark, sf_dir).select(F.concat(F.lit("@read"), F.col("doc_id"), F.lit("\n"), seq, F.lit("\n+\n"), qual).alias("value"))
+
+
+def fastq_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "fastq")
+    _wrapped(spark, sf_dir).write.text(path)
+    return speculative.read_split(spark, path, size=SPLIT).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
+
+
+def fastq_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [r.path for r in blocks.write_blocked(_wrapped(spark, sf_dir), shared_path(spark, "fastq")).collect()]  # a file for each task
+    return speculative.read_split(spark, files, size=SPLIT).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
+
+
 _QUOTED = [x.replace("'", "''") for x in _LETTERS]
 FASTQ_ROUND_TRIP = f"SELECT 'read' || doc_id AS id, md5(translate(qual, '{_QUOTED[0]}', '{_QUOTED[1]}')) AS seq_md5, qual, true AS is_fastq FROM {QUAL}"
 #: Documents of a file of the indexed FASTA files.
@@ -484,7 +505,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
         "degenerate": degenerate, "translations": translations, "codon_tables": codon_tables, "quality_strings": quality_strings, "quality_scales": quality_scales, "byte_histogram": byte_histogram, "kmer_counts": kmer_counts, "kmer_codes": kmer_codes, "nthash": nthash,
         "nthash_native": nthash_native, "scaled_minhash": scaled_minhash, "minimizers": minimizers, "syncmers": syncmers, "simhash": simhash, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers, "tax_resolve": tax_resolve, "tax_lineage": tax_lineage,
-        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
+        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fastq_wrapped": fastq_wrapped, "fastq_blocked": fastq_blocked, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
     }
 
 
@@ -493,6 +514,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
         "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
-        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fastq_wrapped": FASTQ_ROUND_TRIP, "fastq_blocked": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }

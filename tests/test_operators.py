@@ -146,3 +146,41 @@ def test_sketches_of_a_table(spark):
     assert {(r.id, r.idx, r.code) for r in sketches.nthash_native(df, "id", 5).collect()} == {(r.id, r.idx, r.code) for r in sketches.sketch(df, "nthash", k=5).collect()}
     low = sketches.scaled_minhash(df, 5, 4)
     assert all(np.uint64(r.code & (2**64 - 1)) <= np.uint64((2**64 - 1) // 4) for r in low.collect())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 70))
+def test_window_minima_are_the_leftmost(values, w):
+    h = np.array(values, np.uint64)
+    want = [min(range(i, i + w), key=lambda j: (values[j], j)) for i in range(len(values) - w + 1)]
+    assert list(sketches.window_minima(h, w)) == want
+
+
+KINDS = [
+    ("kmers", {"k": 5}), ("kmers", {"k": 5, "circular": True}), ("nthash", {"k": 7, "circular": True}), ("nthash", {"k": 7, "canonical": False}), ("simhash", {"k": 12, "m": 5, "scale": 3, "circular": True}), ("minimizers", {"k": 5, "w": 9}),
+    ("minimizers", {"k": 5, "w": 1, "circular": True}), ("syncmers", {"k": 8, "s": 3}), ("syncmers", {"k": 8, "s": 3, "circular": True}), ("syncmers", {"k": 8, "s": 8}), ("protein_kmers", {"k": 3}), ("protein_kmers", {"k": 3, "frame": -2, "table": 2}),
+    ("protein_kmers", {"k": 3, "is_protein": True}), ("protein_minimizers", {"k": 3, "w": 4, "frame": 3}), ("protein_minimizers", {"k": 3, "w": 4, "frame": -1}), ("protein_minimizers", {"k": 3, "w": 4, "is_protein": True}),
+]
+
+
+@pytest.mark.parametrize(("kind", "parameters"), KINDS)
+def test_pieces_give_the_codes_of_the_whole(spark, kind, parameters):
+    rng = random.Random(8)
+    # Runs of one letter give ties across every seam.
+    rows = [(i, "".join(rng.choice("ACGT") * rng.choice([1, 1, 1, 15]) for _ in range(rng.choice([3, 40, 90, 200])))) for i in range(30)] + [(98, "ACGU" * 30), (99, "ACGT" * 9 + "é" + "ACGN" * 9), (100, None), (101, "")]
+    want = set()
+    for i, s in rows:
+        try:
+            at, h = sketches.codes_of(s, sketches.SKETCHES[kind](**parameters), 1 << 40) if s is not None else ([], [])
+        except ValueError:
+            continue
+        want |= {(i, int(a), int(x) - (1 << 64 if int(x) >> 63 else 0)) for a, x in zip(at, h, strict=True)}
+        for size in (7, 64):
+            again = sketches.codes_of(s, sketches.SKETCHES[kind](**parameters), size) if s is not None else ([], [])
+            assert [list(x) for x in again] == [list(at), list(h)]
+    df = spark.createDataFrame([(i, s, "x") for i, s in rows], "id long, `a.seq` string, code string")
+    for size, tasks in ((30, 3), (1 << 20, 0)):
+        got = sketches.sketch(df.withColumnRenamed("code", "other"), kind, "a.seq", size=size, tasks=tasks, **parameters).collect()
+        assert len(got) == len(want) and {(r.id, r.idx, r.code) for r in got} == want
+        assert all(r.other == "x" for r in got)
+    assert sketches.sketch(df.limit(0), kind, "a.seq", **parameters).collect() == []
