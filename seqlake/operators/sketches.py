@@ -462,8 +462,7 @@ def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True,
                 joined = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.uint8)
                 letters, count = shape.letters(joined, sizes[a:b].astype(np.int64))
                 piece, idx, code = shape.codes(letters, Pieces(np.cumsum(count) - count, count, *(x[a:b] for x in numbers)))
-                rows = batch.slice(a, b - a).take(pa.array(piece)) if kept else None
-                yield pa.RecordBatch.from_arrays([*(rows.columns[: len(kept)] if kept else []), pa.array(idx.astype(np.int32)), pa.array(code.view(np.int64))], names=[*names, "idx", "code"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(piece)) for c in batch.columns[: len(kept)]), pa.array(idx.astype(np.int32)), pa.array(code.view(np.int64))], names=[*names, "idx", "code"])
                 a = b
 
     made = pieces.toDF(*names, "__piece").mapInArrow(codes, T.StructType([*[T.StructField(c, f.dataType, True) for c, f in zip(names, kept, strict=True)], T.StructField("idx", T.IntegerType()), T.StructField("code", T.LongType())]))
