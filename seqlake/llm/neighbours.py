@@ -6,13 +6,13 @@ list's vectors in blocks of columns: after each block a hypothesis test on the p
 candidates that can hardly be among the query's nearest. Those that last are scored on the original vectors.
 
 Lists are packed into cells of about the same size, and long lists are cut, so that a query is sent to a cell once,
-whatever number of its lists it visits. Of equal vectors only the k + 1 smallest ids can be among any query's k nearest
-(ties go to the smaller id), so no more of them are filed.
+whatever number of its lists it visits. Rows that repeat are filed once, with their number; of equal vectors only the
+k + 1 smallest ids can be among any query's k nearest (ties go to the smaller id), so no more of them are filed. All
+lengths and all sizes go the same way; each length has its own rotation, centroids and cells.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,17 +29,19 @@ SAMPLE, MOST_LISTS = 20_000, 4096
 DENSITY, PROBED, LEAST_PROBED = 2.0, 0.42, 8
 #: Columns of a block, and the test's width: larger gives up fewer candidates.
 BLOCK, WIDTH = 16, 2.1
-#: Vectors (of 64 components; of more fewer) and queries of one group of work, about. Lengths with fewer vectors than that are
-#: searched without lists.
+#: Vectors (of 64 components; of more fewer) and queries of one group of work, about.
 GROUP = 16_384
 #: Stands for a null id, so that pandas makes no floats of the others.
 NO_ID = (1 << 63) - 1
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(id, dims, v) of the vectors that take part: not null or empty, all components finite, not all zero. v: the components'
-    bytes, as 32-bit floats where the column holds such, else as 64-bit ones."""
-    single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)
+def is_single(df: DataFrame, embedding: str) -> bool:
+    return isinstance(df.schema[embedding].dataType.elementType, T.FloatType)
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str, single: bool) -> DataFrame:
+    """(id, dims, v, rows) of the vectors that take part: not null or empty, all components finite, not all zero. v: the components'
+    bytes, as 32-bit floats if single, else as 64-bit ones. rows: how many rows hold that id and vector."""
     kind = np.float32 if single else np.float64
     v = F.col(embedding) if single else F.transform(F.col(embedding), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -49,7 +51,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf.id, "dims": [len(x) for x in pdf.v], "v": [(np.asarray(x, kind) + kind(0)).tobytes() for x in pdf.v]})
 
-    return rows.mapInPandas(coded, "id long, dims int, v binary").withColumn("single", F.lit(single))
+    return rows.mapInPandas(coded, "id long, dims int, v binary").groupBy("id", "dims", "v").agg(F.count("*").alias("rows"))
 
 
 def matrix(v: Iterable[bytes], single: bool) -> np.ndarray:
@@ -81,8 +83,9 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3) ->
     return c
 
 
-def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, width: float = WIDTH, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) of places that last through all blocks of columns.
+def scanned(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, width: float = WIDTH, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) of places that last through all blocks of columns. own: of each query the place of the vector that
+    is no candidate of it; -1 if there is none.
 
     Both sides are rotated and of length 1. A query's bound is the distance of its k-th nearest among a first few
     vectors, scanned whole, or what earlier lists have left in limits, if that is less. With d of D columns read, a
@@ -92,7 +95,7 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     n, dims = vectors.shape
     first = min(n, max(4 * k, 64))
     exact = 2 - 2 * (queries @ vectors[:first].T)
-    exact[query_ids[:, None] == ids[None, :first]] = np.inf
+    exact[own[:, None] == np.arange(first)[None]] = np.inf
     bound = np.partition(exact, k - 1, axis=1)[:, k - 1].clip(0) if first > k else np.full(len(queries), np.inf)
     if limits is not None:
         bound = np.minimum(bound, limits)
@@ -115,7 +118,7 @@ def scanned(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
         limit = bound[q_at] * ((1 + width / np.sqrt(read)) ** 2 if read < dims else 1) + 1e-6
         stay = far * (dims / read) <= limit
         q_at, v_at, far = q_at[stay], v_at[stay], far[stay]
-    other = query_ids[q_at] != ids[first:][v_at]
+    other = own[q_at] != v_at + first
     return np.concatenate([out[0][0], q_at[other]]), np.concatenate([out[0][1], v_at[other] + first])
 
 
@@ -152,118 +155,135 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
 
 
-def _searched(q: np.ndarray, q_ids: np.ndarray, q_lists: list[np.ndarray], v: np.ndarray, v_ids: np.ndarray, v_list: np.ndarray, turn: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best among the vectors of those lists that it visits. Vectors are original ones."""
+def _searched(q: np.ndarray, q_lists: list[np.ndarray], own: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_list: np.ndarray, v_rows: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best among the vectors of those lists that it visits. Vectors are original ones; own: the
+    place of the vector of which one row is the query's own, or -1; v_rows: rows that hold a vector."""
     found = Best(len(q), k)
     turned_q, turned_v = _unit(q) @ turn, _unit(v) @ turn
+    alone = np.where((own >= 0) & (v_rows[own] == 1), own, -1)
     visitor, visited = np.repeat(np.arange(len(q)), [len(x) for x in q_lists]), np.concatenate(q_lists) if len(q_lists) else np.zeros(0, int)
     for number in np.unique(visited):
         rows, at = np.flatnonzero(v_list == number), visitor[visited == number]
         if not len(rows):
             continue
+        place = np.full(len(v) + 1, -1)  # in the list, and of no vector
+        place[rows] = np.arange(len(rows))
         for part in np.array_split(at, max(1, len(at) * len(rows) // 4_000_000)):
-            a, b = scanned(turned_q[part], q_ids[part], turned_v[rows], v_ids[rows], k, limits=found.limits(part))
+            a, b = scanned(turned_q[part], place[alone[part]], turned_v[rows], k, limits=found.limits(part))
             a, b = part[a], rows[b]
             for some in np.array_split(np.arange(len(a)), max(1, len(a) // 100_000)):
-                found.add(a[some], v_ids[b[some]], cosine(q[a[some]], v[b[some]]))
-    row, place = np.nonzero(np.isfinite(found.score))
-    return pd.DataFrame({"query_id": q_ids[row], "vec_id": found.id[row, place], "score": found.score[row, place]})
+                x, y = a[some], b[some]
+                times = np.minimum(v_rows[y] - (own[x] == y), k)
+                found.add(np.repeat(x, times), np.repeat(v_ids[y], times), np.repeat(cosine(q[x], v[y]), times))
+    row, at = np.nonzero(np.isfinite(found.score))
+    return row, found.id[row, at], found.score[row, at]
 
 
 def best(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", probed: float = PROBED) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest by cosine, largest first, ties to the smaller id (null last).
 
-    queries and vectors have the columns vec_id and embedding; others do not count. Rows of a query's id are no candidates
-    of it. Vectors that are null, zero, or hold null or non-finite components take no part. A vector's candidates are
-    those of its own length: every length is searched by itself. Rows that repeat an id with another vector are candidates
-    each, rows that repeat both count once; of a query's id the row of the smallest bytes asks. With fewer than k
-    candidates all are returned; empty tables give no rows.
+    queries and vectors have the columns vec_id and embedding; others do not count. A query's candidates are all rows of vectors
+    but its own: where a row of vectors holds the query's id and vector, one such row is left out. Rows that repeat are
+    candidates each, and ask each. Vectors that are null, zero, or hold null or non-finite components take no part. A vector's
+    candidates are those of its own length: every length is searched by itself. With fewer than k candidates all are
+    returned; empty tables give no rows.
     """
-    spark = vectors.sparkSession
+    single = is_single(vectors, embedding) and is_single(queries, embedding)
     few = Window.partitionBy("v", "dims").orderBy("id")
-    base = usable(vectors, vec_id, embedding).withColumn("__n", F.dense_rank().over(few)).where(F.col("__n") <= k + 1).drop("__n")
-    base = written(base.dropDuplicates(["v", "dims", "id"]))
-    asked = written(usable(queries, vec_id, embedding).groupBy("id").agg(F.min_by(F.struct("dims", "v", "single"), "v").alias("r")).select("id", "r.*"))
-    sizes = {r.dims: (r.n, r.single) for r in base.groupBy("dims").agg(F.count("*").alias("n"), F.first("single").alias("single")).where(F.col("n") >= GROUP // 4).collect()}
-    parts = [_in_lists(spark, *(df.where(F.col("dims") == dims) for df in (base, asked)), dims, *sizes[dims], k, probed) for dims in sorted(sizes)]
-    parts.append(_at_once(*(df.where(~F.col("dims").isin(*sizes)) if sizes else df for df in (base, asked)), k))
-    pairs = functools.reduce(DataFrame.unionByName, parts)
+    base = written(usable(vectors, vec_id, embedding, single).withColumn("__n", F.dense_rank().over(few)).where(F.col("__n") <= k + 1).drop("__n"))
+    asked = written(usable(queries, vec_id, embedding, single).withColumn("nr", F.monotonically_increasing_id()))
+    pairs = _in_lists(base, asked, single, k, probed)
     # Each group of work sends k rows for a query at most; the window keeps k before it shuffles, and k after.
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("nr").orderBy(F.col("score").desc(), "vec_id", "copy")
     top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
+    asks = top.withColumn("__ask", F.explode(F.sequence(F.lit(1).cast("long"), "asks")))
+    return asks.select(F.nullif("query_id", F.lit(NO_ID)).alias("query_id"), "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
-PAIRS = "query_id long, vec_id long, score double"
+PAIRS = "nr long, query_id long, asks long, vec_id long, copy int, score double"
 
 
-def _at_once(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """For lengths of few vectors: a task for each length."""
+class Lists:
+    """The lists of one length: rotation, centroids, which cell a list lies in, and the parts of the cells."""
 
-    def scan(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        turn = np.eye(int(v.dims.iloc[0]))
-        return _searched(matrix(q.v, bool(q.single.iloc[0])), q.id.to_numpy(), [np.zeros(1, int)] * len(q), matrix(v.v, bool(v.single.iloc[0])), v.id.to_numpy(), np.zeros(len(v), int), turn, k)
+    def __init__(self, dims: int, n: int, sample: np.ndarray, probed: float):
+        self.group = int(np.clip(GROUP * 64 // dims, min(GROUP, 512), GROUP))
+        self.lists = int(np.clip(round(DENSITY * n**0.5), 1, MOST_LISTS))
+        self.turn = rotation(dims)
+        self.centre = centroids((_unit(sample) @ self.turn).astype(np.float32), self.lists)
+        self.visits = min(self.lists, max(LEAST_PROBED, int(np.ceil(probed * self.lists))))
 
-    return asked.groupBy("dims").cogroup(base.groupBy("dims")).applyInPandas(scan, PAIRS)
+    def near(self, v: np.ndarray) -> np.ndarray:
+        return (_unit(v) @ self.turn).astype(np.float32) @ self.centre.T
 
+    def pack(self, size: np.ndarray) -> None:
+        """Lists in their order fill a cell; a list that is larger is one by itself. Cells of more than a group are cut into parts."""
+        self.cell, filled = np.zeros(self.lists, np.int64), 0
+        for i in range(1, self.lists):
+            filled += size[i - 1]
+            self.cell[i] = self.cell[i - 1] + (filled + size[i] > self.group)
+            filled = filled if self.cell[i] == self.cell[i - 1] else 0
+        self.parts = np.maximum(1, -(-np.bincount(self.cell, size) // self.group)).astype(np.int64)
 
-def _in_lists(spark: SparkSession, base: DataFrame, asked: DataFrame, dims: int, n: int, single: bool, k: int, probed: float) -> DataFrame:
-    """For a length of many vectors: by lists, cells of lists, and parts of cells."""
-    group = int(np.clip(GROUP * 64 // dims, min(GROUP, 512), GROUP))
-    lists = int(np.clip(round(DENSITY * n**0.5), 1, MOST_LISTS))
-    turn = rotation(dims)
-    # The sample is bounded, and so are the centroids.
-    sample = sampled(base.select("id", "v"), "id", SAMPLE, n).limit(2 * SAMPLE).toPandas()
-    centre = centroids((_unit(matrix(sample.v, single)) @ turn).astype(np.float32), lists)
-    visits = min(lists, max(LEAST_PROBED, int(np.ceil(probed * lists))))
-    sent = spark.sparkContext.broadcast((turn, centre))
 
-    def near(pdf: pd.DataFrame) -> np.ndarray:
-        return (_unit(matrix(pdf.v, single)) @ sent.value[0]).astype(np.float32) @ sent.value[1].T
+def _lengths(pdf: pd.DataFrame, made: dict[int, Lists], step: int) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Rows of each length for which there are lists, step at a time."""
+    for dims, some in pdf.groupby("dims"):
+        if dims in made:
+            for a in range(0, len(some), step):
+                yield int(dims), some.iloc[a : a + step]
+
+
+def _in_lists(base: DataFrame, asked: DataFrame, single: bool, k: int, probed: float) -> DataFrame:
+    """By lists, cells of lists, and parts of cells of each length."""
+    spark = base.sparkSession
+    made: dict[int, Lists] = {}
+    for r in base.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect():  # a row for each length
+        # The sample is bounded, and so are the centroids.
+        sample = sampled(base.where(F.col("dims") == r.dims).select("v"), "v", SAMPLE, r.n).limit(2 * SAMPLE).toPandas()
+        made[r.dims] = Lists(r.dims, r.n, matrix(sample.v, single), probed)
+    sent = spark.sparkContext.broadcast(made)
 
     def to_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": np.concatenate([np.argmax(near(pdf.iloc[a : a + 2048]), 1) for a in range(0, len(pdf), 2048)])})
-
-    filed = written(base.select("id", "v").mapInPandas(to_lists, "id long, v binary, list int"))
-    # Lists in their order fill a cell; a list that is larger is one by itself. Cells of more than a group are cut into parts.
-    size = np.zeros(lists, np.int64)
-    for r in filed.groupBy("list").count().collect():  # a row for each list
-        size[r.list] = r["count"]
-    cell, filled = np.zeros(lists, np.int64), 0
-    for i in range(1, lists):
-        filled += size[i - 1]
-        cell[i] = cell[i - 1] + (filled + size[i] > group)
-        filled = filled if cell[i] == cell[i - 1] else 0
-    parts = np.maximum(1, -(-np.bincount(cell, size) // group)).astype(np.int64)
-    cells = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(lists), "cell": cell, "parts": parts[cell]}), "list int, cell int, parts int"))
-    of_cells = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(parts)), "parts": parts}), "cell int, parts int"))
+            for dims, some in _lengths(pdf, sent.value, 2048):
+                yield some.assign(list=np.argmax(sent.value[dims].near(matrix(some.v, single)), 1).astype(np.int32))
+
+    filed = written(base.mapInPandas(to_lists, "id long, dims int, v binary, rows long, list int"))
+    size = {dims: np.zeros(x.lists, np.int64) for dims, x in made.items()}
+    for r in filed.groupBy("dims", "list").count().collect():  # a row for each list
+        size[r.dims][r.list] = r["count"]
+    for dims, x in made.items():
+        x.pack(size[dims])
+    q_parts = {r.dims: max(1, round(r.n / made[r.dims].group)) for r in asked.groupBy("dims").agg(F.count("*").alias("n")).collect() if r.dims in made}
+    rows = [(d, i, int(x.cell[i]), int(x.parts[x.cell[i]]), q_parts[d]) for d, x in made.items() if d in q_parts for i in range(x.lists)]
+    cells = F.broadcast(spark.createDataFrame(rows, "dims int, list int, cell int, parts int, q_parts int"))  # a row for each list
+    sent_cells = spark.sparkContext.broadcast(made)
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                some = pdf.iloc[a : a + 512]
-                visited = np.argpartition(-near(some), visits - 1, 1)[:, :visits]
-                visited = np.sort(visited, 1)  # and so are their cells
-                at = np.repeat(np.arange(len(some)), visits)
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(cell[visited.ravel()]) != 0) | (np.diff(at) != 0)]))
-                yield pd.DataFrame({"id": some.id.to_numpy()[at[first]], "v": some.v.to_numpy()[at[first]], "cell": cell[visited.ravel()[first]], "lists": np.split(visited.ravel(), first[1:])})
-
-    q_parts = max(1, round(asked.count() / group))
-    filed = filed.join(cells, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
-    filed = filed.select("id", "v", "list", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"))
-    visiting = asked.select("id", "v").mapInPandas(to_visits, "id long, v binary, cell int, lists array<int>").join(of_cells, "cell")
-    visiting = visiting.select("id", "v", "lists", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int").alias("q_part"))
+            for dims, some in _lengths(pdf, sent_cells.value, 512):
+                x = sent_cells.value[dims]
+                visited = np.sort(np.argpartition(-x.near(matrix(some.v, single)), x.visits - 1, 1)[:, : x.visits], 1)  # and so are their cells
+                at, cell = np.repeat(np.arange(len(some)), x.visits), x.cell[visited.ravel()]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(cell) != 0) | (np.diff(at) != 0)]))
+                yield some.iloc[at[first]].assign(cell=cell[first], lists=np.split(visited.ravel(), first[1:]), parts=x.parts[cell[first]], q_part=some.nr.to_numpy()[at[first]] % q_parts[dims])
+
+    filed = filed.join(cells, ["dims", "list"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
+    filed = filed.select("dims", "id", "v", "rows", "list", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"))
+    visiting = asked.mapInPandas(to_visits, "id long, dims int, v binary, rows long, nr long, cell int, lists array<int>, parts int, q_part int")
+    visiting = visiting.select("dims", "id", "v", "rows", "nr", "lists", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q_part")
 
     def scan(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return _searched(matrix(q.v, single), q.id.to_numpy(), [np.asarray(x) for x in q.lists], matrix(v.v, single), v.id.to_numpy(), v.list.to_numpy(), sent.value[0], k)
-
-    keys = ["cell", "part", "q_part"]
+            return pd.DataFrame({x.split()[0]: np.zeros(0, np.int64) for x in PAIRS.split(", ")})
+        place = {x: i for i, x in enumerate(zip(v.id, v.v, strict=True))}
+        own = np.array([place.get(x, -1) for x in zip(q.id, q.v, strict=True)])
+        row, ids, score = _searched(matrix(q.v, single), [np.asarray(x) for x in q.lists], own, matrix(v.v, single), v.id.to_numpy(), v.list.to_numpy(), v.rows.to_numpy(), sent.value[int(q.dims.iloc[0])].turn, k)
+        some = q.iloc[row]
+        return pd.DataFrame({"nr": some.nr, "query_id": some.id, "asks": some.rows, "vec_id": ids, "copy": np.arange(len(row)) % k, "score": score})
+
+    keys = ["dims", "cell", "part", "q_part"]
     return visiting.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInPandas(scan, PAIRS)
 
 

@@ -53,8 +53,7 @@ def test_no_exact_copy_is_given_up():
         v[rng.permutation(1300)[:300]] = v[0]
         v = neighbours._unit(v) @ neighbours.rotation(64)
         copies = np.flatnonzero(np.abs(v - v[0]).max(1) < 1e-12)
-        ids = np.arange(1300)
-        q_at, v_at = neighbours.scanned(v[copies], ids[copies], v, ids, 5)
+        q_at, v_at = neighbours.scanned(v[copies], copies, v, 5)
         lasting = np.isin(v_at, copies)
         assert lasting.sum() == len(copies) * (len(copies) - 1)
 
@@ -83,14 +82,32 @@ def test_edges(spark):
     assert neighbours.best(df.where(F.lit(False)), df).count() == 0
     assert neighbours.best(df, df.where(F.lit(False))).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0])] * 3 + [(2, [1.0, 0.5])] * 2 + [(2, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [tuple(r)[:3] for r in neighbours.best(twice.where("vec_id = 1"), twice).collect()] == [(1, 1, 2), (1, 2, 2)]
+    # Each row of id 1 asks, and the two others are its candidates, as are all rows of id 2.
+    got = [tuple(r)[:3] for r in neighbours.best(twice.where("vec_id = 1"), twice).collect()]
+    assert sorted(got) == sorted([(1, 1, 1), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 5, 2)] * 3)
+    other = neighbours.best(spark.createDataFrame([(1, [0.5, 0.0])], "vec_id long, embedding array<double>"), twice, k=4).collect()
+    assert [tuple(r)[:3] for r in other] == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 2)]  # it is no row of the table
+
+
+def test_the_same_way_at_every_size(spark, monkeypatch):
+    """Lists, rotation and early abandonment at 500 and 2,000 vectors; the recall is of them."""
+    seen = []
+    pack = neighbours.Lists.pack
+    monkeypatch.setattr(neighbours.Lists, "pack", lambda self, size: seen.append((size.sum(), self)) or pack(self, size))
+    for sf in ("sf0.01", "sf0.1"):
+        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+        out = neighbours.op10_neighbours(spark, f"/root/testdata/{sf}").collect()
+        want = brute(rows, [i for i, _ in rows if i % 50 == 0], 5)
+        n, lists = seen[-1]
+        assert n == len(rows) and lists.lists == round(2 * n**0.5) and lists.visits < lists.lists
+        assert np.mean([r.vec_id in want[r.query_id] for r in out]) >= 0.9 and len(out) == 5 * len(want)
 
 
 def test_every_length_is_searched_by_itself(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=4 if i % 2 else 6)]) for i in range(400)] + [(1000, [1.0] * 5), (1050, [1.0] * 7), (1051, [2.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for group in (neighbours.GROUP, 200):  # without lists, and with lists for the lengths of 200 rows
+    for group in (neighbours.GROUP, 200):
         monkeypatch.setattr(neighbours, "GROUP", group)
         out = neighbours.best(df.where("vec_id % 25 = 0"), df, probed=1.0).collect()
         for dims in (4, 6):
