@@ -1,7 +1,9 @@
 """Accuracy, the fusion against plain Python, and edge cases of language identification."""
 
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -48,7 +50,7 @@ def by_hand(pages, docs):
     for i, url, html in pages:
         g = [bucket(x) for x in grams(language.visible(html or ""))]
         logs = [sum(math.log((counts[x][b] + 0.1) / totals[x]) for b in g) * min(len(g), language.MOST_TRIGRAMS) / max(1, len(g)) for x in names]
-        host = (re.match(r"[a-z]+://([^/:?#]*)", url or "") or [None, ""])[1].lower()
+        host = (re.match(r"[a-z]+://([^/:?#]*)", url or "") or [None, ""])[1].lower().rstrip(".")
         declared = (re.search(r"<html[^>]*?\slang=\"([a-z]{2,3})", html or "") or [None, ""])[1]
         path = (re.match(r"[^:]+://[^/]*/([a-z]{2})(?:/|$)", url or "") or [None, ""])[1]
         suffix = (re.search(r"([^.]+)$", host) or [None, ""])[1]
@@ -59,7 +61,7 @@ def by_hand(pages, docs):
     out = {}
     for i, s in seen.items():
         prior = base
-        for depth in (2, 1, 0):
+        for depth in (2, 1, 0) if s["host"] else ():  # without a host the prior is that of all pages
             mine = [t for t in seen.values() if t["level"][depth] == s["level"][depth]]
             prior = [(sum(t["p"][k] for t in mine) - s["p"][k] + language.SMOOTH * prior[k]) / (len(mine) - 1 + language.SMOOTH) for k in ks]
         evidence = [s["logs"][k] + math.log(max(prior[k], 1e-9)) for k in ks]
@@ -74,7 +76,7 @@ def by_hand(pages, docs):
 
 def test_the_fusion_against_plain_python(spark):
     texts, docs = corpus(spark)
-    hosts = ["a.one.de", "b.one.de", "c.two.de", "a.one.fr", "localhost", "x.net"]
+    hosts = ["a.one.de", "b.one.de", "c.two.de", "a.one.fr", "localhost", "x.net."]
     pages = []
     for i in range(60):
         body = list(texts.values())[i % 3] if i % 4 else ""
@@ -122,3 +124,34 @@ def test_visible_text():
     html = '<html><head><title>t</title></head><body><nav>no</nav><!-- no --><script>var t="</p>";</script><article>A &amp; B<br>c</article></body></html>'
     assert language.visible(html).split() == ["A", "&", "B", "c"]
     assert language.visible("<p>x</p> y").split() == ["x", "y"]
+
+
+def test_pages_without_a_host_do_not_speak_for_one_another(spark):
+    texts, docs = corpus(spark)
+    rows = [(i, None if i % 2 else "no address", texts["de"]) for i in range(30)] + [(i + 30, "http://e.com/", texts["en"]) for i in range(40)] + [(99, None, "12 34")]
+    alone = {r.page_id: r for r in language.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert alone[99].lang == "en" and alone[99].host == "" and all(alone[i].lang == "de" for i in range(30))
+    one_host = [(i, "http://d.com/" if u is None else u, t) for i, u, t in rows]
+    assert {r.page_id: r for r in language.identified(spark.createDataFrame(one_host, "page_id long, url string, html string"), docs).collect()}[99].lang == "de"
+
+
+def old_way(html):
+    """As the same was told by patterns that look again from each mark."""
+    html = re.sub(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", " ", html, flags=re.S | re.I)
+    parts = [m.group(2) for m in re.finditer(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", html, re.S | re.I)]
+    return re.sub(r"<[^>]*>", " ", " ".join(parts) if parts else html)
+
+
+def test_broken_markup_is_read_in_one_pass():
+    rng = random.Random(3)
+    marks = ["<!--", "-->", "<nav >", "</nav >", "<NAV", "</nav", "<head>", "</head>", "<header>", "<article a=1>", "<article", "</article>", "<main>", "</main>", "<script>", "</script>", "<style>", "<", ">", "x ", "y", "<p>", "<a <b>"]
+    for _ in range(3000):
+        html = "".join(rng.choice(marks) for _ in range(rng.randint(0, 14)))
+        assert language.visible(html) == old_way(html), html
+    for mark in ("<!-- x", "<nav >", "<article ", "<main>", "<", "<html ", "<html lang", "</nav ", "&#9", "<script", "<nav></head>", "&#" + "9" * 5000 + ";"):
+        html = mark * (2_000_000 // len(mark))
+        began = time.thread_time()
+        language.visible(html)
+        assert language.declared_in(html) == ""
+        assert time.thread_time() - began < 5, mark
+    assert language.declared_in('<html><HTML dir="x" LANG = de>') == "de" and language.declared_in("<html a> lang=fr") == "" and language.declared_in("<html \n lang='pt-BR'") == "pt"
