@@ -13,11 +13,13 @@ from .operators import sketches, stats
 from .plans.derived import qualities, sequences, table
 from .plans.derived import taxonomy as tree
 from .session import shared_path
-from .sources import blocks, fai, fastx, features, speculative
+from .sources import blocks, datasource, fai, fastx, features, speculative
 
 SEQ = "(SELECT doc_id, source, lang, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS seq FROM documents)"
 QUAL = "(SELECT doc_id, lang, regexp_replace(text, '[^!-~]', '', 'g') AS qual FROM documents)"
 REVCOM = "reverse(translate({}, 'acgtACGT', 'tgcaTGCA'))"
+#: Bytes of a split of the files that queries write and read in splits.
+SPLIT = 1 << 18
 RANGES = [(1, 1), (2, 4), (-4, -2), (-1, -1), (2, -2), (12, 14), (-10, -3), (3, 100), (-4, 2), (0, 0)]
 
 
@@ -378,16 +380,38 @@ SELECT r.a, r.b, CASE WHEN r.a = r.b THEN r.a WHEN ra IS NULL OR rb IS NULL THEN
 
 
 def gtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.parse_gtf(_gtf_lines(spark, sf_dir), chromosomes=["CHR1", "chr2"], features=["EXON"], attributes=["db_xref"])
+    return rows.groupBy("seqname", "strand", "frame").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum("score").alias("scores"), F.sum(F.size("attributes")).alias("attrs"), F.max(F.element_at("attributes", -1)["value"]).alias("last"))
+
+
+def _gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     a, n = F.col("l_partkey"), F.col("l_linenumber")
-    strand = F.when(n % 2 == 0, "-").otherwise("+")
-    first, last = F.when(n % 2 == 0, a + 50).otherwise(a), F.when(n % 2 == 0, a).otherwise(a + 50)
     attrs = F.concat(F.lit('gene_id "g'), a, F.lit('"; db_xref "x"; db_xref "'), n, F.lit('"; '))
-    line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("l_suppkey") % 5), F.lit("sim"), F.when(n % 3 == 0, "CDS").otherwise("exon"), first, last, F.when(n % 3 == 1, ".").otherwise(n.cast("string")), strand, F.when(n % 4 == 3, ".").otherwise((n % 3).cast("string")), attrs)
-    rows = features.parse_gtf(li.select(line.alias("value")), chromosomes=["CHR1", "chr2"], features=["EXON"], attributes=["db_xref"])
+    first, last = F.when(n % 2 == 0, a + 50).otherwise(a), F.when(n % 2 == 0, a).otherwise(a + 50)
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("l_suppkey") % 5), F.lit("sim"), F.when(n % 3 == 0, "CDS").otherwise("exon"), first, last, F.when(n % 3 == 1, ".").otherwise(n.cast("string")), F.when(n % 2 == 0, "-").otherwise("+"), F.when(n % 4 == 3, ".").otherwise((n % 3).cast("string")), attrs)
+    return li.select(line.alias("value"))
+
+
+def gtf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the data source, with filters that are pushed down."""
+    datasource.register(spark)
+    path = shared_path(spark, "gtf")
+    _gtf_lines(spark, sf_dir).write.text(path)
+    read = spark.read.format("gtf").options(pushdown="true", attributes="db_xref", size=SPLIT).load(path)
+    rows = read.where(F.col("seqname").isin("chr1", "chr2") & (F.col("feature") == "exon"))
     return rows.groupBy("seqname", "strand", "frame").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum("score").alias("scores"), F.sum(F.size("attributes")).alias("attrs"), F.max(F.element_at("attributes", -1)["value"]).alias("last"))
 
 
+def fastx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written and read through the data source."""
+    datasource.register(spark)
+    path = shared_path(spark, "fasta")
+    rows = sequences(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(" ["), F.col("lang"), F.lit("] a > b")).alias("name"), "seq")
+    rows.write.format("fastx").option("width", 70).mode("append").save(path)
+    return spark.read.format("fastx").option("size", SPLIT).load(path).select("id", "desc", "seq", sq.guess_alphabet(F.col("seq")).alias("alphabet"))
+
+
 GTF = """WITH x AS (SELECT 'chr' || (l_suppkey % 5) AS seqname, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE l_linenumber % 3 END AS frame, l_partkey AS s, l_linenumber AS n FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_suppkey % 5 IN (1, 2))
 SELECT seqname, strand, frame::INT AS frame, count(*) AS n, sum(s)::BIGINT AS starts, sum(s + 50)::BIGINT AS ends, sum(CASE WHEN n % 3 = 1 THEN NULL ELSE n::DOUBLE END) AS scores, (2 * count(*))::BIGINT AS attrs, max(n::VARCHAR) AS last FROM x GROUP BY ALL"""
 
@@ -452,10 +476,6 @@ def fastq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastx.read_fastq(spark, _fastq(spark, sf_dir)).select("id", F.md5("seq").alias("seq_md5"), "qual", "is_fastq")
 
 
-#: Bytes of a split of the files below.
-SPLIT = 1 << 18
-
-
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of FASTQ records whose sequences and qualities are wrapped at widths of their own; any sign may begin a line."""
     seq, qual = fastx.wrapped(F.translate("qual", *_LETTERS), 60), fastx.wrapped(F.col("qual"), 53)
@@ -505,7 +525,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
         "degenerate": degenerate, "translations": translations, "codon_tables": codon_tables, "quality_strings": quality_strings, "quality_scales": quality_scales, "byte_histogram": byte_histogram, "kmer_counts": kmer_counts, "kmer_codes": kmer_codes, "nthash": nthash,
         "nthash_native": nthash_native, "scaled_minhash": scaled_minhash, "minimizers": minimizers, "syncmers": syncmers, "simhash": simhash, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers, "tax_resolve": tax_resolve, "tax_lineage": tax_lineage,
-        "tax_lca": tax_lca, "gtf": gtf, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fastq_wrapped": fastq_wrapped, "fastq_blocked": fastq_blocked, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
+        "tax_lca": tax_lca, "gtf": gtf, "gtf_source": gtf_source, "fastx_source": fastx_source, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fastq_wrapped": fastq_wrapped, "fastq_blocked": fastq_blocked, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
     }
 
 
@@ -514,6 +534,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
         "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
-        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fastq_wrapped": FASTQ_ROUND_TRIP, "fastq_blocked": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
+        "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "gtf_source": GTF, "fastx_source": FASTA_ROUND_TRIP, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fastq_wrapped": FASTQ_ROUND_TRIP, "fastq_blocked": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }

@@ -14,7 +14,7 @@ States: (HEAD, 0): a record's header must follow; (SEQ, n): in a sequence of whi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pandas as pd
@@ -146,8 +146,9 @@ def states(told: DataFrame) -> DataFrame:
     return told.groupBy("path").applyInPandas(through, _STATES)
 
 
-def fasta_in(own: Iterator[bytes], more: Iterator[bytes]) -> Iterator[tuple[str, str, None]]:
-    """(name, seq, None) of the records whose headers are own lines; more: the lines behind them."""
+def fasta_in(own: Iterator[bytes], more: Iterator[bytes], wanted: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, str, None]]:
+    """(name, seq, None) of the records whose headers are own lines; more: the lines behind them. Of records that are not wanted by
+    their names nothing else is read."""
     name, seq = None, []
     for line, mine in chain(((x, True) for x in own), ((x, False) for x in more)):
         if line.startswith(b">"):
@@ -157,6 +158,7 @@ def fasta_in(own: Iterator[bytes], more: Iterator[bytes]) -> Iterator[tuple[str,
             if not mine:
                 return
             name = line.rstrip(b"\r")[1:].decode("latin-1")
+            name = name if wanted(name) else None
         elif name is not None:
             seq.append(line.rstrip(b"\r").decode("latin-1"))
         elif not mine:
@@ -165,9 +167,9 @@ def fasta_in(own: Iterator[bytes], more: Iterator[bytes]) -> Iterator[tuple[str,
         yield name, "".join(seq), None
 
 
-def fastq_in(own: Iterator[bytes], more: Iterator[bytes], state: State) -> Iterator[tuple[str, str, str]]:
-    """(name, seq, qual) of the records whose headers are own lines, by the state before the first one."""
-    name, seq, qual = None, [], []
+def fastq_in(own: Iterator[bytes], more: Iterator[bytes], state: State, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, str, str]]:
+    """(name, seq, qual) of the wanted records whose headers are own lines, by the state before the first one."""
+    name, seq, qual, taken = None, [], [], True
     for raw, mine in chain(((x, True) for x in own), ((x, False) for x in more)):
         if not mine and (name is None or state[0] == HEAD):
             break  # nothing of this range is open
@@ -176,15 +178,16 @@ def fastq_in(own: Iterator[bytes], more: Iterator[bytes], state: State) -> Itera
         if after is None:
             raise ValueError(f"sequence and quality of {name!r} differ in length")
         if state[0] == HEAD and line:
-            if name is not None:
+            if name is not None and taken:
                 yield name, "".join(seq), "".join(qual)
             name, seq, qual = line[1:].decode("latin-1"), [], []
-        elif state[0] == QUAL:
+            taken = wanted(name)
+        elif taken and state[0] == QUAL:
             qual.append(line.decode("latin-1"))
-        elif state[0] == SEQ and after[0] == SEQ:
+        elif taken and state[0] == SEQ and after[0] == SEQ:
             seq.append(line.decode("latin-1"))
         state = after
-    if name is not None:
+    if name is not None and taken:
         yield name, "".join(seq), "".join(qual)
 
 

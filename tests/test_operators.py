@@ -184,3 +184,43 @@ def test_pieces_give_the_codes_of_the_whole(spark, kind, parameters):
         assert len(got) == len(want) and {(r.id, r.idx, r.code) for r in got} == want
         assert all(r.other == "x" for r in got)
     assert sketches.sketch(df.limit(0), kind, "a.seq", **parameters).collect() == []
+
+
+def test_numbers_and_ancestors_of_random_forests(spark):
+    rng = random.Random(6)
+    # Stars, chains, several roots, and a node whose parent is no node.
+    parent = {1: 1, 500: 500, 900: 12345}
+    for i in range(2, 160):
+        parent[i] = rng.choice([1, i - 1, rng.randrange(1, i), 7 if i > 7 else 1])
+    for i in range(501, 560):
+        parent[i] = rng.choice([500, i - 1])
+    parent[901] = 900
+    t = Taxonomy(spark.createDataFrame([(i, p, "genus" if i % 11 == 3 or i in (1, 500) else "r") for i, p in parent.items()], "taxid long, parent long, rank string"))
+
+    def up(i):
+        out = [i]
+        while parent.get(out[-1], out[-1]) in parent and parent[out[-1]] != out[-1]:
+            out.append(parent[out[-1]])
+        return out
+
+    pre = {r.taxid: r for r in t.numbered().collect()}
+    assert set(pre) == set(parent) and sorted(r.pre for r in pre.values()) == list(range(2, len(parent) + 2))
+    for i in parent:
+        assert [j for j in parent if pre[i].pre <= pre[j].pre <= pre[i].last] == [j for j in parent if i in up(j)] and pre[i].depth == len(up(i))
+    pairs = [(rng.choice(list(parent)), rng.choice(list(parent))) for _ in range(1500)] + [(1, 1), (0, 5), (5, 4040), (4040, 4040), (900, 901), (900, 3), (12345, 900)]
+    want = {}
+    for a, b in pairs:
+        both = [x for x in up(a) if x in up(b)] if a in parent and b in parent else []
+        want[a, b] = 0 if not a or not b else a if a == b else 0 if a not in parent or b not in parent else both[0] if both else 500
+    df = spark.createDataFrame(list(want), "a long, b long")
+    assert {(r.a, r.b): r.lca for r in t.lca(df).collect()} == want
+    got = {(r.a, r.b): r.is_below for r in t.below(df, "a", "b").collect()}
+    assert got == {(a, b): a in parent and b in up(a) for a, b in want}
+    ids = spark.createDataFrame([(i,) for i in [*parent, 4040]], "taxid long")
+    marked = {r.taxid: r.at_or_below for r in t.at_or_below(ids, "Genus").collect()}
+    assert marked == {i: i in parent and (i in (1, 500) or any(x % 11 == 3 and parent[x] != x for x in up(i))) for i in [*parent, 4040]}
+    deep = Taxonomy(spark.range(1, 3001).select(F.col("id").alias("taxid"), F.greatest(F.col("id") - 1, F.lit(1)).cast("long").alias("parent"), F.lit("r").alias("rank")))
+    assert {(r.a, r.b): r.lca for r in deep.lca(spark.createDataFrame([(3000, 17), (5, 2999), (1, 3000)], "a long, b long")).collect()} == {(3000, 17): 17, (5, 2999): 5, (1, 3000): 1}
+    with pytest.raises(ValueError, match="cycle"):
+        Taxonomy(spark.createDataFrame([(1, 1, "r"), (5, 6, "r"), (6, 7, "r"), (7, 5, "r")], "taxid long, parent long, rank string")).numbered()
+    assert Taxonomy(spark.createDataFrame([], "taxid long, parent long, rank string")).numbered().collect() == []
