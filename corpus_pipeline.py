@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlake.llm import jaccard, mixing, pieces, quality, toxicity
-from seqlake.llm.common import table, written
+from seqlake.llm.common import same_columns, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources reads them; a null source is one of its own, sources without a word go."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return same_columns(mixing.mixed(docs), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def matched(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: str) -
     out = out.withColumns({"__salt": F.when(cold, 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")), "__own": F.when(cold, F.col(key))})
     out = out.join(rest, (F.col("__salt") == F.col("__of")) & F.col("__own").eqNullSafe(F.col("__rest_key")), "left")
     got = F.coalesce("__hot", "__rest")
-    return out.select(*[f"`{c}`" for c in rows.columns], *[got[v].alias(v) for v in values])
+    return out.select(*[F.col(_quoted(c)) for c in rows.columns], *[got[v].alias(v) for v in values])
 
 
 def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
@@ -111,13 +111,25 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
     at = next((i for i, f in enumerate(kept) if f.name == text), len(kept))
-    source = df.select(*[f"`{f.name}`" for f in kept], *([F.col(text).alias("__text")] if at == len(kept) else []))
+    # Columns pass through Python by number: a name with a dot would be taken for a field's.
+    names = [f"c{i}" for i in range(len(kept))]
+    source = df.select(*[F.col(_quoted(f.name)).alias(c) for f, c in zip(kept, names, strict=True)], *([F.col(_quoted(text)).alias("__text")] if at == len(kept) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, work = [f.name for f in kept] + [f.name for f in fields], make()
+        work = make()
         for batch in batches:
             for part in sliced(batch, at):
                 arrays = work([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=[*names, *(f.name for f in fields)])
 
-    return source.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept], *fields]))
+    made = source.mapInArrow(run, T.StructType([*[T.StructField(c, f.dataType, True) for f, c in zip(kept, names, strict=True)], *fields]))
+    return made.toDF(*[f.name for f in kept], *[f.name for f in fields])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns that like has, in its order, whatever their names."""
+    return df.select(*[F.col(_quoted(c)) for c in like.columns])

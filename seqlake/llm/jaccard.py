@@ -383,7 +383,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     near = written(member.groupBy("large", "bin", "x", "y").applyInPandas(_candidates, group))
     # Sets are made again for those classes only that have a near one.
     wanted = near.select("key").distinct()
-    texts = rows.join(classes.select("key", "class_id").join(wanted, "key"), "key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id"))).select("key", "text")
+    # Of a class that many rows hold, those of its smallest id alone are sent on, and all are dealt by their ids, not by the class.
+    texts = met(rows, classes.select("key", "class_id").join(wanted, "key"), "key", "doc_id").where(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id"))).select("key", "text")
     sets = texts.mapInPandas(_with_shingles, "key long, members binary").dropDuplicates(["key"])
     found = written(near.join(sets, "key").groupBy("large", "bin", "x", "y").applyInPandas(_links, "key long, root long, links long"))
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))

@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     passes = F.col("__full") + F.when(F.col("__rest") > 0, F.coalesce(in_last, F.lit(False)).cast("int")).otherwise(0)
     rows = rows.withColumn("__passes", passes).where("__passes > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
     rows = rows.withColumn("mix_key", F.concat(F.substring(_key(F.lit(seed), F.col(source), F.col("mix_pass"), F.col("mix_block")), 1, 12), F.substring(_key(F.lit(seed), F.col(source), F.col("mix_pass"), F.col(doc_id)), 1, 20)))
-    return rows.withColumn("mix_weight", F.col("__weight")).select(*docs.columns, *own)
+    return rows.withColumn("mix_weight", F.col("__weight")).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], *own)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_stages_on_odd_rows(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     text = lambda k: " ".join(f"{c}{k}" for c in ("plain", "words", "of", "a", "calm", "story", "that", "goes", "on")) + "."
     odd = [(None, None, "en", "s1", 0), (None, "", "en", None, 0), (None, text(1), "en", "s1", 9), (None, text(2), None, "s2", 9), (7, text(3), "en", "s1", 9), (7, text(4), "en", "s1", 9), (7, text(4), "en", "s1", 9), (10**9, "long words " * 30_000, "en", "s2", 9)]
-    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("keep", F.lit("k")).withColumn("score", F.lit(0.1)).withColumn("n_tokens", F.lit("x"))
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("keep", F.lit("k")).withColumn("score", F.lit(0.1)).withColumn("n_tokens", F.lit("x")).withColumn("x.y", F.lit(1)).withColumn("a`b", F.lit(2))
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
