@@ -185,6 +185,11 @@ def _expansions(protein: bool) -> dict[str, str]:
     return upper | {c.lower(): x.lower() for c, x in upper.items()}
 
 
+def bases_by_letter() -> dict[str, str]:
+    """The bases that each nucleotide letter stands for."""
+    return _expansions(False)
+
+
 def _mapped(chars: dict[str, str | list[str]]) -> Column:
     return F.create_map(*[x for c, v in chars.items() for x in (F.lit(c), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
 
@@ -196,7 +201,8 @@ def degenerate_regexp(seq: Column, protein: bool = False) -> Column:
 
 
 def degenerate_seqs(seq: Column) -> Column:
-    """array of all sequences that a degenerate nucleotide sequence stands for; null if it holds another letter."""
+    """array of all sequences that a degenerate nucleotide sequence stands for; null if it holds another letter. Of sequences that
+    stand for many, expansions.expanded() makes rows instead."""
     letters = _mapped({c: list(x) for c, x in _expansions(False).items()})
     grown = F.aggregate(F.filter(F.split(seq, ""), lambda c: c != ""), F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(letters[c], lambda b: F.transform(acc, lambda p: F.concat(p, b)))))
     return F.when(F.rlike(seq, F.lit(f"^[{''.join(_expansions(False))}]*$")), grown)

@@ -1,23 +1,38 @@
 """Length statistics of groups: moments, hinges, percentiles, N50 and its kin.
 
-Lengths are counted first (a hash aggregate with map-side sums); only the histogram is sorted, so what a window sees
-grows with the number of different lengths, not with the rows.
+Lengths are counted first (a hash aggregate with map-side sums); only the histogram is sorted. Its running sums are made in
+two levels: within ranges of lengths, and over the ranges of a group, so that no window holds more than a range's lengths or
+a group's ranges.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lengths of a range.
+RANGE = 1 << 16
+
 
-def histogram(df: DataFrame, length: str, by: list[str]) -> DataFrame:
-    """by, len, n and running sums: upto (lengths counted up to here), total, bases (their sum), sum, over (bases above)."""
-    counted = df.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).cast("long").alias("len")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy("len")
+def histogram(df: DataFrame, length: str, by: list[str], n: str | None = None) -> DataFrame:
+    """by, len, n and running sums: upto (lengths counted up to here), total, bases (their sum), sum, over (bases above). n: a column
+    that says how often a row counts."""
+    number = F.sum(F.col(n).cast("long")) if n else F.count("*")
+    counted = df.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).cast("long").alias("len")).agg(number.alias("n"))
+    counted = counted.withColumns({"__range": F.floor(F.col("len") / RANGE), "__bases": F.col("len") * F.col("n")})
+    ranges = counted.groupBy(*by, "__range").agg(F.sum("n").alias("__n"), F.sum("__bases").alias("__b"))
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*by)
-    return counted.select(
-        *by, "len", "n", F.sum("n").over(order).alias("upto"), F.sum("n").over(all_).alias("total"), F.sum(F.col("len") * F.col("n")).over(order).alias("bases"), F.sum(F.col("len") * F.col("n")).over(all_).alias("sum")
-    ).withColumn("over", F.col("sum") - F.col("bases"))
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    ranges = ranges.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__of"), before("__n").alias("__n0"), before("__b").alias("__b0"), F.sum("__n").over(all_).alias("total"), F.sum("__b").over(all_).alias("sum"))
+    inside = Window.partitionBy(*by, "__range").orderBy("len")
+    placed = counted.select(*by, "len", "n", "__range", F.sum("n").over(inside).alias("upto"), F.sum("__bases").over(inside).alias("bases"))
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("__range") == F.col("__of"))
+    out = placed.join(ranges, same).withColumns({"upto": F.col("upto") + F.col("__n0"), "bases": F.col("bases") + F.col("__b0")})
+    return out.select(*by, "len", "n", "upto", "total", "bases", "sum", (F.col("sum") - F.col("bases")).alias("over"))
 
 
 def _at(place: Column) -> Column:
@@ -35,15 +50,16 @@ def _nx(x: float) -> Column:
     return F.max(F.when((F.col("over") + F.col("len") * F.col("n")) * 100 >= F.col("sum") * x, F.col("len")))
 
 
-def length_stats(df: DataFrame, length: str = "length", by: list[str] | None = None) -> DataFrame:
+def length_stats(df: DataFrame, length: str = "length", by: list[str] | None = None, n: str | None = None) -> DataFrame:
     """count, sum, min, max, mean, q1, median, q3, n50, l50 and l50_distinct of each group.
 
     q1 and q3 are Tukey's hinges: medians of the lower and upper half, both with the middle value if the number is odd.
     l50: how many of the longest sequences make up half of the bases. l50_distinct: how many different lengths do.
-    Null lengths do not count. Without groups and rows: count 0 and zeros, mean null.
+    Null lengths do not count. n: a column that says how often a row counts (a histogram's). Without groups and rows: count 0 and
+    zeros, mean null.
     """
     by = by or []
-    h = histogram(df, length, by)
+    h = histogram(df, length, by, n)
     n, half = F.col("total"), F.ceil(F.col("total") / 2)
     marked = h.withColumn("longer", F.col("total") - F.col("upto")).withColumn("in_n50", F.col("over") * 2 < F.col("sum"))
     # Of the lengths in N50's class just so many as are needed to reach half of the bases.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import codons, quality
 from .functions import sequence as sq
-from .operators import sketches, stats
+from .operators import expansions, sketches, stats, table_functions
 from .plans.derived import qualities, sequences, table
 from .plans.derived import taxonomy as tree
 from .session import shared_path
@@ -56,6 +57,20 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.percentile(docs, 90, by=["lang"])
 
 
+def percentile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").alias("length"))
+    per = [stats.percentile(docs, p, by=["lang"]).select(F.lit("percentile").alias("kind"), F.lit(float(p)).alias("p"), F.col("lang").alias("of"), F.col("percentile").alias("value"), F.lit(0).cast("long").alias("lx")) for p in GRID]
+    nx = [stats.nx_lx(docs, x, by=["source"]).select(F.lit("nx").alias("kind"), F.lit(float(x)).alias("p"), F.col("source").alias("of"), F.col("nx").cast("double").alias("value"), "lx") for x in GRID]
+    return functools.reduce(DataFrame.unionByName, per + nx)
+
+
+#: Percents at which percentiles, NX and LX are taken.
+GRID = [1, 5, 25, 50, 75, 99, 100]
+PERCENTILE_GRID = f"""WITH p AS (SELECT unnest({GRID}) AS p), s AS (SELECT lang, n_chars AS len, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+ x AS (SELECT source, n_chars AS len, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS run, sum(n_chars) OVER (PARTITION BY source) AS tot, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+SELECT 'percentile' AS kind, p::DOUBLE AS p, lang AS "of", CASE WHEN max(n) * p % 100 = 0 THEN max(CASE WHEN i = n * p // 100 - 1 THEN len END)::DOUBLE
+ WHEN max(n) * p // 100 < 1 THEN min(len)::DOUBLE ELSE (max(CASE WHEN i = n * p // 100 - 1 THEN len END) + max(CASE WHEN i = n * p // 100 THEN len END)) / 2 END AS value, 0::BIGINT AS lx FROM s, p GROUP BY lang, p
+UNION ALL SELECT 'nx', p::DOUBLE, source, max(CASE WHEN run * 100 >= tot * p THEN len END)::DOUBLE, min(CASE WHEN run * 100 >= tot * p THEN place END)::BIGINT FROM x, p GROUP BY source, p"""
 PERCENTILES = """WITH s AS (SELECT lang, n_chars AS len, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT lang, CASE WHEN max(n) * 90 % 100 = 0 THEN max(CASE WHEN i = n * 90 // 100 - 1 THEN len END)::DOUBLE
  WHEN max(n) * 90 // 100 < 1 THEN min(len)::DOUBLE ELSE (max(CASE WHEN i = n * 90 // 100 - 1 THEN len END) + max(CASE WHEN i = n * 90 // 100 THEN len END)) / 2 END AS percentile FROM s GROUP BY lang"""
@@ -129,6 +144,19 @@ DEGENERATE = """SELECT doc_id, replace(replace(replace(replace(regexp_replace(up
  FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN regexp_replace(text, '[^ac]', '', 'g') WHEN 1 THEN regexp_replace(text, '[^agt]', '', 'g') WHEN 2 THEN regexp_replace(text, '[^ct]', '', 'g') WHEN 3 THEN regexp_replace(text, '[^g]', '', 'g') ELSE text END AS b FROM documents)"""
 
 
+def expansions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences that the documents' words of 3 to 8 degenerate letters stand for: a row each."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[^a-z]+")).alias("seq"))
+    return expansions.expanded(words.where(F.rlike("seq", F.lit("^[acgtnry]{3,8}$"))))
+
+
+EXPANSIONS = """WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, s FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-z]+')) AS s FROM documents) WHERE regexp_full_match(s, '[acgtnry]{3,8}')),
+ o(c, bases) AS (VALUES ('a', ['a']), ('c', ['c']), ('g', ['g']), ('t', ['t', 'u']), ('r', ['a', 'g']), ('y', ['c', 't', 'u']), ('n', ['a', 'c', 'g', 't', 'u'])),
+ e(doc_id, k, s, i, idx, w, seq) AS (SELECT doc_id, k, s, 0, 0::BIGINT, 1::BIGINT, '' FROM d
+  UNION ALL SELECT doc_id, k, s, i + 1, idx + w * b, w * len(bases), seq || bases[b + 1] FROM (SELECT e.*, o.bases, unnest(range(len(o.bases))) AS b FROM e JOIN o ON o.c = substr(s, i + 1, 1) WHERE i < length(s)))
+SELECT doc_id, idx, seq FROM e WHERE i = length(s)"""
+
+
 # codons
 
 
@@ -174,7 +202,15 @@ SELECT d.doc_id, a.aa AS f1, coalesce(regexp_extract(b.aa, '^[^X*]*'), '') AS f3
 
 
 def codon_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(codons.codon_rows(), "table_id int, codon string, aa string, is_start boolean, is_stop boolean")
+    """How often each codon of each table stands in frame 1 of the documents' bases."""
+    rows = sequences(spark, sf_dir).where(F.length("seq") >= 3).select(F.upper("seq").alias("seq"))
+    used = rows.select(F.explode(sq.slider(F.col("seq"), 3, 3)["seq"]).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
+    known = spark.createDataFrame(codons.codon_rows(), "table_id int, codon string, aa string, is_start boolean, is_stop boolean")
+    return used.join(F.broadcast(known), "codon")  # 24 tables of 64 codons
+
+
+CODON_USE = f"""WITH u AS (SELECT substr(seq, i::INT, 3) AS codon, count(*) AS n FROM (SELECT upper(seq) AS seq, unnest(range(1, length(seq) - 1, 3)) AS i FROM {SEQ}) GROUP BY 1)
+SELECT t.*, n FROM ({CODON_TABLES}) t JOIN u USING (codon)"""
 
 
 # qualities
@@ -195,6 +231,39 @@ SELECT q.doc_id, coalesce(total, 0)::BIGINT AS total, round(coalesce(mq, 0.0), 6
  FROM q LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)"""
 
 
+def quality_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.transform(quality.quality_values(F.col("qual"), "Illumina-1.3+"), lambda x: x.cast("string"))
+    return qualities(spark, sf_dir).select("doc_id", F.md5(F.array_join(values, ",")).alias("values_md5"), F.size(values).alias("n"), F.coalesce(F.array_max(quality.quality_values(F.col("qual"))), F.lit(0)).alias("highest"))
+
+
+QUALITY_VALUES = f"""SELECT doc_id, md5(array_to_string(list_transform(v, lambda b: (b - 64)::VARCHAR), ',')) AS values_md5, len(v)::INT AS n, coalesce(list_max(v) - 33, 0)::INT AS highest
+ FROM (SELECT doc_id, list_transform(list_filter(string_split(qual, ''), lambda u: u <> ''), lambda u: ascii(u)) AS v FROM {QUAL})"""
+
+
+def quality_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of encodings, each of the letters that hold a value up to 40 in the first one."""
+    rows, parts = qualities(spark, sf_dir), []
+    for a, (low, _, offset, _) in quality.ENCODINGS.items():
+        kept = F.regexp_replace("qual", f"[^\\x{low:02x}-\\x{offset + 40:02x}]", "")
+        parts += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), quality.convert_quality(kept, a, b).alias("qual")) for b in quality.ENCODINGS if a != b]
+    return rows.select("doc_id", F.inline(F.array(*parts)))
+
+
+def _conversions_sql() -> str:
+    out = []
+    for a, (low, _, offset, solexa) in quality.ENCODINGS.items():
+        for b, (_, _, new, to_solexa) in quality.ENCODINGS.items():
+            if a == b:
+                continue
+            q = f"(CASE WHEN ascii(u) - {offset} = 2 THEN 0 ELSE ascii(u) - {offset} END)" if a == "Illumina-1.5+" else f"(ascii(u) - {offset})"
+            if solexa and not to_solexa:
+                q = f"trunc(10 * log10(pow(10, {q} / 10) + 1))"
+            elif to_solexa and not solexa:
+                q = f"(CASE WHEN {q} = 0 THEN -5 ELSE trunc(greatest(-5, 10 * log10(pow(10, {q} / 10) - 1))) END)"
+            out.append(f"""SELECT doc_id, '{a}' AS a, '{b}' AS b, array_to_string(list_transform(list_filter(string_split(regexp_replace(qual, '[^\\x{low:02x}-\\x{offset + 40:02x}]', '', 'g'), ''), lambda u: u <> ''), lambda u: chr(({q} + {new})::INT)), '') AS qual FROM {QUAL}""")
+    return " UNION ALL ".join(out)
+
+
 def quality_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n")).select("l_quantity", "n", F.round(quality.phred_to_solexa(q), 6).alias("solexa"), F.round(quality.solexa_to_phred(q), 6).alias("phred"))
@@ -267,6 +336,13 @@ MINIMIZERS = f"""WITH {_hash_sql('x', 7)}, w AS (SELECT doc_id, i, min({{'h': h,
 SELECT DISTINCT doc_id, m.i::INT AS idx, {_SIGNED.format('m.h')} AS code FROM w WHERE n = 5"""
 
 
+def minimizers_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the table function of SQL."""
+    table_functions.register(spark)
+    sequences(spark, sf_dir).select("doc_id", "seq").createOrReplaceTempView("__bases")
+    return spark.sql("SELECT doc_id, idx, code FROM minimizers(TABLE(SELECT doc_id, seq FROM __bases), 7, w => 5)")
+
+
 def syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.sketch(sequences(spark, sf_dir).select("doc_id", "seq"), "syncmers", k=6, s=3).drop("seq")
 
@@ -522,7 +598,7 @@ def fasta_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; each takes (spark, sf_dir)."""
     return {
-        "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
+        "length_stats": length_stats, "nx_lx": nx_lx, "percentiles": percentiles, "percentile_grid": percentile_grid, "quality_values": quality_values, "quality_conversions": quality_conversions, "minimizers_sql": minimizers_sql, "expansions": expansions_of, "base_composition": base_composition, "reverse_complement": reverse_complement, "sub_sequences": sub_sequences, "gaps_and_alphabets": gaps_and_alphabets, "windows": windows,
         "degenerate": degenerate, "translations": translations, "codon_tables": codon_tables, "quality_strings": quality_strings, "quality_scales": quality_scales, "byte_histogram": byte_histogram, "kmer_counts": kmer_counts, "kmer_codes": kmer_codes, "nthash": nthash,
         "nthash_native": nthash_native, "scaled_minhash": scaled_minhash, "minimizers": minimizers, "syncmers": syncmers, "simhash": simhash, "protein_kmers": protein_kmers, "protein_minimizers": protein_minimizers, "tax_resolve": tax_resolve, "tax_lineage": tax_lineage,
         "tax_lca": tax_lca, "gtf": gtf, "gtf_source": gtf_source, "fastx_source": fastx_source, "bed": bed, "bed_overlaps": bed_overlaps, "fasta_round_trip": fasta_round_trip, "fastq_round_trip": fastq_round_trip, "fastq_split": fastq_split, "fastq_wrapped": fastq_wrapped, "fastq_blocked": fastq_blocked, "fasta_index": fasta_index, "fasta_ranges": fasta_ranges,
@@ -532,8 +608,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
-        "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
-        "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_TABLES, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
+        "length_stats": LENGTH_STATS, "nx_lx": NX_LX, "percentiles": PERCENTILES, "percentile_grid": PERCENTILE_GRID, "quality_values": QUALITY_VALUES, "quality_conversions": _conversions_sql(), "minimizers_sql": MINIMIZERS, "expansions": EXPANSIONS, "base_composition": BASE_COMPOSITION, "reverse_complement": REVERSE_COMPLEMENT, "sub_sequences": _range_sql(""), "gaps_and_alphabets": GAPS_AND_ALPHABETS, "windows": WINDOWS,
+        "degenerate": DEGENERATE, "translations": _translations_sql(), "codon_tables": CODON_USE, "quality_strings": QUALITY_STRINGS, "quality_scales": QUALITY_SCALES, "byte_histogram": BYTE_HISTOGRAM, "kmer_counts": KMER_COUNTS, "kmer_codes": KMER_COUNTS, "nthash": NTHASH, "nthash_native": NTHASH,
         "scaled_minhash": SCALED_MINHASH, "minimizers": MINIMIZERS, "syncmers": SYNCMERS, "simhash": _simhash_sql(), "protein_kmers": PROTEIN_KMERS, "protein_minimizers": PROTEIN_MINIMIZERS, "tax_resolve": TAX_RESOLVE, "tax_lineage": TAX_LINEAGE, "tax_lca": TAX_LCA, "gtf": GTF, "gtf_source": GTF, "fastx_source": FASTA_ROUND_TRIP, "bed": BED, "bed_overlaps": BED_OVERLAPS, "fasta_round_trip": FASTA_ROUND_TRIP, "fastq_round_trip": FASTQ_ROUND_TRIP, "fastq_split": FASTQ_ROUND_TRIP, "fastq_wrapped": FASTQ_ROUND_TRIP, "fastq_blocked": FASTQ_ROUND_TRIP, "fasta_index": FASTA_INDEX,
         "fasta_ranges": _range_sql(" AND a0 >= -n"),
     }

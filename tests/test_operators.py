@@ -224,3 +224,69 @@ def test_numbers_and_ancestors_of_random_forests(spark):
     with pytest.raises(ValueError, match="cycle"):
         Taxonomy(spark.createDataFrame([(1, 1, "r"), (5, 6, "r"), (6, 7, "r"), (7, 5, "r")], "taxid long, parent long, rank string")).numbered()
     assert Taxonomy(spark.createDataFrame([], "taxid long, parent long, rank string")).numbered().collect() == []
+
+
+def test_expansions_as_rows(spark):
+    from seqlake.functions.sequence import degenerate_seqs
+    from seqlake.operators.expansions import degenerate_count, expanded
+
+    df = spark.createDataFrame([(1, "ARn"), (2, ""), (3, None), (4, "A>"), (5, "NNN"), (6, "acg"), (7, "AR")], "id long, `the.seq` string")
+    want = {r.id: r.s for r in df.select("id", degenerate_seqs(F.col("`the.seq`")).alias("s")).collect()}
+    for size, tasks in ((7, 3), (1 << 16, 0)):
+        got = {}
+        for r in expanded(df, "the.seq", size, tasks).orderBy("id", "idx").collect():
+            assert len(got.setdefault(r.id, [])) == r.idx
+            got[r.id].append(r.seq)
+        assert got == {i: s for i, s in want.items() if s is not None}
+    many = spark.createDataFrame([("N" * 9,), ("N" * 40,)], "seq string")
+    assert [r[0] for r in many.select(degenerate_count(F.col("seq"))).collect()] == [5**9, None]
+    assert expanded(many.limit(1), tasks=4).agg(F.count("*"), F.countDistinct("seq"), F.max("idx")).first()[:] == (5**9, 5**9, 5**9 - 1)
+    with pytest.raises(Exception, match="too many"):
+        expanded(many).count()
+
+
+def test_table_functions_of_sql(spark):
+    from seqlake.operators.table_functions import register
+
+    register(spark)
+    df = spark.createDataFrame([(1, "x", SEQ), (2, "y", None), (3, "z", "AC"), (4, None, SEQ.lower())], "id long, name string, bases string")
+    df.createOrReplaceTempView("reads")
+    got = spark.sql("SELECT id, name, idx, code FROM minimizers(TABLE(reads), 5, w => 3, seq => 'bases')").collect()
+    want = sketches.sketch(df, "minimizers", "bases", k=5, w=3).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 10
+    assert spark.sql("SELECT * FROM kmers(TABLE(SELECT bases AS seq FROM reads), 4)").columns == ["idx", "code"]
+    for bad in ("minimizers(TABLE(reads), 5, 3)", "minimizers(TABLE(reads), 0, 3, seq => 'bases')", "minimizers(5, 5, 3)"):
+        with pytest.raises(Exception, match="column|must|table"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_sums_over_ranges_of_lengths(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([1, 5, 40, 41, 300, 5000, 100_000, rng.randrange(1, 3000)])) for g in ("a", "b", None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, length long")
+    want = {r.g: r for r in stats.length_stats(df, by=["g"]).collect()}
+    nx = {r.g: r for r in stats.nx_lx(df, 70, by=["g"]).collect()}
+    monkeypatch.setattr(stats, "RANGE", 37)
+    assert {r.g: r for r in stats.length_stats(df, by=["g"]).collect()} == want and {r.g: r for r in stats.nx_lx(df, 70, by=["g"]).collect()} == nx
+    assert stats.length_stats(df.groupBy("g", "length").agg(F.count("*").alias("k")), by=["g"], n="k").where("g = 'a'").first() == want["a"]
+
+
+def test_statistics_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    from seqlake.streaming.ingest import running_length_stats, stream_fasta
+
+    rng = random.Random(2)
+    folder, seen, rows = tmp_path / "in", [], []
+    folder.mkdir()
+
+    def to(out, number):
+        seen.append({r.kind: r for r in out.collect()})
+
+    for trigger in range(3):
+        part = [("s" if rng.random() < 0.5 else "t", rng.randrange(0, 60)) for _ in range(25)]
+        rows += part
+        (folder / f"{trigger}.fa").write_text("".join(f">{k}{i} x\n{'A' * n}\n" for i, (k, n) in enumerate(part)))
+        records = stream_fasta(spark, str(folder)).select(F.substring("id", 1, 1).alias("kind"), F.length("seq").alias("length"))
+        running_length_stats(records, to, str(tmp_path / "state"), by=["kind"], availableNow=True).awaitTermination()
+        batch = stats.length_stats(spark.createDataFrame(rows, "kind string, length long"), by=["kind"]).collect()
+        assert seen[-1] == {r.kind: r for r in batch}
+    assert len(seen) == 3
