@@ -37,7 +37,7 @@ FAMILIES = [
     ("eupl", "european union public licen[cs]e|eupl", "1 0|1 1|1 2", "european eupl"),
     ("artistic", "(?:perl )?artistic license", "1 0|2 0", "artistic"),
     ("zlib", "zlib(?: libpng)? license", "", "zlib"),
-    ("boost", "boost software license|bsl", "1 0", "boost bsl"),
+    ("boost", "boost software license", "1 0", "boost"),
     ("wtfpl", "do what the fuck you want to public license|wtfpl", "2", "fuck wtfpl"),
     ("unlicense", "the unlicense", "", "unlicense"),
     ("psf", "python software foundation license|psf license", "2", "python psf"),
@@ -174,8 +174,14 @@ NAMES = [
     ("nasa", "nasa open source agreement", "nasa"),
     ("ogl", "open government licen[cs]e(?: v)?(?: [123](?: 0)?)?", "government"),
     ("etalab", "etalab(?: 2 0)?|licence ouverte", "etalab ouverte"),
-    ("jrl", "json licen[cs]e", "json"),
+    ("json", "json licen[cs]e", "json"),
     ("ftl", "freetype (?:project )?licen[cs]e", "freetype"),
+    # Two licenses share three letters: the version tells them apart, and without one nothing is known.
+    ("boost", "bsl~v?1 0", "bsl bslv1 bsl1"),
+    ("busl", "bsl~v?1 1|business source licen[cs]e", "bsl bslv1 bsl1 business"),
+    # Identifiers that are no words of a language stand for themselves.
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib(?: acknowledgement)?", "zlib"),
     ("bitstream", "bitstream vera(?: fonts?)?(?: copyright| licen[cs]e)", "bitstream"),
 ]
 #: Sentences of licenses, of their headers and notices: label, pattern, priority, keyword.
@@ -185,6 +191,9 @@ CLAUSES = [
     ("mit", "to deal in the software without restriction including without limitation the rights", 4, "limitation"),
     ("mit", "the software is provided as is without warranty of any kind express or implied", 3, "implied"),
     ("mit", "opensource org licenses mit", 5, "opensource"),
+    # The word alone is one of other languages: beside another identifier it is a license. Of lower priority than what it stands beside.
+    ("mit", "mit (?:or|and) (?:the )?(?:apache|bsd|0bsd|isc|zlib|unlicense|cc0|gpl|gplv[23]|lgpl|agpl|mpl|bsl|boost|wtfpl|epl|artistic|psf|ofl)", 1, "mit"),
+    ("mit", "(?:apache(?: license)?(?: v)?(?: ?2)?(?: 0)?|(?:gpl|lgpl|agpl|mpl|epl)~v?[123](?: [01])?(?: only| or later)?|clause|0bsd|bsd|isc|zlib|unlicense|cc0|bsl 1 0|wtfpl) (?:or|and) (?:the )?mit", 1, "mit"),
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", 5, "hereby"),
     ("boost", "boost org license 1 0", 5, "boost"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 5, "hereby"),

@@ -272,6 +272,21 @@ def test_license_names_in_one_word(spark):
         ("Neither the name of the Example Project nor the names of its contributors may be used to endorse", "bsd"),
         ("The Software shall be used for Good, not Evil.", "json"),
         ("the general public and a license for driving", ""),
+        ("(MIT OR Apache-2.0)", "apache,mit"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache,mit"),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache,mit"),
+        ("BSD-3-Clause AND MIT", "bsd,mit"),
+        ("ISC OR MIT", "isc,mit"),
+        ("(GPL-2.0-only OR MIT) AND Zlib", "gpl,mit,zlib"),
+        ("Zlib", "zlib"),
+        ("ISC", "isc"),
+        ("licensed under the BSL 1.1", "busl"),
+        ("Business Source License 1.1", "busl"),
+        ("BSL-1.0", "boost"),
+        ("in accordance with bsl", ""),
+        ("Released under the JSON License", "json"),
+        ("wir gehen mit und ohne Hund, mit oder ohne", ""),
+        ("mit and without", ""),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
