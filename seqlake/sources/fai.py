@@ -118,7 +118,10 @@ def open_index(spark: SparkSession, path: str, id_regexp: str | None = None) ->
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Tab-separated, in the order of places in the file; part files follow each other in that order."""
+    """Tab-separated, in the order of places in the file; part files follow each other in that order. An index of one file: rows of
+    several are an error."""
+    if "path" in index.columns and index.select("path").distinct().limit(2).count() > 1:
+        raise ValueError("an index is of one file: write one for each path")
     index.select("name", "length", "start", "bases_per_line", "bytes_per_line").orderBy("start").write.csv(path, sep="\t", quote="")
 
 

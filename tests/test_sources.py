@@ -101,6 +101,8 @@ def test_index(spark, tmp_path):
     assert index_rows(spark, write(tmp_path / "empty.fa", "")) == []
     index = fai.build_index(spark, f"{tmp_path}/a.fa")
     fai.write_index(index, f"{tmp_path}/a.fai")
+    with pytest.raises(ValueError, match="one file"):
+        fai.write_index(index.unionByName(index.withColumn("path", F.lit("other"))), f"{tmp_path}/b.fai")
     assert {tuple(r) for r in fai.read_index(spark, f"{tmp_path}/a.fai").collect()} == set(index_rows(spark, f"{tmp_path}/a.fa"))
 
 
