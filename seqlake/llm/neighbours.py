@@ -26,7 +26,7 @@ from .common import sampled, table, written
 #: Vectors that the centroids are fitted on (about; twice as many at most), and the most lists. All vectors are put into lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Lists for each square root of the number of vectors; share of them that a query visits, and how many at least.
-DENSITY, PROBED, LEAST_PROBED = 2.0, 0.42, 8
+DENSITY, PROBED, LEAST_PROBED = 2.0, 0.55, 8
 #: Columns of a block, and the test's width: larger gives up fewer candidates.
 BLOCK, WIDTH = 16, 2.1
 #: Vectors (of 64 components; of more fewer) and queries of one group of work, about.
