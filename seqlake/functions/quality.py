@@ -78,16 +78,13 @@ def total_quality(qual: Column, encoding: str = "Sanger") -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def convert_quality(qual: Column, source: str, target: str, force: bool = False) -> Column:
-    """The quality in another encoding: a letter for a letter. Values between the scales are cut to whole numbers.
-
-    force: values over 40 become 40 from Illumina-1.8+ to Sanger. The value 2 of Illumina-1.5+ becomes 0. Nothing
-    happens if both are the same or one is unknown. Letters that are no value of the source's scale are an error.
-    """
+@lru_cache
+def _letters_to(source: str, target: str, force: bool) -> bytes | None:
+    """A table of 256 bytes, 0 where a byte is no value of the source's scale; None: nothing changes."""
     if source == target or UNKNOWN in (source, target):
-        return qual
+        return None
     (_, _, offset, from_solexa), (_, _, new_offset, to_solexa) = ENCODINGS[source], ENCODINGS[target]
-    letters, bad = {}, ""
+    table = bytearray(256)
     for b in PRINTABLE:
         q = b - offset
         if force and source == "Illumina-1.8+" and target == "Sanger":
@@ -98,15 +95,43 @@ def convert_quality(qual: Column, source: str, target: str, force: bool = False)
             q = None if q < -5 else int(10 * math.log10(10 ** (q / 10) + 1))
         elif to_solexa and not from_solexa:
             q = None if q < 0 else -5 if q == 0 else int(max(-5, 10 * math.log10(10 ** (q / 10) - 1)))
-        if q is None or q + new_offset < 0:
-            bad += chr(b)
-        else:
-            letters[chr(b)] = chr(q + new_offset)
-    wrong = F.rlike(qual, F.lit("[^!-~]")) | F.rlike(qual, F.lit("[" + "".join(f"\\x{ord(c):02x}" for c in bad) + "]")) if bad else F.rlike(qual, F.lit("[^!-~]"))
-    error = F.raise_error(F.lit(f"a letter is no quality of {source}")).cast("string")
-    changed = {a: b for a, b in letters.items() if a != b}
-    out = F.translate(qual, "".join(changed), "".join(changed.values())) if changed else qual
-    return F.when(wrong, error).otherwise(out)
+        if q is not None and q + new_offset >= 0:
+            table[b] = q + new_offset
+    return bytes(table)
+
+
+@lru_cache
+def _converter(force: bool) -> Callable[[Column, Column, Column], Column]:
+    def changed(text: str | None, source: str | None, target: str | None) -> str | None:
+        if text is None or source is None or target is None:
+            return None
+        table = _letters_to(source, target, force)
+        if table is None:
+            return text
+        out = text.encode().translate(table)
+        return None if 0 in out else out.decode("latin-1")
+
+    @F.pandas_udf("string")
+    def converted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([changed(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return converted
+
+
+def convert_quality(qual: Column, source: str | Column, target: str | Column, force: bool = False) -> Column:
+    """The quality in another encoding: a letter for a letter. Values between the scales are cut to whole numbers.
+
+    source, target: encodings' names, or columns of them. force: values over 40 become 40 from Illumina-1.8+ to Sanger. The
+    value 2 of Illumina-1.5+ becomes 0. Nothing happens if both are the same or one is unknown. Letters that are no value of
+    the source's scale are an error.
+    """
+    if isinstance(source, str) and isinstance(target, str) and _letters_to(source, target, force) is None:
+        return qual
+    source, target = (F.lit(x) if isinstance(x, str) else x for x in (source, target))
+    out = _converter(force)(qual, source, target)
+    error = F.raise_error(F.concat(F.lit("a letter is no quality of "), source)).cast("string")
+    return F.when(out.isNull() & qual.isNotNull() & source.isNotNull() & target.isNotNull(), error).otherwise(out)
 
 
 def guess_encodings(qual: Column, most_common: int = 2) -> Column:

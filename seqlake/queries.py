@@ -242,11 +242,10 @@ QUALITY_VALUES = f"""SELECT doc_id, md5(array_to_string(list_transform(v, lambda
 
 def quality_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of encodings, each of the letters that hold a value up to 40 in the first one."""
-    rows, parts = qualities(spark, sf_dir), []
-    for a, (low, _, offset, _) in quality.ENCODINGS.items():
-        kept = F.regexp_replace("qual", f"[^\\x{low:02x}-\\x{offset + 40:02x}]", "")
-        parts += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), quality.convert_quality(kept, a, b).alias("qual")) for b in quality.ENCODINGS if a != b]
-    return rows.select("doc_id", F.inline(F.array(*parts)))
+    names = F.array(*[F.lit(x) for x in quality.ENCODINGS])
+    kept = [F.struct(F.lit(a).alias("a"), F.regexp_replace("qual", f"[^\\x{low:02x}-\\x{offset + 40:02x}]", "").alias("kept")) for a, (low, _, offset, _) in quality.ENCODINGS.items()]
+    pairs = qualities(spark, sf_dir).select("doc_id", F.inline(F.array(*kept))).select("doc_id", "a", F.explode(F.array_remove(names, F.col("a"))).alias("b"), "kept")
+    return pairs.select("doc_id", "a", "b", quality.convert_quality(F.col("kept"), F.col("a"), F.col("b")).alias("qual"))
 
 
 def _conversions_sql() -> str:

@@ -133,6 +133,25 @@ def test_quality(spark):
         one(spark, quality.phred_to_solexa(F.lit(-1.0)))
 
 
+def test_conversions_by_columns(spark):
+    rows = spark.createDataFrame([("!I~", "Sanger", "Solexa"), ("BCh", "Illumina-1.5+", "Sanger"), ("5I", "Sanger", "Solexa"), ("5I", "Unknown", "Solexa"), (None, "Sanger", "Solexa"), ("", "Solexa", "Sanger")], "q string, a string, b string")
+    out = rows.select(quality.convert_quality(F.col("q"), F.col("a"), F.col("b")))
+    assert [r[0] for r in out.collect()] == [";g\x9c", "!$I", "Sg", "5I", None, ""]
+    for bad, source in (("I\u00e9", "Sanger"), ("I I", "Sanger"), ("5", "Solexa")):
+        wrong = quality.convert_quality(F.lit(bad), source, "Sanger" if source == "Solexa" else "Solexa")
+        with pytest.raises(Exception, match=f"no quality of {source}"):
+            one(spark, wrong)
+        assert one(spark, F.when(F.lit(bad) == "", wrong)) is None  # only a value that is asked for is an error
+
+
+def test_conversions_run_outside_the_plan_of_expressions(spark, small):
+    """Letters were changed by expressions, for each pair all over again: 126 s for 25 MB."""
+    from seqlake.queries import quality_conversions
+
+    plan = quality_conversions(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") <= 6 and "translate(" not in plan.lower()
+
+
 def test_encodings(spark):
     guess = lambda s: one(spark, quality.guess_encodings(F.lit(s)))
     assert guess("!!I") == ["Sanger", "Illumina-1.8+"]
