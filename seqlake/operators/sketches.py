@@ -36,7 +36,7 @@ for _b, _p in ("AT", "CG", "GC", "TA", "UA"):
     for _c in (_b, _b.lower()):
         _SEED[ord(_c)], _PAIR_SEED[ord(_c)] = SEEDS[_b.replace("U", "T")], SEEDS[_p]
 #: K-mers whose bits are counted at a time, places of a piece, and letters that are worked on at a time.
-BLOCK, PIECE, LETTERS = 1 << 14, 1 << 20, 1 << 21
+BLOCK, PIECE, LETTERS = 1 << 14, 1 << 18, 1 << 18
 Codes = tuple[np.ndarray, np.ndarray]
 
 
@@ -411,19 +411,13 @@ def pieces_of(df: DataFrame, shape: Shape, seq: str, skip_short: bool, size: int
     text = F.col(f"`{seq}`")
     # One byte a letter; whatever else is no letter of any alphabet.
     text = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "?"))
-    n = F.length("__seq")
-    rows = df.select(*kept, text.alias("__seq"))
-    if skip_short:
-        rows = rows.where(n >= shape.least)
-        if shape.legal:
-            rows = rows.where(F.translate("__seq", shape.legal, "") == "")
-    else:
-        rows = rows.withColumn("__seq", F.when(n < shape.least, F.raise_error(F.lit(shape.refused)).cast("string")).otherwise(F.col("__seq")))
-    n = n.cast("long")
-    total = F.floor((n - shape.skip) / 3) if shape.triples else n + shape.wrap
-    places = total - shape.less
 
+    # What is left out is told inside the generator: filters would be pushed below the columns that the sequence is made of, and make it again.
     def cut(data: Column) -> Column:
+        n = F.length(data).cast("long")
+        total = F.floor((n - shape.skip) / 3) if shape.triples else n + shape.wrap
+        places = total - shape.less
+
         def piece(begin: Column) -> Column:
             end, low = F.least(begin + size, places), F.greatest(begin - shape.left, F.lit(0))
             a, b = shape.raw(low, F.least(end - 1 + shape.reach, total), n)
@@ -431,10 +425,12 @@ def pieces_of(df: DataFrame, shape: Shape, seq: str, skip_short: bool, size: int
             raw = F.when(b > n, F.concat(sub(a, n - a), sub(F.lit(0), b - n))).otherwise(sub(a, b - a)) if shape.wrap else sub(a, b - a)
             return F.struct(low.alias("low"), begin.alias("begin"), end.alias("end"), places.alias("places"), raw.alias("raw"))
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), places - 1, F.lit(size).cast("long")), piece)
+        made = F.when(places > 0, F.transform(F.sequence(F.lit(0).cast("long"), places - 1, F.lit(size).cast("long")), piece))
+        if not skip_short:
+            return F.when(n < shape.least, F.raise_error(F.lit(shape.refused))).otherwise(made)
+        return F.when((n >= shape.least) & (F.translate(data.cast("string"), shape.legal, "") == "") if shape.legal else n >= shape.least, made)
 
-    names = [F.col(f"`{c}`") for c in df.columns if c != seq]
-    return rows.where(F.col("__seq").isNotNull() & (places > 0)).select(*names, F.explode(let(F.col("__seq").cast("binary"), cut)).alias("__piece"))
+    return df.select(*kept, text.alias("__seq")).select(*kept, F.explode(let(F.col("__seq").cast("binary"), cut)).alias("__piece"))
 
 
 def sketch(df: DataFrame, kind: str, seq: str = "seq", skip_short: bool = True, size: int = PIECE, tasks: int = 0, **parameters: int | bool) -> DataFrame:

@@ -290,3 +290,21 @@ def test_statistics_of_a_stream_are_those_of_the_batch(spark, tmp_path):
         batch = stats.length_stats(spark.createDataFrame(rows, "kind string, length long"), by=["kind"]).collect()
         assert seen[-1] == {r.kind: r for r in batch}
     assert len(seen) == 3
+
+
+@pytest.mark.parametrize("kind", ["nthash", "kmers"])
+def test_a_sequence_is_made_once(spark, small, kind):
+    """Filters on a sequence's length were pushed below it: it was made anew for each of 17 mentions."""
+    from seqlake.plans.derived import sequences
+
+    plan = sketches.sketch(sequences(spark, small).select("doc_id", "seq"), kind, k=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^ACGTacgt]") == 1
+
+
+def test_batches_of_letters_are_small_and_give_the_same_codes(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ACGTTGCAAC" * (i % 7 + 1)) for i in range(300)], "i long, seq string")
+    got = lambda: sorted(map(tuple, sketches.sketch(rows, "simhash", k=21, m=5, scale=5).collect()))
+    want = got()
+    assert sketches.LETTERS <= 1 << 18
+    monkeypatch.setattr(sketches, "LETTERS", 100)
+    assert got() == want
