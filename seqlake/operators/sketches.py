@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -488,14 +488,25 @@ def kmer_codes_native(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 
 def nthash_native(df: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
-    """key, idx, code of nthash (canonical) by a join of letters with rotated seeds and an xor over each k-mer."""
-    spark = df.sparkSession
+    """key, idx, code of nthash (canonical) as expressions only: the xor of the rotated seeds of each k-mer's letters, of either strand.
+    Letters but A, C, G and T have no seed; k-mers without any are left out."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rol = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & ((1 << 64) - 1)
     pair = dict(zip("ACGT", "TGCA", strict=True))
-    seeds = [(b, j, signed(rol(SEEDS[b], k - 1 - j)), signed(rol(SEEDS[pair[b]], j))) for b in "ACGT" for j in range(k)]
-    seeds_ = spark.createDataFrame(seeds, "letter string, j int, f long, r long")
-    letters = df.where(F.length(seq) >= k).select(key, F.length(seq).alias("n"), F.posexplode(F.filter(F.split(F.upper(F.col(seq)), ""), lambda c: c != "")).alias("pos", "letter"))
-    rows = letters.join(F.broadcast(seeds_), "letter").withColumn("idx", F.col("pos") - F.col("j")).where((F.col("idx") >= 0) & (F.col("idx") <= F.col("n") - k))
-    strands = rows.groupBy(key, "idx").agg(F.bit_xor("f").alias("f"), F.bit_xor("r").alias("r"))
+    step = 512
+    text = F.col(seq)
+    # One byte a letter, so that a place is found without a scan; pieces, so that no row of a k-mer carries its sequence.
+    rows = df.select(F.col(key), F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "?")).cast("binary").alias("__b"))
+    n = F.length("__b")
+    cut = lambda at: F.struct(at.alias("at"), F.upper(F.substr(F.col("__b"), at + 1, F.lit(step + k - 1)).cast("string")).alias("raw"))
+    rows = rows.select(key, F.explode(F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k, F.lit(step)), cut))).alias("__p"))
+    rows = rows.select(key, "__p.at", "__p.raw").select(key, "at", "raw", F.explode(F.sequence(F.lit(0), F.length("raw") - k)).alias("__i"))
+    rows = rows.select(key, (F.col("at") + F.col("__i")).alias("idx"), F.substr("raw", F.col("__i") + 1, F.lit(k)).alias("__k"))
+
+    def strand(seed: Callable[[str, int], int]) -> Column:
+        of = lambda j: reduce(lambda c, b: c.when(F.substring("__k", j + 1, 1) == b, F.lit(signed(seed(b, j)))), "CGT", F.when(F.substring("__k", j + 1, 1) == "A", F.lit(signed(seed("A", j))))).otherwise(F.lit(0).cast("long"))
+        return reduce(lambda x, y: x.bitwiseXOR(y), (of(j) for j in range(k)))
+
+    f, r = strand(lambda b, j: rol(SEEDS[b], k - 1 - j)), strand(lambda b, j: rol(SEEDS[pair[b]], j))
+    strands = rows.where(F.rlike("__k", F.lit("[ACGT]"))).select(key, "idx", f.alias("f"), r.alias("r"))
     return strands.select(key, "idx", F.when(unsigned(F.col("f")) <= unsigned(F.col("r")), F.col("f")).otherwise(F.col("r")).alias("code"))

@@ -308,3 +308,15 @@ def test_batches_of_letters_are_small_and_give_the_same_codes(spark, monkeypatch
     assert sketches.LETTERS <= 1 << 18
     monkeypatch.setattr(sketches, "LETTERS", 100)
     assert got() == want
+
+
+def test_native_hashes_need_no_shuffle(spark):
+    """Five rows of each letter were joined and shuffled."""
+    long = "".join(random.Random(5).choices("ACGTacgtN", k=1500))
+    rows = spark.createDataFrame([(1, long), (2, "ACGTA"), (3, "ACG"), (4, None), (5, "NNNNNNACGTNNNNNN"), (6, "éACGTA")], "i long, seq string")
+    got = sketches.nthash_native(rows, "i", 5)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(r.i, x, int(c)) for r in rows.where("i < 6").collect() if r.seq and len(r.seq) >= 5 for x, c in zip(*(y.tolist() for y in (lambda t: (t[0], t[1].view(np.int64)))(sketches.nthash(r.seq, 5))), strict=True) if set(r.seq[x : x + 5].upper()) & set("ACGT")}
+    out = [tuple(r) for r in got.where("i < 6").collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+    assert got.where("i = 6").count() == 2
