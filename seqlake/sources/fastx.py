@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import guess_alphabet, is_valid
 
+#: Lines that a task works on at a time.
+LINES = 1000
 SCHEMA = "path string, rec_no long, id string, name string, desc string, seq string, qual string"
 
 
@@ -229,7 +231,7 @@ def read_fastq(spark: SparkSession, path: str | list[str], id_regexp: str | None
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, begun = None, [], False
-        for batch in batches:
+        for batch in (whole.slice(at, LINES) for whole in batches for at in range(0, whole.num_rows, LINES)):
             paths, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines = list(zip(batch.column(2).to_pylist(), [x.rstrip("\r") for x in batch.column(3).to_pylist()], strict=True))
             bounds = [0, *(i for i in range(1, len(lines)) if (paths[i], blocks[i]) != (paths[i - 1], blocks[i - 1])), len(lines)]

@@ -205,3 +205,13 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert tuple(spark.table("composition").first()) == (3, 10, 0.5)
+
+
+def test_lines_in_slices_of_a_batch(spark, tmp_path, monkeypatch):
+    """A task held ten thousand lines, however long, several times over."""
+    records = [(f"r{i}", "ACGT" * (i % 5 + 1)) for i in range(700)]
+    (tmp_path / "x.fq").write_text("".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in records))
+    got = lambda: sorted((r.name, r.seq) for r in fastx.read_fastq(spark, str(tmp_path / "x.fq")).collect())
+    assert fastx.LINES <= 1000 and got() == sorted(records)
+    monkeypatch.setattr(fastx, "LINES", 3)
+    assert got() == sorted(records)
