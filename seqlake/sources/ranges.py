@@ -28,9 +28,13 @@ def cut(found: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("end", F.least(F.col("start") + size, F.col("length")))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows that each stand for a task's work, about one to a partition."""
-    return rows.repartition(max(1, rows.count()))
+def dealt(rows: DataFrame, work: int = 0) -> DataFrame:
+    """Rows that each stand for a task's work, about one to a partition. With work, ranges (start, end) share partitions of about so
+    many bytes once each core has four."""
+    if not work:
+        return rows.repartition(max(1, rows.count()))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    return rows.repartition(max(1, min(n, max(4 * rows.sparkSession.sparkContext.defaultParallelism, size // work))))
 
 
 def uri(path: str) -> str:

@@ -31,6 +31,8 @@ HEAD, SEQ, QUAL = 0, 1, 2
 State = tuple[int, int]
 #: Letters of sequences in a batch of records.
 BATCH = 1 << 24
+#: Bytes of ranges that a task works on, one after the other, where there are many.
+WORK = 1 << 24
 
 
 def step(state: State, line: bytes) -> State | None:
@@ -122,7 +124,7 @@ def summaries(parts: DataFrame) -> DataFrame:
                     out.append((*r, sign, *summary(iter(()) if sign == ">" and not r.start else chain(first, rows)).values()))
             yield pd.DataFrame(out, columns=[*_RANGE, "sign", "letters", "plus", "behind", "ends"])
 
-    return dealt(parts).mapInPandas(told, _TOLD)
+    return dealt(parts, WORK).mapInPandas(told, _TOLD)
 
 
 def states(told: DataFrame) -> DataFrame:
@@ -220,6 +222,6 @@ def read_split(spark: SparkSession, path: str | list[str], id_regexp: str | None
                             out, held = [], 0
                 yield batch_of(out)
 
-    rows = dealt(known).mapInArrow(parsed, _RECORDS)
+    rows = dealt(known, WORK).mapInArrow(parsed, _RECORDS)
     rows = rows.select("path", "block", "nr", head_id(F.col("name"), id_regexp).alias("id"), "name", head_desc(F.col("name"), id_regexp).alias("desc"), "seq", "qual")
     return _finished(rows, alphabet, validate, F.col("qual").isNotNull())

@@ -99,3 +99,13 @@ def test_files_in_ranges(spark, tmp_path):
         for size in (3, 1000):
             with pytest.raises(Exception, match="differ in length|neither|longer or shorter"):
                 speculative.read_split(spark, str(tmp_path / "bad.fq"), size=size).collect()
+
+
+def test_many_small_ranges_share_tasks(spark):
+    """Each range of 256 KB was a task of its own."""
+    from seqlake.sources.ranges import dealt
+
+    rows = spark.range(4000).selectExpr("'x' AS path", "id * 1024 AS start", "id * 1024 + 1024 AS `end`")
+    assert dealt(rows, 1 << 16).rdd.getNumPartitions() == 4000 * 1024 >> 16
+    assert dealt(rows, 1 << 16).count() == 4000 and dealt(rows.limit(3), 1 << 16).rdd.getNumPartitions() == 3
+    assert dealt(rows.limit(0), 1 << 16).count() == 0
